@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rules", "mixing", "packing")
+MODULES = ("warc", "topk", "langid", "rules", "mixing", "packing")
 
 
 def queries() -> dict:
