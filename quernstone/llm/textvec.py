@@ -74,11 +74,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(column: pa.Array, size: int = BYTES_PER_CHUNK) -> Iterator[Texts]:
-    """Whole texts in runs of about `size` bytes; a longer text is a run of its own."""
+    """Whole texts in runs of about `size` bytes and at most 65,536 texts; a longer text is a run of its own."""
     data, offsets = buffers(column)
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1)
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1), i + 65_536)
         yield Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i)
         i = j
 
