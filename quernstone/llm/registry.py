@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("warc", "topk", "langid", "rules", "mixing", "packing")
+MODULES = ("quality", "htmltext", "parityjoin", "warc", "topk", "langid", "rules", "mixing", "packing")
 
 
 def queries() -> dict:
