@@ -21,8 +21,10 @@ from pyspark.sql import window as W
 
 from . import textvec as tv
 from .columns import fold, narrow, read
+from .storage import kept
 
 ORDER = 4
+BROADCAST_ROWS = 100_000
 UNDETERMINED = "und"
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, ORDER + 1, dtype=np.uint64) | np.uint64(1)
 
@@ -197,7 +199,9 @@ def calibrate(model: Model, texts: dict[str, list[str]]) -> None:
 def sample(docs: DataFrame, per_lang: int) -> DataFrame:
     """Rows with lang and text, at most per_lang of each language: those with the smallest hash."""
     rows = narrow(docs, doc_id="doc_id", text="text", lang="lang").where("text is not null and lang is not null").withColumn("h", F.xxhash64("doc_id", "text"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = kept(rows.groupBy("lang").agg(F.count("*").alias("n")), "langid-sizes")
+    if sizes.count() <= BROADCAST_ROWS:
+        sizes = F.broadcast(sizes)
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("n"))
     drawn = rows.join(sizes, "lang").where(F.pmod("h", F.lit(1_000_003)) <= share * 1_000_003)  # no more than about twice the sample is ranked
     order = W.Window.partitionBy("lang").orderBy("h", "doc_id")
