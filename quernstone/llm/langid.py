@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from . import textvec as tv
@@ -230,24 +231,25 @@ def has_letter(texts: tv.Texts) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score, cross_entropy, rejected of each document.
+ADDED = (("lang_pred", "string"), ("score", "double"), ("cross_entropy", "double"), ("rejected", "boolean"))
+
+
+def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
+    """All columns of docs (text among them, none of them one of ADDED), lang_pred, score, cross_entropy, rejected.
 
-    docs: doc_id, text; other columns are left out.  lang_pred is und and rejected true for a text that is null or has
-    no letter, or without a model.  score: the language's probability among the known ones, whose log odds count at
-    most 50 characters, as texts repeat themselves.  rejected: the cross-entropy is more than half a nat and six
-    deviations beyond that of the language's held-out texts.  Equal rows get equal results.
+    lang_pred is und and rejected true for a text that is null or has no letter, or without a model.  score: the
+    language's probability among the known ones, whose log odds count at most 50 characters, as texts repeat themselves.
+    rejected: the cross-entropy is more than half a nat and six deviations beyond that of the language's held-out texts.
+    Equal rows get equal results.
     """
-    docs = narrow(docs, doc_id="doc_id", text="text")
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
             for chunk in tv.chunks(batch.column("text")):
                 n, letters = len(chunk), has_letter(chunk)
-                ids = batch.column("doc_id").slice(chunk.first, n)
+                part = batch.slice(chunk.first, n)
                 if known is None:
                     letters[:] = False
                     best, score, h, out = np.zeros(n, int), np.zeros(n), np.zeros(n), ~letters
@@ -259,9 +261,14 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     mean, spread = known.limits[best].T
                     out = ~letters | (h > mean + 0.5 + 6 * spread / np.sqrt(np.maximum(chars, 1)))
                 names = [known.langs[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(h), pa.array(out)], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(h), pa.array(out)], names=[*part.schema.names, *(n for n, _ in ADDED)])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return docs.mapInArrow(run, T.StructType([*docs.schema, *(T.StructField(n, T.DataType.fromDDL(k)) for n, k in ADDED)]))
+
+
+def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id and what annotate() adds; other columns of docs than doc_id and text are left out."""
+    return annotate(narrow(docs, doc_id="doc_id", text="text"), model).drop("text")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .columns import narrow, read
+from .columns import read
 from .storage import kept
 
 WEIGHTS = (5, 2, 1)
@@ -91,55 +91,53 @@ def min_cost_flow(patterns: list[tuple[tuple, int]], quota: dict, max_repeats: i
     return given
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = 3, seed: int = 17, sources: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, repeats, taken of each document.
+def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = 3, seed: int = 17, sources: str = "source", carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, repeats, taken of each document, and the carried columns.
 
-    docs: doc_id, text and `sources`, a string or an array of strings (overlapping sources); other columns are left
-    out.  Sources in the order of code points, null last, weigh `weights`, repeating; an empty array is the null
-    source.  A null or empty text has size 0 and is taken 0 times.  source_size and target are those of the first of a
-    document's sources.  Equal rows have the same place in the seeded order and are told apart by nothing else, so
-    which of them is taken once more is open, but how many are is not.  An empty table gives no rows.
+    docs: doc_id, text, `sources` (a string or an array of strings: overlapping sources) and the carried columns, which
+    may be text and `sources` but none of the results; others are left out.  Sources in the order of code points, null
+    last, weigh `weights`, repeating; an empty array is the null source.  A null or empty text has size 0 and is taken 0
+    times.  source_size and target are those of the first of a document's sources.  Equal rows have the same place in
+    the seeded order; which of them is taken once more is open, but how many are is not.  An empty table gives no rows.
 
-    The seeded order is that of md5(seed:doc_id).  Its prefix of three hex digits deals each pattern's documents into
-    4,096 buckets, so that only the bucket at the border needs a running sum over single documents.
+    The seeded order is that of md5(seed:doc_id).  Its first three hex digits deal each pattern's documents into 4,096
+    buckets, so that only the bucket at the border needs a running sum over single documents.  The table is read twice.
     """
     spark = docs.sparkSession
-    rows = narrow(docs, doc_id="doc_id", text="text", sources=sources)
-    if not isinstance(rows.schema["sources"].dataType, T.ArrayType):
-        rows = rows.withColumn("sources", F.array("sources"))
-    empty = F.array(F.lit(None).cast("string"))
-    rows = rows.withColumn("sources", F.when(F.size("sources") > 0, F.array_sort(F.array_distinct("sources"))).otherwise(empty))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = kept(rows.select("doc_id", "sources", n_words(F.col("text")).alias("size"), order.alias("place")), "mix-sizes")
-    rows = rows.withColumn("bucket", F.substring("place", 1, 3))
-
-    buckets = rows.groupBy("sources", "bucket").agg(F.sum("size").alias("words"))
-    patterns = [(tuple(r[0]), r[1]) for r in buckets.groupBy("sources").agg(F.sum("words")).limit(MAX_PATTERNS + 1).collect()]
+    rows = docs.select(F.col("`doc_id`").alias("_id"), F.col("`text`").alias("_text"), F.col(f"`{sources}`").alias("_in"), *(f"`{c}`" for c in carried))
+    if not isinstance(rows.schema["_in"].dataType, T.ArrayType):
+        rows = rows.withColumn("_in", F.array("_in"))
+    members = F.when(F.size("_in") > 0, F.array_sort(F.array_distinct("_in"))).otherwise(F.array(F.lit(None).cast("string")))
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))).cast("binary"))
+    rows = rows.withColumns({"_in": members, "_place": place, "size": n_words(F.col("_text"))}).drop("_text")
+    rows = rows.withColumns({"_key": F.to_json("_in"), "_bucket": F.substring("_place", 1, 3)})
+
+    buckets = kept(rows.groupBy("_key", "_bucket").agg(F.first("_in").alias("_in"), F.sum("size").alias("words")), "mix-buckets")
+    patterns = [(tuple(r[1]), r[2], r[0]) for r in buckets.groupBy("_key").agg(F.first("_in"), F.sum("words")).limit(MAX_PATTERNS + 1).collect()]
     if len(patterns) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns: the flow is solved on the driver; merge small sources first")
+    patterns.sort(key=lambda p: p[2])
     sizes: dict = {}
-    for members, n in patterns:
-        for s in members:
+    for member, n, _ in patterns:
+        for s in member:
             sizes[s] = sizes.get(s, 0) + n
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    target = shares(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, sum(n for _, n in patterns), max_repeats)
-    given = min_cost_flow(patterns, {s: round(t) for s, t in target.items()}, max_repeats)
-    plan = [(list(m), sizes[m[0]], target[m[0]], sum(g.values()) // n if n else 0, sum(g.values()) % n if n else 0) for (m, n), g in zip(patterns, given, strict=True)]
-    plan = F.broadcast(spark.createDataFrame(plan, "sources array<string>, source_size long, target double, repeats long, extra long"))  # at most MAX_PATTERNS rows
-
-    running = W.Window.partitionBy("sources").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
-    before = buckets.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    key = F.to_json("sources")
-    border = before.withColumn("k", key).join(F.broadcast(plan.select(key.alias("k"), "extra")), "k").where("before < extra and before + words >= extra").select("k", F.col("bucket").alias("border"), "before")
-    told = F.broadcast(plan.withColumn("k", key).drop("sources").join(border, "k", "left"))  # one row a pattern
-    rows = rows.withColumn("k", key).join(told, "k")
-    inside = rows.where("bucket = border")
-    upto = W.Window.partitionBy("k").orderBy("place", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, -1)
-    inside = inside.withColumn("sum", F.col("before") + F.coalesce(F.sum("size").over(upto), F.lit(0))).withColumn("more", (F.col("sum") + F.col("size") / 2 <= F.col("extra")).cast("int"))
-    outside = rows.where("border is null or bucket <> border").withColumn("more", F.when(F.col("bucket") < F.col("border"), 1).otherwise(0))
-    out = inside.drop("sum").unionByName(outside)
-    repeats = F.when(F.col("size") > 0, F.least(F.col("repeats") + F.col("more"), F.lit(max_repeats))).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", repeats.cast("int").alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken"))
+    target = shares(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, sum(p[1] for p in patterns), max_repeats)
+    given = min_cost_flow([p[:2] for p in patterns], {s: round(t) for s, t in target.items()}, max_repeats)
+    plan = [(k, sizes[m[0]], target[m[0]], sum(g.values()) // n if n else 0, sum(g.values()) % n if n else 0) for (m, n, k), g in zip(patterns, given, strict=True)]
+    plan = F.broadcast(spark.createDataFrame(plan, "_key string, source_size long, target double, _all long, _extra long"))  # at most MAX_PATTERNS rows
+
+    running = W.Window.partitionBy("_key").orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
+    before = buckets.withColumn("_before", F.coalesce(F.sum("words").over(running), F.lit(0)))
+    border = before.join(plan, "_key").where("_before < _extra and _before + words >= _extra").select("_key", F.col("_bucket").alias("_border"), "_before")
+    rows = rows.join(F.broadcast(plan.join(border, "_key", "left")), "_key")  # one row a pattern
+    upto = W.Window.partitionBy("_key").orderBy("_place", "_id", "size").rowsBetween(W.Window.unboundedPreceding, -1)
+    middle = F.col("_before") + F.coalesce(F.sum("size").over(upto), F.lit(0)) + F.col("size") / 2
+    inside = rows.where("_bucket = _border").withColumn("_more", (middle <= F.col("_extra")).cast("int"))
+    outside = rows.where("_border is null or _bucket <> _border").withColumn("_more", F.when(F.col("_bucket") < F.col("_border"), 1).otherwise(0))
+    repeats = F.when(F.col("size") > 0, F.least(F.col("_all") + F.col("_more"), F.lit(max_repeats))).otherwise(0)
+    out = inside.unionByName(outside).withColumn("repeats", repeats.cast("int"))
+    return out.select(*([] if "doc_id" in carried else [F.col("_id").alias("doc_id")]), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("long").alias("taken"), *(f"`{c}`" for c in carried))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

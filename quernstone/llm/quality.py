@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textvec as tv
 from .columns import fold, narrow, read
@@ -123,22 +124,26 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 800, label: str =
     return voters(weights[order], np.asarray(rows.column("label"))[order])
 
 
-def classify(docs: DataFrame, model: Voters | None, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted of each document.
+def annotate(docs: DataFrame, model: Voters | None, threshold: float = 0.3) -> DataFrame:
+    """All columns of docs (text among them, none of them score or predicted), score and predicted.
 
-    docs: doc_id, text; other columns are left out.  A null text, one without words, and every text where there is no
-    model have score 0.  Equal rows get equal results.
+    A null text, one without words, and every text where there is no model have score 0.  Equal rows get equal results.
     """
-    docs = narrow(docs, doc_id="doc_id", text="text")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in tv.chunks(batch.column("text")):
                 score = sent.value.score(term_weights(chunk)) if sent.value else np.zeros(len(chunk))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, len(chunk)), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                part = batch.slice(chunk.first, len(chunk))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+
+def classify(docs: DataFrame, model: Voters | None, threshold: float = 0.3) -> DataFrame:
+    """doc_id, score, predicted of each document; other columns of docs than doc_id and text are left out."""
+    return annotate(narrow(docs, doc_id="doc_id", text="text"), model, threshold).select("doc_id", "score", "predicted")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
