@@ -15,11 +15,14 @@ SENSITIVE = ("password", "secret", "key", "token", "auth", "credential", "privat
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
-@F.pandas_udf("string")
-def nfkc(s: pd.Series) -> pd.Series:
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+def nfkc(c: Column) -> Column:
+    return F.pandas_udf(_nfkc, "string")(c)
+
+
 def strip_tags(c: Column) -> Column:
     """Each tag leaves two spaces."""
     return F.regexp_replace(c, r"<[^>]+>", "  ")
@@ -85,23 +88,19 @@ def _redacted(x):
     return [_redacted(v) for v in x] if isinstance(x, list) else x
 
 
-def _on_json(change):
-    """A pandas UDF that applies `change` to a JSON document; what isn't JSON gives null."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        def one(x):
-            try:
-                return None if x is None else json.dumps(change(json.loads(x)), ensure_ascii=False)
-            except ValueError:
-                return None
-
-        return s.map(one)
+def _redacted_texts(s: pd.Series) -> pd.Series:
+    def one(x):
+        try:
+            return None if x is None else json.dumps(_redacted(json.loads(x)), ensure_ascii=False)
+        except ValueError:
+            return None
 
-    return run
+    return s.map(one)
 
 
-redact_json = _on_json(_redacted)
+def redact_json(c: Column) -> Column:
+    """A JSON document with the values of sensitive keys redacted, at any depth; what isn't JSON gives null."""
+    return F.pandas_udf(_redacted_texts, "string")(c)
 
 
 def is_blank_json(c: Column) -> Column:

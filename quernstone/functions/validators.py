@@ -61,10 +61,7 @@ def _label_lengths(c: Column, most: int = 63) -> Column:
     return F.forall(F.split(F.regexp_replace(c, r"\.+$", ""), r"\.", -1), lambda x: F.length(x) <= most)
 
 
-@F.pandas_udf("string")
-def punycode(s: pd.Series) -> pd.Series:
-    """A domain in its ASCII form; what has none is null."""
-
+def _punycodes(s: pd.Series) -> pd.Series:
     def one(x):
         try:
             return x if x is None or x.isascii() else x.encode("idna").decode("ascii")
@@ -74,6 +71,11 @@ def punycode(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+def punycode(c: Column) -> Column:
+    """A domain in its ASCII form; what has none is null."""
+    return F.pandas_udf(_punycodes, "string")(c)
+
+
 def _ascii_form(c: Column) -> Column:
     return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(punycode(c))
 
@@ -89,19 +91,18 @@ def check_domain(c: Column, idna: bool = True) -> Column:
     return _first_failure(*rules)
 
 
-def _is_ip(s: pd.Series, kind) -> pd.Series:
+def _are_ipv6(s: pd.Series) -> pd.Series:
     def one(x) -> bool:
         try:
-            return x is not None and bool(kind(x))
+            return x is not None and bool(ipaddress.IPv6Address(x))
         except ValueError:
             return False
 
     return s.map(one).astype(bool)
 
 
-@F.pandas_udf("boolean")
-def is_ipv6(s: pd.Series) -> pd.Series:
-    return _is_ip(s, ipaddress.IPv6Address)
+def is_ipv6(c: Column) -> Column:
+    return F.pandas_udf(_are_ipv6, "boolean")(c)
 
 
 def is_ipv4(c: Column) -> Column:

@@ -41,6 +41,10 @@ def _cast(c: Column, f: Field) -> Column:
     return c
 
 
+def _without(values: Column, key: str) -> Column:
+    return F.map_filter(values, lambda k, _: k != F.lit(key))
+
+
 def shape(df: DataFrame, values: str, fields: list[Field], renames: dict[str, str] | None = None, camel: bool = False) -> DataFrame:
     """A text column for each field out of the map<string, string> column `values`, and `present`, the names that a
     record has.
@@ -56,8 +60,7 @@ def shape(df: DataFrame, values: str, fields: list[Field], renames: dict[str, st
         first = F.filter(fresh, lambda e, i: ~F.exists(F.slice(fresh, F.lit(1), i), lambda x: x["key"] == e["key"]))
         v = F.map_concat(v, F.map_from_entries(first))
     for source, target in (renames or {}).items():
-        moved = F.map_concat(F.map_filter(v, lambda k, _, t=target: k != F.lit(t)), F.create_map(F.lit(target), F.element_at(v, source)))
-        v = F.when(F.map_contains_key(v, source), moved).otherwise(v)
+        v = F.when(F.map_contains_key(v, source), F.map_concat(_without(v, target), F.create_map(F.lit(target), F.element_at(v, source)))).otherwise(v)
     base = df.withColumn("_v", v)
     out, there = [], []
     for f in fields:

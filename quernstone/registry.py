@@ -6,9 +6,8 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("extraction", "strings", "types", "validation", "records", "access", "reports", "code")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,5 +19,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return documents.groupBy("lang", "source").agg(F.count("*").alias("n_documents"), F.sum(F.length("text")).alias("n_chars"))
+    from .plans.extraction import chunk_documents
+
+    return chunk_documents(spark, sf_dir)
