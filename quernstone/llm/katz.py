@@ -43,7 +43,7 @@ BEGIN = 0xFFFFFFFF
 
 def pack(values: np.ndarray, kind: str) -> bytes:
     """Byte planes of the values, compressed."""
-    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
