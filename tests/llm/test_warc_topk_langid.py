@@ -83,6 +83,16 @@ def test_topk_op(spark, sf):
     assert Counter(map(tuple, topk.op4_topk(spark, sf).collect())) == brute_top([r for r in rows if r[0] % 50 == 0], rows, 5)
 
 
+def test_topk_op_against_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    found = con.execute(topk.ORACLE_SQL["op4_topk"])
+    names = [d[0] for d in found.description]
+    assert sorted(found.fetchall()) == sorted(map(tuple, topk.op4_topk(spark, sf).select(*names).collect()))
+
+
 def test_topk_edges(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, [1.0, 2.0]), (50, [1.0, 2.0]), (7, [1.0, 2.0]), (7, [1.0, 2.0]), (8, [3.0]), (9, []), (10, [-1.5, 0.001])]
     v = topk.whole_vectors(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int"), 256.0)
