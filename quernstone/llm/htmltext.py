@@ -26,6 +26,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 CLOSES_P = BLOCKS - frozenset("caption tbody td tfoot th thead tr body html".split())
 SAME_CLOSES = {"li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "thead": frozenset(["tr", "td", "th", "tbody"]), "tbody": frozenset(["tr", "td", "th", "thead", "tbody"]), "tfoot": frozenset(["tr", "td", "th", "tbody"])}
+SAME_STOPS = frozenset("ul ol dl table select article div section".split())
 GONE = frozenset("head script style title noscript noembed noframes iframe template svg math object embed applet canvas audio video map nav footer aside form button select option textarea input label fieldset dialog menu search".split())
 GONE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 GONE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget footer masthead header topbar toolbar share sharing social related recommended pagination pager comment comments commentlist disqus respond reply replies skip".split())
@@ -58,10 +59,35 @@ class Element:
                     self.unwanted = True
 
 
+class _Open:
+    """The open elements; the nearest one of a name is found without going through them, however deep they are."""
+
+    def __init__(self, root: Element):
+        self.stack, self.blocks = [root], [0]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.stack))
+        if e.tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(e)
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of these names; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+
+
 def parse(source: str) -> Element:
     """The tree of a page; tags that are missing or left open are filled in as browsers do for common cases."""
     root = Element("html")
-    stack = [root]
+    opened = _Open(root)
+    stack = opened.stack
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
@@ -76,31 +102,21 @@ def parse(source: str) -> Element:
             continue
         tag = tag.lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                    break
+            place = opened.last(tag)
+            if place and (tag in ("article", "main", "body") or place > opened.last("article", "main", "body")):
+                opened.close(place)
             continue
-        if tag in ("html", "body") and (tag == "html" or any(e.tag == "body" for e in stack)):
+        if tag in ("html", "body") and (tag == "html" or opened.last("body")):
             continue
         if tag == "body":
-            del stack[1:]
+            opened.close(1)
         closes = SAME_CLOSES.get(tag)
         if closes:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in closes:
-                    del stack[i:]
-                elif stack[i].tag in ("ul", "ol", "dl", "table", "select", "article", "div", "section"):
-                    break
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCKS:
-                    break
+            limit = opened.last(*(SAME_STOPS - closes))
+            while (place := opened.last(*closes)) > limit:
+                opened.close(place)
+        if tag in CLOSES_P and stack[opened.blocks[-1]].tag == "p":
+            opened.close(opened.blocks[-1])
         e = Element(tag, m[3])
         stack[-1].parts.append(e)
         if tag in VOID:
@@ -112,10 +128,18 @@ def parse(source: str) -> Element:
                 close = source.find(">", at)
                 at = n if close < 0 else close + 1
             continue
-        stack.append(e)
+        opened.push(e)
     return root
 
 
+def _elements(root: Element) -> list[Element]:
+    """All elements, each one before those in it."""
+    found = [root]
+    for e in found:
+        found.extend(p for p in e.parts if not isinstance(p, str))
+    return found
+
+
 def host(url: str | None) -> str:
     """Host name in lower case; empty if there is none."""
     m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
@@ -126,9 +150,13 @@ def subtree_hashes(root: Element, site: str) -> dict[int, int]:
     """Hash by id() of each block element outside protected ones and with a text; equal subtrees of a host are equal."""
     found: dict[int, int] = {}
     seed = xxhash.xxh64_intdigest(site)
-
-    def walk(e: Element, protected: bool) -> tuple[int, bool]:
-        protected |= e.tag in PROTECTED
+    elements = _elements(root)
+    protected: set[int] = set()
+    for e in elements:
+        if e.tag in PROTECTED or id(e) in protected:
+            protected.update(id(p) for p in (e, *e.parts) if not isinstance(p, str))
+    done: dict[int, tuple[bytes, bool]] = {}
+    for e in reversed(elements):
         h, full = xxhash.xxh64(f"{e.tag}{e.marks}", seed=seed), False
         for part in e.parts:
             if isinstance(part, str):
@@ -137,32 +165,31 @@ def subtree_hashes(root: Element, site: str) -> dict[int, int]:
                     h.update(f"\0{text}")
                     full = True
             else:
-                inner, has = walk(part, protected)
-                h.update(inner.to_bytes(8, "little"))
+                inner, has = done.pop(id(part))
+                h.update(inner)
                 full |= has
         value = h.intdigest()
-        if full and not protected and e.tag in BLOCKS and e.tag not in ("html", "body"):
+        done[id(e)] = value.to_bytes(8, "little"), full
+        if full and id(e) not in protected and e.tag in BLOCKS and e.tag not in ("html", "body"):
             found[id(e)] = value
-        return value, full
-
-    walk(root, False)
     return found
 
 
 def main_text(root: Element, template: set[int] | None = None) -> str:
     """Blocks of the main text, one a line; template: id() of elements that go."""
     template = template or set()
+    articles: set[int] = set()  # elements that hold a wanted article
+    for e in reversed(_elements(root)):
+        if any(not isinstance(p, str) and not p.unwanted and (p.tag == "article" or id(p) in articles) for p in e.parts):
+            articles.add(id(e))
     tops: list[Element] = []
-
-    def find(e: Element) -> None:
-        for part in e.parts:
-            if isinstance(part, Element) and not part.unwanted and id(part) not in template:
-                if part.tag in PROTECTED and (part.tag == "article" or not _holds(part, "article")):
-                    tops.append(part)
-                else:
-                    find(part)
-
-    find(root)
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        if e is not root and e.tag in PROTECTED and (e.tag == "article" or id(e) not in articles):
+            tops.append(e)
+        else:
+            todo.extend(p for p in reversed(e.parts) if not isinstance(p, str) and not p.unwanted and id(p) not in template)
     lines: list[str] = []
     line: list[str] = []
 
@@ -172,30 +199,26 @@ def main_text(root: Element, template: set[int] | None = None) -> str:
             lines.append(text)
         line.clear()
 
-    def walk(e: Element, inside: bool) -> None:
-        block = e.tag in BLOCKS
-        if block:
-            flush()
-        for part in e.parts:
-            if isinstance(part, str):
+    inside = bool(tops)
+    for top in tops or [root]:
+        walk: list[Element | str | None] = [top]  # None: the end of a block
+        while walk:
+            part = walk.pop()
+            if part is None:
+                flush()
+            elif isinstance(part, str):
                 line.append(part)
             elif part.tag == "br":
                 line.append(" ")
-            elif not (part.unwanted or id(part) in template or (part.tag == "header" and not inside)):
-                walk(part, inside)
-        if block:
-            flush()
-
-    for top in tops or [root]:
-        walk(top, bool(tops))
+            elif part is top or not (part.unwanted or id(part) in template or (part.tag == "header" and not inside)):
+                if part.tag in BLOCKS:
+                    flush()
+                    walk.append(None)
+                walk.extend(reversed(part.parts))
         flush()
     return "\n".join(lines)
 
 
-def _holds(e: Element, tag: str) -> bool:
-    return any(isinstance(p, Element) and not p.unwanted and (p.tag == tag or _holds(p, tag)) for p in e.parts)
-
-
 def _signed(values) -> np.ndarray:
     return np.array(list(values), np.uint64).view(np.int64)
 

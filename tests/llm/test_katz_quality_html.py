@@ -124,6 +124,14 @@ def test_comments_forms_and_scripts_go(spark):
     assert r.text.replace("\n", " ") == "T a b c last"
 
 
+def test_deep_and_broken_html(spark):
+    n = 100_000
+    deep = ["<div>" * n + "end", "<p>a</p>" + "<span>" * n + "end" + "</b>" * n, "<b><article>" + "<font>" * n + "end" + "</b>" * n, "<ul>" + "<li><i>x" * n, "<main>" * n + "end"]
+    pages = [(i, "http://a.example/", h) for i, h in enumerate([*deep, "<p>Own text</p>"])]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {0: "end", 1: "a\nend", 2: "end", 3: "\n".join("x" * n), 4: "end", 5: "Own text"}
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as cp
 
