@@ -31,32 +31,50 @@ GONE = frozenset("head script style title noscript noembed noframes iframe templ
 GONE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 GONE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget footer masthead header topbar toolbar share sharing social related recommended pagination pager comment comments commentlist disqus respond reply replies skip".split())
 PROTECTED = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+USED = frozenset("class id role hidden aria-hidden".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+|\d+")
 _WHITE = re.compile(r"\s+")
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 
 
 class Element:
-    """An element; parts: elements, and texts with their references decoded."""
+    """An element; parts: elements, and texts with their references decoded; guessed: unwanted by a part of a name only."""
 
-    __slots__ = ("tag", "marks", "parts", "unwanted")
+    __slots__ = ("tag", "marks", "parts", "unwanted", "guessed")
 
-    def __init__(self, tag: str, attributes: str = ""):
+    def __init__(self, tag: str, attributes: str = "", inside: bool = False):
         self.tag, self.parts, self.marks = tag, [], ""
-        self.unwanted = tag in GONE
+        self.unwanted, self.guessed = tag in GONE, False
         if attributes and not attributes.isspace():
             for m in _ATTRIBUTE.finditer(attributes):
-                name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+                name = m[1].lower()
+                if name not in USED:
+                    continue
+                value = (m[2] or m[3] or m[4] or "").lower()
                 self.marks += f" {name}={value}"
-                if name in ("class", "id") and tag not in ("html", "body", *PROTECTED):
-                    self.unwanted |= not GONE_WORDS.isdisjoint(_NAME.findall(value))
+                if name in ("class", "id"):
+                    if tag not in ("html", "body", *PROTECTED) and not (tag in HEADINGS or (tag == "p" and name == "id")):
+                        self._judge(value, inside)
                 elif name == "role":
                     self.unwanted |= value in GONE_ROLES
                 elif name == "hidden" or value == "true":
                     self.unwanted = True
+        self.guessed &= not self.unwanted
+        self.unwanted |= self.guessed
+
+    def _judge(self, value: str, inside: bool) -> None:
+        """By class or id: inside an article only whole names count, and a header is the article's own."""
+        whole = GONE_WORDS.intersection(value.split())
+        if inside:
+            self.unwanted |= bool(whole - {"header"})
+        elif whole:
+            self.unwanted = True
+        else:
+            self.guessed |= not GONE_WORDS.isdisjoint(_NAME.findall(value))
 
 
 class _Open:
@@ -64,12 +82,19 @@ class _Open:
 
     def __init__(self, root: Element):
         self.stack, self.blocks = [root], [0]
+        self.guesses: list[int] = []
         self.places: dict[str, list[int]] = {}
 
     def push(self, e: Element) -> None:
         self.places.setdefault(e.tag, []).append(len(self.stack))
         if e.tag in BLOCKS:
             self.blocks.append(len(self.stack))
+        if e.guessed:
+            self.guesses.append(len(self.stack))
+        elif e.tag in PROTECTED and not e.unwanted:  # what holds an article goes by a whole name only, not as "has-sidebar"
+            for place in self.guesses:
+                self.stack[place].unwanted = False
+            self.guesses.clear()
         self.stack.append(e)
 
     def last(self, *tags: str) -> int:
@@ -81,6 +106,8 @@ class _Open:
             self.places[self.stack.pop().tag].pop()
         while self.blocks[-1] >= place:
             self.blocks.pop()
+        while self.guesses and self.guesses[-1] >= place:
+            self.guesses.pop()
 
 
 def parse(source: str) -> Element:
@@ -117,7 +144,7 @@ def parse(source: str) -> Element:
                 opened.close(place)
         if tag in CLOSES_P and stack[opened.blocks[-1]].tag == "p":
             opened.close(opened.blocks[-1])
-        e = Element(tag, m[3])
+        e = Element(tag, m[3], opened.last(*PROTECTED) > 0)
         stack[-1].parts.append(e)
         if tag in VOID:
             continue

@@ -124,6 +124,14 @@ def test_comments_forms_and_scripts_go(spark):
     assert r.text.replace("\n", " ") == "T a b c last"
 
 
+def test_attributes_by_exact_name_and_whole_class():
+    text = lambda source: htmltext.main_text(htmltext.parse(source))
+    assert text('<body style="overflow-x:hidden"><article title="hidden gems"><p style="overflow:hidden">a</p><p data-id="ad">b</p><a href="/hidden/x?id=ad">c</a></article>') == "a\nb\nc"
+    assert text('<article><div class="article-header"><h1 class="header">a</h1></div><h2 id="related-work">b</h2><p id="side-effects">c</p><div class="box ad">d</div><div id=comments>e</div><p class=\'ad\'>f</p></article>') == "a\nb\nc"
+    assert text("<h2 id=related-work>a</h2><p id=side-effects>b</p><div class='ad-box'>c</div><p hidden>d</p><p aria-hidden='true'>e</p><p aria-hidden=false>f</p><p HIDDEN=''>g</p><div data-x=\"y\"class=ad>h</div>") == "a\nb\nf"
+    assert text("<div class='layout has-sidebar'><article>a</article></div><div class=sidebar><article>b</article></div>") == "a"
+
+
 def test_deep_and_broken_html(spark):
     n = 100_000
     deep = ["<div>" * n + "end", "<p>a</p>" + "<span>" * n + "end" + "</b>" * n, "<b><article>" + "<font>" * n + "end" + "</b>" * n, "<ul>" + "<li><i>x" * n, "<main>" * n + "end"]
