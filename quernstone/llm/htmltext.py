@@ -1,7 +1,8 @@
 """Main text of web pages, with site templates removed.
 
 A page is read into a tree of block elements.  Subtrees are hashed, and Spark counts on how many pages of a host each
-hash occurs; subtrees that recur on many pages of their host are template and go.  What an element is by its name or
+hash occurs, copies of a page counted once; subtrees on a share of their host's pages are template and go, unless they
+hold an article or main element.  What an element is by its name or
 class (menus, footers, forms, adverts, comments, ...) goes too.  An article or main element, where a page has one,
 holds the text, and recurring subtrees inside it stay, since sites quote and repost themselves.
 """
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .columns import narrow, read
@@ -174,7 +175,7 @@ def host(url: str | None) -> str:
 
 
 def subtree_hashes(root: Element, site: str) -> dict[int, int]:
-    """Hash by id() of each block element outside protected ones and with a text; equal subtrees of a host are equal."""
+    """Hash by id() of each block element with a text that is outside protected ones and holds none; equal subtrees of a host are equal."""
     found: dict[int, int] = {}
     seed = xxhash.xxh64_intdigest(site)
     elements = _elements(root)
@@ -182,6 +183,7 @@ def subtree_hashes(root: Element, site: str) -> dict[int, int]:
     for e in elements:
         if e.tag in PROTECTED or id(e) in protected:
             protected.update(id(p) for p in (e, *e.parts) if not isinstance(p, str))
+    holds: set[int] = set()
     done: dict[int, tuple[bytes, bool]] = {}
     for e in reversed(elements):
         h, full = xxhash.xxh64(f"{e.tag}{e.marks}", seed=seed), False
@@ -195,9 +197,11 @@ def subtree_hashes(root: Element, site: str) -> dict[int, int]:
                 inner, has = done.pop(id(part))
                 h.update(inner)
                 full |= has
+                if part.tag in PROTECTED or id(part) in holds:
+                    holds.add(id(e))
         value = h.intdigest()
         done[id(e)] = value.to_bytes(8, "little"), full
-        if full and id(e) not in protected and e.tag in BLOCKS and e.tag not in ("html", "body"):
+        if full and id(e) not in protected and id(e) not in holds and e.tag in BLOCKS and e.tag not in ("html", "body"):
             found[id(e)] = value
     return found
 
@@ -250,28 +254,40 @@ def _signed(values) -> np.ndarray:
     return np.array(list(values), np.uint64).view(np.int64)
 
 
-def templates(pages: DataFrame, min_pages: int) -> DataFrame:
-    """key: hashes of subtrees, with their host, that occur on at least min_pages pages."""
+def templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """key: hashes of subtrees, with their host, on at least min_pages different pages and this share of the host's different pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.zeros(0, np.int64)]
+            sites, copies, keys = [], [], [np.zeros(0, np.int64)]
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                keys.append(_signed(set(subtree_hashes(parse(source or ""), host(url)).values())))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["key"])
+                site = host(url)
+                own = _signed([_site_key(site), *set(subtree_hashes(parse(source or ""), site).values())])
+                keys.append(own)
+                sites.append(np.full(len(own), own[0]))
+                copies.append(np.full(len(own), _signed([xxhash.xxh64_intdigest(source or "")])[0]))
+            columns = [pa.array(np.concatenate(c), pa.int64()) if c else pa.array([], pa.int64()) for c in (sites, copies, keys)]
+            yield pa.RecordBatch.from_arrays(columns, names=["site", "copy", "key"])
 
-    return narrow(pages, url="url", html="html").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("key")
+    rows = narrow(pages, url="url", html="html").mapInArrow(run, "site long, copy long, key long")
+    often = rows.groupBy("site", "key").agg(F.countDistinct("copy").alias("n")).where(F.col("n") >= min_pages)
+    of_site = F.max(F.when(F.col("key") == F.col("site"), F.col("n"))).over(Window.partitionBy("site"))
+    return often.withColumn("pages", of_site).where((F.col("key") != F.col("site")) & (F.col("n") >= min_share * F.col("pages"))).select("key")
 
 
-def extract(pages: DataFrame, min_pages: int = 10, broadcast_keys: int = 2_000_000) -> DataFrame:
+def _site_key(site: str) -> int:
+    return xxhash.xxh64_intdigest(f"\0site {site}")
+
+
+def extract(pages: DataFrame, min_pages: int = 10, min_share: float = 0.1, broadcast_keys: int = 2_000_000) -> DataFrame:
     """page_id, url, text, n_chars of each page.
 
     pages: page_id, url, html; other columns are left out.  A null html is an empty page, a null url the empty host;
-    text is "" where there is none.  Each row stays, equal rows too, and each counts as a page of its own.  Template
-    hashes are broadcast up to broadcast_keys of them; beyond that each page's own ones are joined to it.
+    text is "" where there is none.  Each row stays, equal rows too; pages of a host with equal html count once.
+    Template: on at least min_pages pages of the host and min_share of them.  Template hashes are broadcast up to broadcast_keys of them; beyond that each page's own ones are joined to it.
     """
     rows = narrow(pages, page_id="page_id", url="url", html="html")
-    found = templates(rows, min_pages)
+    found = templates(rows, min_pages, min_share)
     spark = rows.sparkSession
     known = [r[0] for r in found.limit(broadcast_keys + 1).toLocalIterator()]
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"

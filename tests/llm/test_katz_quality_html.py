@@ -124,6 +124,22 @@ def test_comments_forms_and_scripts_go(spark):
     assert r.text.replace("\n", " ") == "T a b c last"
 
 
+def texts(spark, pages, **options):
+    rows = [(i, *p) for i, p in enumerate(pages)]
+    return [r.text for r in sorted(htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect())]
+
+
+@pytest.mark.parametrize("broadcast_keys", [2_000_000, 0])
+def test_copies_count_once_and_template_is_a_share(spark, broadcast_keys):
+    pages = [(f"http://c.example/{i}", page(i, "<p>Same story</p>")) for i in range(12)]
+    pages += [(f"http://d.example/{i}", f"<body><div>{'<p>Menu</p>'}<article><p>Same story</p></article></div><p>{i}</p>") for i in range(12)]
+    pages += [(f"http://e.example/{i}", f"<p>Banner</p><p>Text {i}</p>" + "<p>Yes.</p>" * (i < 12)) for i in range(150)]
+    got = texts(spark, pages, broadcast_keys=broadcast_keys)
+    assert got[:12] == ["Same banner text on each page\nSame story\nImprint of the site"] * 12
+    assert got[12:24] == ["Same story"] * 12
+    assert got[24:] == [f"Text {i}" + "\nYes." * (i < 12) for i in range(150)]
+
+
 def test_attributes_by_exact_name_and_whole_class():
     text = lambda source: htmltext.main_text(htmltext.parse(source))
     assert text('<body style="overflow-x:hidden"><article title="hidden gems"><p style="overflow:hidden">a</p><p data-id="ad">b</p><a href="/hidden/x?id=ad">c</a></article>') == "a\nb\nc"
