@@ -2,9 +2,9 @@
 
 A page is read into a tree of block elements.  Subtrees are hashed, and Spark counts on how many pages of a host each
 hash occurs, copies of a page counted once; subtrees on a share of their host's pages are template and go, unless they
-hold an article or main element.  What an element is by its name or
-class (menus, footers, forms, adverts, comments, ...) goes too.  An article or main element, where a page has one,
-holds the text, and recurring subtrees inside it stay, since sites quote and repost themselves.
+hold an article or main element.  Where a page has such elements, only they are printed; subtrees inside them are
+counted by the host's different articles, so what sites repost stays and notices that recur in their articles go.
+What an element is by its name, role or class (menus, footers, forms, adverts, comments, ...) goes too, counted or not.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ GONE = frozenset("head script style title noscript noembed noframes iframe templ
 GONE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 GONE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget footer masthead header topbar toolbar share sharing social related recommended pagination pager comment comments commentlist disqus respond reply replies skip".split())
 PROTECTED = ("article", "main")
+NEVER = frozenset(["html", "body", *PROTECTED])
+CELLS = frozenset("td th caption".split())
+WITHIN = 0x9E3779B97F4A7C15  # sets hashes inside article and main apart
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 USED = frozenset("class id role hidden aria-hidden".split())
 
@@ -174,9 +177,13 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def subtree_hashes(root: Element, site: str) -> dict[int, int]:
-    """Hash by id() of each block element with a text that is outside protected ones and holds none; equal subtrees of a host are equal."""
+def subtree_hashes(root: Element, site: str) -> tuple[dict[int, int], list[int], int | None]:
+    """Hash by id() of each block element that has a text and neither is nor holds a protected one; equal subtrees of a
+    host are equal.  Then which of these hashes lie in protected elements (there they differ from those outside), and a
+    hash of the elements that hold the text, None if there are none.  Cells of tables in protected elements have no hash,
+    since a row without one of its cells says something else."""
     found: dict[int, int] = {}
+    within: list[int] = []
     seed = xxhash.xxh64_intdigest(site)
     elements = _elements(root)
     protected: set[int] = set()
@@ -194,23 +201,27 @@ def subtree_hashes(root: Element, site: str) -> dict[int, int]:
                     h.update(f"\0{text}")
                     full = True
             else:
-                inner, has = done.pop(id(part))
+                inner, has = done[id(part)]
                 h.update(inner)
                 full |= has
                 if part.tag in PROTECTED or id(part) in holds:
                     holds.add(id(e))
         value = h.intdigest()
         done[id(e)] = value.to_bytes(8, "little"), full
-        if full and id(e) not in protected and id(e) not in holds and e.tag in BLOCKS and e.tag not in ("html", "body"):
-            found[id(e)] = value
-    return found
-
-
-def main_text(root: Element, template: set[int] | None = None) -> str:
-    """Blocks of the main text, one a line; template: id() of elements that go."""
-    template = template or set()
+        if full and e.tag in BLOCKS and e.tag not in NEVER and id(e) not in holds:
+            if id(e) not in protected:
+                found[id(e)] = value
+            elif e.tag not in CELLS:
+                found[id(e)] = value ^ WITHIN
+                within.append(value ^ WITHIN)
+    tops = [done[id(e)][0] for e in _tops(root, elements, set())]
+    return found, within, xxhash.xxh64_intdigest(b"".join(tops), seed=seed) if tops else None
+
+
+def _tops(root: Element, elements: list[Element], template: set[int]) -> list[Element]:
+    """The elements that hold the text: articles, or main elements without one."""
     articles: set[int] = set()  # elements that hold a wanted article
-    for e in reversed(_elements(root)):
+    for e in reversed(elements):
         if any(not isinstance(p, str) and not p.unwanted and (p.tag == "article" or id(p) in articles) for p in e.parts):
             articles.add(id(e))
     tops: list[Element] = []
@@ -221,6 +232,13 @@ def main_text(root: Element, template: set[int] | None = None) -> str:
             tops.append(e)
         else:
             todo.extend(p for p in reversed(e.parts) if not isinstance(p, str) and not p.unwanted and id(p) not in template)
+    return tops
+
+
+def main_text(root: Element, template: set[int] | None = None) -> str:
+    """Blocks of the main text, one a line; template: id() of elements that go."""
+    template = template or set()
+    tops = _tops(root, _elements(root), template)
     lines: list[str] = []
     line: list[str] = []
 
@@ -255,19 +273,23 @@ def _signed(values) -> np.ndarray:
 
 
 def templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """key: hashes of subtrees, with their host, on at least min_pages different pages and this share of the host's different pages."""
+    """key: hashes of subtrees, with their host, on at least min_pages different pages and this share of the host's different
+    pages; for those inside article and main, as many different articles and this share of the host's different articles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sites, copies, keys = [], [], [np.zeros(0, np.int64)]
+            rows = [[np.zeros(0, np.uint64)] for _ in range(3)]
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 site = host(url)
-                own = _signed([_site_key(site), *set(subtree_hashes(parse(source or ""), site).values())])
-                keys.append(own)
-                sites.append(np.full(len(own), own[0]))
-                copies.append(np.full(len(own), _signed([xxhash.xxh64_intdigest(source or "")])[0]))
-            columns = [pa.array(np.concatenate(c), pa.int64()) if c else pa.array([], pa.int64()) for c in (sites, copies, keys)]
-            yield pa.RecordBatch.from_arrays(columns, names=["site", "copy", "key"])
+                found, within, article = subtree_hashes(parse(source or ""), site)
+                outside = set(found.values()).difference(within)
+                for part, keys, copy in (("page", outside, xxhash.xxh64_intdigest(source or "")), ("article", set(within), article)):
+                    if copy is not None:
+                        whole = xxhash.xxh64_intdigest(f"\0{part} {site}")
+                        own = np.array([whole, *keys], np.uint64)
+                        for column, values in zip(rows, (np.full(len(own), whole, np.uint64), np.full(len(own), copy, np.uint64), own), strict=True):
+                            column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in rows], names=["site", "copy", "key"])
 
     rows = narrow(pages, url="url", html="html").mapInArrow(run, "site long, copy long, key long")
     often = rows.groupBy("site", "key").agg(F.countDistinct("copy").alias("n")).where(F.col("n") >= min_pages)
@@ -275,16 +297,12 @@ def templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
     return often.withColumn("pages", of_site).where((F.col("key") != F.col("site")) & (F.col("n") >= min_share * F.col("pages"))).select("key")
 
 
-def _site_key(site: str) -> int:
-    return xxhash.xxh64_intdigest(f"\0site {site}")
-
-
 def extract(pages: DataFrame, min_pages: int = 10, min_share: float = 0.1, broadcast_keys: int = 2_000_000) -> DataFrame:
     """page_id, url, text, n_chars of each page.
 
     pages: page_id, url, html; other columns are left out.  A null html is an empty page, a null url the empty host;
     text is "" where there is none.  Each row stays, equal rows too; pages of a host with equal html count once.
-    Template: on at least min_pages pages of the host and min_share of them.  Template hashes are broadcast up to broadcast_keys of them; beyond that each page's own ones are joined to it.
+    Template: on at least min_pages pages of the host and min_share of them, inside article and main of its articles.  Template hashes are broadcast up to broadcast_keys of them; beyond that each page's own ones are joined to it.
     """
     rows = narrow(pages, page_id="page_id", url="url", html="html")
     found = templates(rows, min_pages, min_share)
@@ -297,7 +315,7 @@ def extract(pages: DataFrame, min_pages: int = 10, min_share: float = 0.1, broad
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [list(map(int, _signed(set(subtree_hashes(parse(s or ""), host(u)).values())))) for u, s in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
+            lists = [list(map(int, _signed(set(subtree_hashes(parse(s or ""), host(u))[0].values())))) for u, s in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(lists, pa.list_(pa.int64()))], names=["page", "keys"])
 
     rows = rows.withColumn("page", F.xxhash64("page_id", "url", "html"))
@@ -312,7 +330,7 @@ def _texts(batches: Iterator[pa.RecordBatch], is_template) -> Iterator[pa.Record
         mine = batch.column("keys").to_pylist() if "keys" in batch.schema.names else [None] * batch.num_rows
         for url, source, own in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), mine, strict=True):
             root = parse(source or "")
-            hashes = subtree_hashes(root, host(url))
+            hashes = subtree_hashes(root, host(url))[0]
             gone = is_template(_signed(hashes.values()), own) if hashes else ()
             texts.append(main_text(root, {e for e, g in zip(hashes, gone, strict=True) if g}))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -140,6 +140,16 @@ def test_copies_count_once_and_template_is_a_share(spark, broadcast_keys):
     assert got[24:] == [f"Text {i}" + "\nYes." * (i < 12) for i in range(150)]
 
 
+def test_template_inside_articles_goes_by_counts(spark):
+    box = "<div class='x7'><p>Follow us on all channels</p></div>"
+    table = "<table><tr><th>Own {0}</th><td>0</td></tr></table>"
+    pages = [(f"http://f.example/{i}", f"<main><article><h1>Title {i}</h1>{box if i % 2 else ''}<p>Text {i}</p>{'<p>Quoted</p>' if i < 12 else ''}{table.format(i)}</article></main>") for i in range(150)]
+    pages += [(f"http://g.example/{i}", f"<article>{box}<p>Text {i}</p></article>") for i in range(5)]
+    got = texts(spark, pages)
+    assert got[:150] == [f"Title {i}\nText {i}\n" + "Quoted\n" * (i < 12) + f"Own {i}\n0" for i in range(150)]
+    assert got[150:] == [f"Follow us on all channels\nText {i}" for i in range(5)]
+
+
 def test_attributes_by_exact_name_and_whole_class():
     text = lambda source: htmltext.main_text(htmltext.parse(source))
     assert text('<body style="overflow-x:hidden"><article title="hidden gems"><p style="overflow:hidden">a</p><p data-id="ad">b</p><a href="/hidden/x?id=ad">c</a></article>') == "a\nb\nc"
