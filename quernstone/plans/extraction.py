@@ -32,7 +32,7 @@ def ut02_chunk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            b["content"] = b["chunk"].str.upper().str.slice(0, 20)
+            b["content"] = b["chunk"].str.upper()
             yield b[["doc_id", "chunk_index", "content"]]
 
     return extract.chunk_rows(table(spark, sf_dir, "documents"), "doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, content string")

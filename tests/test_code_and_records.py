@@ -181,3 +181,13 @@ def test_streams(spark, tmp_path, kind):
         assert sorted(r.n for r in got.collect()) == [5, 5, 5, 5]
     else:
         assert sorted((r.owner_id, r.version_number) for r in got.collect()) == sorted((str(o), n) for o in (0, 1) for n in range(1, 11))
+
+
+def test_chunk_map_gives_whole_chunks(spark, sf):
+    from quernstone.functions import extract
+    from quernstone.plans import extraction
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {(r.doc_id, r.chunk_index): r.chunk.upper() for r in extract.chunk_rows(docs, "doc_id", "text").collect()}
+    got = {(r.doc_id, r.chunk_index): r.content for r in extraction.ut02_chunk_map(spark, sf).collect()}
+    assert got == want and max(map(len, got.values())) > 20
