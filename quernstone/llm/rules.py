@@ -44,6 +44,12 @@ class Measures:
             self._known[name] = getattr(self, name)()
         return self._known[name]
 
+    def part(self, keep: np.ndarray) -> Measures:
+        """Measures of the texts for which keep holds; what is known of them is taken over."""
+        found = Measures(part(self.texts, keep))
+        found._known = {name: values[keep] for name, values in self._known.items() if name != "line"}
+        return found
+
     def _bytes_per_text(self, table: np.ndarray) -> np.ndarray:
         t = self.texts
         return np.diff(np.searchsorted(np.flatnonzero(table[t.data]), t.offsets))
@@ -105,6 +111,31 @@ class Measures:
         return np.bincount(owner[np.cumsum(change)[:-1] > 0], minlength=len(self.texts))
 
 
+class Left:
+    """The texts of a chunk that no rule has rejected yet.
+
+    Known measures are taken by index.  An unknown one is computed for what is left; where that is over half of the
+    texts at hand, for all of those, since measuring some for nothing costs less than a copy of the others.
+    """
+
+    def __init__(self, measures: Measures):
+        self._held, self.at = measures, np.arange(len(measures.texts))
+        self._places = self.at  # of what is left among the texts held
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        if name not in self._held._known and 2 * len(self._places) < len(self._held.texts):
+            keep = np.zeros(len(self._held.texts), bool)
+            keep[self._places] = True
+            self._held, self._places = self._held.part(keep), np.arange(len(self.at))
+        return self._held[name][self._places]
+
+    def drop(self, gone: np.ndarray) -> None:
+        self.at, self._places = self.at[~gone], self._places[~gone]
+
+
 @dataclass(frozen=True)
 class Rule:
     """rejects(measures) says which texts of a chunk go; needs: the measures that it reads."""
@@ -181,17 +212,13 @@ def cascade(docs: DataFrame, rules=RULES, order: list[str] | None = None, measur
                 n, m = len(chunk), Measures(chunk)
                 out = {name: m[name] for name in measures}
                 failed = np.full(n, -1)
-                left, at = m, np.arange(n)
+                left = Left(m)
                 for i, rule in enumerate(ranked):
                     gone = rule.rejects(left)
-                    failed[at[gone]] = i
-                    if 2 * gone.sum() > len(at):  # else measuring some documents for nothing costs less than a copy
-                        at = at[~gone]
-                        if not len(at):
-                            break
-                        left = Measures(part(left.texts, ~gone))
-                    elif not measures and gone.any():
-                        at, left = at[~gone], Measures(part(left.texts, ~gone))
+                    failed[left.at[gone]] = i
+                    left.drop(gone)
+                    if not len(left):
+                        break
                 failed_first = pa.array([None if f < 0 else ranked[f].name for f in failed], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(chunk.first, n), *(pa.array(v.astype(np.int64)) for v in out.values()), failed_first, pa.array(failed < 0)], names=["doc_id", *out, "failed_rule", "kept"])
 

@@ -2,6 +2,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,6 +55,23 @@ def test_rule_order_does_not_change_the_verdict(spark, docs):
     assert rules.cascade(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("measures", [(), ("n_words", "n_repeat_words")])
+def test_failed_rule_is_the_first_that_rejects(spark, sf, measures):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(900_000 + i, t) for i, t in enumerate([None, "", "A # B", "X X\n" * 40, "# $ % & " * 30, "a " * 60 + "\nsame\nsame"])], "doc_id long, text string"))
+    rows = docs.collect()
+    every = rules.Measures(next(rules.tv.chunks(pa.array([r.text for r in rows]), 1 << 40)))
+    assert len(every.texts) == len(rows)
+    hits = {r.name: r.rejects(every) for r in rules.RULES}
+    assert sum(sum(h[i] for h in hits.values()) > 1 for i in range(len(rows))) > 4
+    names = list(hits)
+    for order in (names, names[::-1]):
+        got = {r.doc_id: r for r in rules.cascade(docs, order=order, measures=measures).collect()}
+        for i, r in enumerate(rows):
+            first = next((n for n in order if hits[n][i]), None)
+            assert (got[r.doc_id].failed_rule, got[r.doc_id].kept) == (first, first is None)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\t#é", max_size=120), min_size=1, max_size=6))
 def test_measures_on_any_text(texts):
