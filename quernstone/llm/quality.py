@@ -105,12 +105,13 @@ def _weights_of(batches: Iterator[pa.RecordBatch], *carried: str) -> Iterator[pa
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 800, label: str = "quality") -> Voters | None:
-    """Voters from at most per_label labelled documents of each label, those with the smallest hash of doc_id.
+    """Voters from at most per_label labelled documents of each label, those of docs with the smallest hash of doc_id.
 
     docs: doc_id, text; labels: doc_id and `label` (0 or 1).  Rows whose doc_id or label is null aren't used.  Only the
     terms of the chosen texts come to the driver, at most TERMS numbers each.  None where nothing is labelled.
     """
     known = narrow(labels, doc_id="doc_id", label=label).where("doc_id is not null and label in (0, 1)").distinct()
+    known = known.join(narrow(docs, doc_id="doc_id"), "doc_id", "left_semi")  # so that labels of other documents take no place
     parts = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for v in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     texts = narrow(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # 2 * per_label rows at most

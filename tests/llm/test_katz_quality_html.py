@@ -105,6 +105,16 @@ def test_quality_edges(spark):
     assert quality.classify(docs.limit(0), None).count() == 0
 
 
+def test_labels_of_other_documents_take_no_place(spark, sf):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(i, f"text number {i} of many") for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    assert len(quality.train(docs, labels, per_label=2).labels) == 4
+    real = spark.read.parquet(f"{sf}/documents.parquet").limit(20).withColumn("doc_id", F.col("doc_id") + 10_000_000)
+    assert cp.keep_quality(spark, real, sf).count() == 20
+
+
 def page(i, body):
     return f"<html><body><nav>menu</nav><div><span>Same banner text on each page</span></div>{body}<div>Imprint of the site</div><footer>end</footer></body></html>"
 
