@@ -2,12 +2,15 @@
 
 No pre-token of the vocabulary's pattern reaches over a single space between two characters that are not white space,
 so a text's ids are those of its parts between such spaces, one after the other.  Of the parts of a chunk only the
-distinct ones are encoded.
+distinct ones are encoded, by an encoder of the same ranks where a file of them lies beside the tokenizer's; texts with
+a special token, and all texts of tokenizers without such a file, are encoded by the tokenizers library itself.
 """
 
 from __future__ import annotations
 
 import base64
+import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,25 +18,32 @@ import pyarrow as pa
 from . import textvec as tv
 
 _CODES = tv._CODES | np.uint64(1)
-_encoders: dict = {}
 SPECIAL = "<|endoftext|>"
 
 
+@lru_cache(1)
+def library(json_path: str):
+    """The library's tokenizer of this file; most tasks never need it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(json_path)
+
+
+@lru_cache(1)
 def encoder(json_path: str):
-    """The library's tokenizer of this file, an encoder of the same ranks, and the bytes that each id stands for."""
-    if json_path not in _encoders:
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        with open(json_path.removesuffix(".json") + ".tiktoken", "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
-            sizes[i] = len(token)
-        _encoders[json_path] = Tokenizer.from_file(json_path), fast, sizes
-    return _encoders[json_path]
+    """An encoder of the tokenizer's ranks, and the bytes that each id stands for; None without a file of the ranks."""
+    path = json_path.removesuffix(".json") + ".tiktoken"
+    if not os.path.exists(path):
+        return None
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    for token, i in ranks.items():
+        sizes[i] = len(token)
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -53,13 +63,14 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def encode(texts: tv.Texts, json_path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, and the offsets of each text's ids."""
-    library, fast, sizes = encoder(json_path)
     data, offsets = texts.data, texts.offsets
     if not len(data):
         return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-    if SPECIAL.encode() in data.tobytes():  # the library takes this string as one id
-        lists = [library.encode(bytes(data[a:b]).decode(), add_special_tokens=False).ids for a, b in zip(offsets, offsets[1:], strict=False)]
+    known = encoder(json_path)
+    if known is None or SPECIAL.encode() in data.tobytes():  # the library takes this string as one id
+        lists = [library(json_path).encode(bytes(data[a:b]).decode(), add_special_tokens=False).ids for a, b in zip(offsets, offsets[1:], strict=False)]
         return np.fromiter((i for x in lists for i in x), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    fast, sizes = known
     starts = _cuts(data, offsets)
     ends = np.append(starts[1:], len(data))
     _, index, inverse = np.unique(tv.hash_spans(data, _CODES, starts, ends), return_index=True, return_inverse=True)

@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from . import textvec as tv
 from .bpe import encode_column
 from .columns import narrow, read
 from .storage import kept
 
 BROADCAST_ROWS = 1_000_000
+#: Numbers that the table of windows and queues of a slice of documents may have, and its tokens.
+SLICE_CELLS, SLICE_TOKENS = 1_000_000, 1_500_000
 
 
 class Schedule:
@@ -32,6 +35,7 @@ class Schedule:
     def __init__(self, sizes: np.ndarray, weights: np.ndarray):
         self.sizes, self.weights = sizes.astype(np.int64), weights.astype(np.float64)
         ends = self.sizes / self.weights
+        self.shares = self.weights / self.weights.sum()  # the least share that a queue has of a round while it isn't dry
         self.times = np.concatenate([[0.0], np.sort(ends)])
         self.served = np.array([np.minimum(self.sizes, t * self.weights).sum() for t in self.times])
 
@@ -57,8 +61,8 @@ class Schedule:
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """doc_id, source, part, at, n, ids of each document, kept in the shared folder.
 
-    ids: little-endian unsigned 16-bit numbers, as the vocabulary has fewer than 65,536; part and at: the task, and the
-    tokens of the same source before this document in that task.
+    ids: little-endian unsigned numbers, of 16 bits where none of a chunk's ids is above 65,535 and of 32 bits elsewhere;
+    part and at: the task, and the tokens of the same source before this document in that task.
     """
     docs = narrow(docs, doc_id="doc_id", text="text", source="source").withColumn("source", F.col("source").cast("string"))
 
@@ -68,11 +72,12 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
             for chunk, ids, offsets in encode_column(batch.column("text"), tokenizer):
                 n = len(chunk)
                 lengths = np.diff(offsets) + 1
-                out = np.full(len(ids) + n, end_id, "<u2")
+                kind = np.dtype("<u2" if max(int(ids.max(initial=0)), end_id) < 1 << 16 else "<u4")
+                out = np.full(len(ids) + n, end_id, kind)
                 mask = np.ones(len(out), bool)
                 mask[np.cumsum(lengths) - 1] = False
                 out[mask] = ids
-                column = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(2 * lengths)]).astype(np.int32)), pa.py_buffer(out)])
+                column = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(kind.itemsize * lengths)]).astype(np.int32)), pa.py_buffer(out)])
                 sources, at = batch.column("source").slice(chunk.first, n), []
                 for s, k in zip(sources.to_pylist(), lengths.tolist(), strict=True):
                     at.append(served.get(s, 0))
@@ -118,9 +123,12 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, weights: dict | No
                 continue
             queue = np.array([number[s] for s in batch.column("source").to_pylist()], np.int64)
             at, n = batch.column("at").to_numpy(), batch.column("n").to_numpy()
+            # tokens of the mixture that a document spans, for the size of its table of windows and queues
+            cells = np.minimum((n / plan.shares[queue]) / length + 2, total // length + 2) * len(names)
+            weight = np.cumsum(np.maximum(cells / SLICE_CELLS, n / SLICE_TOKENS))
             done = 0
-            while done < len(at):  # so that a batch never makes more than about a million pieces
-                upto = max(done + 1, int(np.searchsorted(np.cumsum(n[done:]), 12_000_000, "right")) + done)
+            while done < len(at):  # slices of bounded memory; a longer document is one by itself
+                upto = max(done + 1, int(np.searchsorted(weight, (weight[done - 1] if done else 0) + 1, "right")))
                 yield _pieces(batch.slice(done, upto - done), queue[done:upto], at[done:upto], n[done:upto], plan, total, length, tail, borders)
                 done = upto
 
@@ -149,19 +157,17 @@ def _pieces(batch: pa.RecordBatch, queue, at, n, plan: Schedule, total: int, len
     spread = last - first + 1
     owner = np.repeat(np.arange(len(at)), spread)
     w = np.repeat(first, spread) + np.arange(len(owner)) - np.repeat(np.cumsum(spread) - spread, spread)
-    distinct, where = np.unique(np.concatenate([w, w + 1]), return_inverse=True)
+    distinct = np.unique(np.concatenate([w, w + 1]))
     edge = np.minimum(distinct * length, total)
-    counts = np.empty((len(distinct), len(plan.sizes)), np.int64)
-    for i in range(0, len(distinct), 100_000):
-        counts[i : i + 100_000] = plan.counts(edge[i : i + 100_000])
-    low, high = counts[where[: len(w)]], counts[where[len(w) :]]
-    q = queue[owner]
-    taken = high - low
-    before = np.cumsum(taken, 1)[np.arange(len(w)), q] - taken[np.arange(len(w)), q]
-    begin = np.maximum(low[np.arange(len(w)), q], at[owner])
-    end = np.minimum(high[np.arange(len(w)), q], ends[owner])
+    counts = np.concatenate([plan.counts(edge[i : i + 20_000]) for i in range(0, len(edge), 20_000)])  # a row a border of windows
+    earlier = np.cumsum(counts, 1) - counts  # tokens of the queues before each one
+    q, here = queue[owner], np.searchsorted(distinct, w)
+    low, high = counts[here, q], counts[here + 1, q]
+    before = earlier[here + 1, q] - earlier[here, q]  # the window's tokens of the queues before
+    begin, end = np.maximum(low, at[owner]), np.minimum(high, ends[owner])
+    offset = before + begin - low
     full = end > begin
-    owner, w, begin, end, offset = owner[full], w[full], begin[full], end[full], (before + begin - low[np.arange(len(w)), q])[full]
+    owner, w, begin, end, offset = owner[full], w[full], begin[full], end[full], offset[full]
     sequence = w
     if len(borders) > 1 and (w * length >= tail).any():  # the rest goes to sequences of a power of two each
         place = w * length + offset
@@ -177,20 +183,25 @@ def _pieces(batch: pa.RecordBatch, queue, at, n, plan: Schedule, total: int, len
         more = np.array(rows, np.int64).reshape(-1, 5)
         owner, sequence, begin, end, offset = (np.concatenate([a[keep], m]) for a, m in zip((owner, w, begin, end, offset), more.T, strict=True))
     start, size = begin - at[owner], end - begin
-    column = batch.column("ids")
-    data, ids_at = _bytes(column)
-    view = memoryview(data.astype("<u4").tobytes())
-    a = (ids_at[owner] // 2 + start) * 4
+    ids, ids_at = _numbers(batch.column("ids"), n)
+    view = memoryview(ids.view(np.uint8))
+    a = (ids_at[owner] + start) * 4
     crc = np.fromiter((zlib.crc32(view[i:j]) for i, j in zip(a.tolist(), (a + 4 * size).tolist(), strict=True)), np.int64, len(a))
     take = pa.array(owner)
     return pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("source").take(take), *(pa.array(x.astype(np.int64)) for x in (start, size, crc, n[owner], sequence, offset))], names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    _, ends, data = column.buffers()
-    wide = pa.types.is_large_binary(column.type)
-    offsets = np.frombuffer(ends, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(data, "<u2", (offsets[-1] - offsets[0]) // 2, int(offsets[0])), offsets[:-1] - offsets[0]
+def _numbers(column: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of documents with n ids each, as 32-bit numbers, and where each document's begin."""
+    data, offsets = tv.buffers(column)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    starts = np.cumsum(n) - n
+    wide = np.diff(offsets) == 4 * n
+    if not wide.any():
+        return data.view("<u2").astype("<u4"), starts
+    if wide.all():
+        return data.view("<u4"), starts
+    return np.concatenate([data[a:b].view("<u4" if w else "<u2").astype("<u4") for a, b, w in zip(offsets, offsets[1:], wide, strict=False)]), starts
 
 
 def default_tokenizer() -> str:

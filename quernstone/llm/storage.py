@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder's path under spark.checkpoint.dir; where that is unset (tests), a folder is set first."""
+    """A new folder's path under spark.checkpoint.dir; on one machine (tests), a folder of its own is set where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
         base = "file://" + tempfile.mkdtemp(prefix="quernstone-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
