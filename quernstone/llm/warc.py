@@ -13,6 +13,7 @@ import base64
 import gzip
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,16 +90,20 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 32_768, rec
     """A record per row of pages (page_id, url, html; other columns are left out) under `path`.
 
     Of rows with equal payloads of at least `revisit_bytes` bytes, those with the smallest page_id are responses and
-    the others revisit records; a null page_id comes last.  A null html is the empty payload, a null url leaves the
-    target out.  Rows that repeat a page_id with the same payload have the same type but records of their own.
+    the others revisit records, which refer to the first of these responses; a null page_id comes last.  A null html is
+    the empty payload, a null url leaves the target out.  Rows that repeat a page_id with the same payload have the same
+    type but records of their own.  Records are named by page_id and the place of the row in the table, which is read
+    twice and must come in the same order, as files do.
     """
     rows = narrow(pages, page_id="page_id", url="url", html="html").withColumn("payload", F.coalesce(F.col("html").cast("binary"), F.lit(b""))).drop("html")
-    rows = rows.withColumn("sha", F.sha1("payload"))
-    shared = rows.where(F.length("payload") >= revisit_bytes).groupBy("sha").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
+    rows = rows.withColumns({"sha": F.sha1("payload"), "row": F.monotonically_increasing_id()})
+    first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row"))
+    shared = rows.where(F.length("payload") >= revisit_bytes).groupBy("sha").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1")
     # a payload may be that of a third of all pages: its rows meet its entry under one of several salts
     shared = shared.select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
-    rows = rows.join(shared, ["sha", "salt"], "left").select("page_id", "url", "payload", "first", "row", (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("again"))
+    rows = rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(shared, ["sha", "salt"], "left")
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    rows = rows.select("page_id", "url", "payload", "row", F.when(again, F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,12 +120,17 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = 32_768, rec
     out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _name(page: dict) -> str:
+    """A record's identifier, of page_id and row."""
+    return f"<urn:page:{'' if page['page_id'] is None else quote(str(page['page_id']), safe='')}:{page['row']}>"
+
+
 def _page_records(r: dict, segment_bytes: int) -> list[bytes]:
-    name = f"<urn:page:{'' if r['page_id'] is None else r['page_id']}:{r['row']}>"
+    name = _name(r)
     common = {"WARC-Record-ID": name, "WARC-Target-URI": _uri(r["url"]), "WARC-Date": DATE, "WARC-Payload-Digest": f"sha1:{digest(r['payload'])}", "Content-Type": "application/http;msgtype=response"}
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    if r["again"]:
-        extra = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{r['first']}>"}
+    if r["first"]:
+        extra = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _name(r["first"])}
         return [record({"WARC-Type": "revisit"} | common | extra, head + b"Content-Length: %d\r\n\r\n" % len(r["payload"]))]
     block = head + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(r["payload"])
     if len(block) <= segment_bytes:
@@ -164,22 +174,23 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     wrong total length, broken framing or a digest that doesn't fit ends the job with an error.
     """
     raw = read_segments(spark, path)
-    whole = raw.where("origin_id is null").select("record_id", "record_type", "target_uri", "payload_digest", "refers_to", "block")
+    whole = raw.where("origin_id is null").select("record_id", "record_type", "target_uri", "payload_digest", "refers_to", F.array("block").alias("blocks"))
     piece = F.struct("segment", "total", "block", "record_type", "target_uri", "payload_digest", "refers_to")
     groups = raw.where("origin_id is not null").groupBy(F.col("origin_id").alias("record_id")).agg(F.array_sort(F.collect_list(piece)).alias("parts"))  # the segments of one record
     first, last = F.col("parts")[0], F.element_at("parts", -1)
     in_order = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1), F.size("parts"))
-    block = F.reduce("parts", F.lit(b""), lambda got, p: F.concat(got, p["block"]))
-    joined = groups.select("record_id", first["record_type"].alias("record_type"), first["target_uri"].alias("target_uri"), first["payload_digest"].alias("payload_digest"), first["refers_to"].alias("refers_to"), in_order.alias("in_order"), last["total"].alias("total"), block.alias("block"))
-    fits = F.col("in_order") & (F.col("total") == F.length("block"))
-    joined = joined.withColumn("block", F.when(fits, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments are missing or don't have the total length: "), "record_id")).cast("binary"))).drop("in_order", "total")
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.length(p["block"]))
+    fits = in_order & (last["total"] == length)
+    blocks = F.when(fits, F.transform("parts", lambda p: p["block"])).otherwise(F.raise_error(F.concat(F.lit("segments are missing or don't have the total length: "), "record_id")).cast("array<binary>"))
+    joined = groups.select("record_id", first["record_type"].alias("record_type"), first["target_uri"].alias("target_uri"), first["payload_digest"].alias("payload_digest"), first["refers_to"].alias("refers_to"), blocks.alias("blocks"))
     rows = whole.unionByName(joined)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payloads, sizes = [], []
-            for kind, name, sha, block in zip(*(batch.column(c).to_pylist() for c in ("record_type", "record_id", "payload_digest", "block")), strict=True):
-                fields, body = http_message(block)
+            for kind, name, sha, blocks in zip(*(batch.column(c) for c in ("record_type", "record_id", "payload_digest", "blocks")), strict=True):
+                fields, body = http_message(b"".join(b.as_buffer() for b in blocks.values))
+                kind, name, sha = kind.as_py(), name.as_py(), sha.as_py()
                 if kind == "revisit":
                     payloads.append(None)
                     sizes.append(int(fields["content-length"]))
@@ -194,8 +205,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_of(name: str, kind: T.DataType):
-    """The page_id in a record's identifier."""
-    return F.regexp_extract(name, r"^<urn:page:([^>:]*)", 1).cast(kind)
+    """The page_id in a record's identifier; null for the null one (and for the empty text)."""
+    text = F.url_decode(F.regexp_extract(name, r"^<urn:page:([^>:]*)", 1))
+    return F.when(text != "", text).cast(kind)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
