@@ -1,10 +1,9 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are pairs of neighbouring characters by class (capital, small letter, digit, each sign by itself) and marks of
-words that repeat a word shortly before, so the space is about a text's make-up and not about its language.  Labelled
-texts are weighed by inverse document frequency and projected on their leading singular vectors.  The labelled vectors
-are broadcast; a block of documents is projected and multiplied with all of them exactly, and the nearest neighbours'
-labels are averaged by similarity.
+Terms are words, hashed into WORDS columns, pairs of neighbouring characters by class (capital, small letter, digit, each
+sign by itself), and marks of words that repeat a word shortly before.  Labelled texts are weighed by inverse document
+frequency and projected on their leading singular vectors.  The labelled vectors are broadcast; a block of documents is
+projected and multiplied with all of them exactly, and the nearest neighbours' labels are averaged by similarity.
 """
 
 from __future__ import annotations
@@ -30,7 +29,10 @@ _SIGNS = [b for b in range(33, 127) if not chr(b).isalnum()]
 CLASS[_SIGNS] = np.arange(6, 6 + len(_SIGNS))
 CLASSES = 6 + len(_SIGNS)
 LAGS = (1, 2, 3, 4, 6, 8)
-TERMS = CLASSES * CLASSES + 2 * len(LAGS)
+WORDS = 4096
+PAIRS = CLASSES * CLASSES
+TERMS = PAIRS + 2 * len(LAGS) + WORDS
+BLOCK = 512
 
 
 def term_weights(texts: tv.Texts) -> np.ndarray:
@@ -41,17 +43,20 @@ def term_weights(texts: tv.Texts) -> np.ndarray:
         owner = np.repeat(np.arange(n), np.diff(texts.offsets))
         c = CLASS[d]
         inside = owner[1:] == owner[:-1]
-        keys = (owner[1:] * (CLASSES * CLASSES) + c[:-1] * CLASSES + c[1:])[inside]
-        out[:, : CLASSES * CLASSES] = np.bincount(keys, minlength=n * CLASSES * CLASSES).reshape(n, -1)
-        out[:, : CLASSES * CLASSES] /= np.maximum(np.diff(texts.offsets), 1)[:, None]
-    w = tv.words(texts)
+        keys = (owner[1:] * PAIRS + c[:-1] * CLASSES + c[1:])[inside]
+        out[:, :PAIRS] = np.bincount(keys, minlength=n * PAIRS).reshape(n, -1)
+        out[:, :PAIRS] /= np.maximum(np.diff(texts.offsets), 1)[:, None]
+    w = tv.words(texts, lower=True)
     counts = np.diff(w.offsets)
     whose = w.owner
     for i, lag in enumerate(LAGS):
         same = (w.hashes[lag:] == w.hashes[:-lag]) & (whose[lag:] == whose[:-lag])
         share = np.bincount(whose[lag:][same], minlength=n) / np.maximum(counts, 1)
-        out[:, CLASSES * CLASSES + 2 * i] = share
-        out[:, CLASSES * CLASSES + 2 * i + 1] = np.maximum(share - 0.1, 0)
+        out[:, PAIRS + 2 * i] = share
+        out[:, PAIRS + 2 * i + 1] = np.maximum(share - 0.1, 0)
+    column = ((w.hashes >> np.uint64(40)) & np.uint64(WORDS - 1)).astype(np.int64)
+    out[:, TERMS - WORDS :] = np.bincount(whose * WORDS + column, minlength=n * WORDS).reshape(n, -1)
+    out[:, TERMS - WORDS :] /= np.maximum(counts, 1)[:, None]
     out = np.log1p(1000 * out)
     out[counts == 0] = 0
     return out
@@ -59,7 +64,8 @@ def term_weights(texts: tv.Texts) -> np.ndarray:
 
 @dataclass
 class Voters:
-    """idf: of terms; axes: projection; vectors, labels: of labelled texts, each of length 1."""
+    """idf: of terms; axes: projection; vectors, labels: of labelled texts, each of length 1; empty: score of a text
+    without words, the mean label of the labelled texts with the fewest terms."""
 
     idf: np.ndarray
     axes: np.ndarray
@@ -67,35 +73,38 @@ class Voters:
     labels: np.ndarray
     neighbours: int
     power: float
+    empty: float
 
     def project(self, weights: np.ndarray) -> np.ndarray:
         v = (weights * self.idf) @ self.axes
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
-    def score(self, weights: np.ndarray, block: int = 256) -> np.ndarray:
-        """Weighed share of label 1 among the nearest; 0 for a text without terms."""
-        out = np.zeros(len(weights))
+    def score(self, weights: np.ndarray) -> np.ndarray:
+        """Weighed share of label 1 among the nearest, all that are as near as the last of them included."""
+        cosine = self.project(weights) @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
-        for a in range(0, len(weights), block):
-            part = weights[a : a + block]
-            cosine = self.project(part) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            vote = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** self.power + 1e-9
-            out[a : a + block] = (vote * self.labels[near]).sum(1) / vote.sum(1) * part.any(1)
-        return np.clip(out, 0, 1)
+        last = np.partition(cosine, len(self.labels) - k, axis=1)[:, len(self.labels) - k]
+        vote = np.where(cosine >= last[:, None] - 1e-5, np.maximum(cosine, 0) ** self.power + 1e-9, 0)
+        return np.where(weights.any(1), np.clip(vote @ self.labels / vote.sum(1), 0, 1), self.empty).astype(np.float64)
 
 
-def voters(weights: np.ndarray, labels: np.ndarray, dimensions: int = 48, neighbours: int = 15, power: float = 8.0) -> Voters:
+def voters(weights: np.ndarray, labels: np.ndarray, dimensions: int = 64, neighbours: int = 15, power: float = 8.0) -> Voters:
     idf = np.log((1 + len(weights)) / (1 + (weights > 0).sum(0))).astype(np.float32) + 1
-    _, _, axes = np.linalg.svd(weights * idf, full_matrices=False)
-    v = Voters(idf, np.ascontiguousarray(axes[:dimensions].T), np.zeros(0), labels.astype(np.float32), neighbours, power)
+    weighed = (weights * idf).astype(np.float32)
+    values, left = np.linalg.eigh((weighed @ weighed.T).astype(np.float64))  # rows x rows: singular vectors by way of the Gram matrix
+    chosen = np.argsort(-values)[:dimensions]
+    chosen = chosen[values[chosen] > 1e-9 * max(values.max(initial=0), 1e-9)]
+    axes = (weighed.T @ left[:, chosen] / np.sqrt(values[chosen])).astype(np.float32)
+    kinds = (weights > 0).sum(1)
+    fewest = np.sort(kinds)[min(neighbours, len(kinds)) - 1]
+    v = Voters(idf, np.ascontiguousarray(axes), np.zeros(0), labels.astype(np.float32), neighbours, power, float(labels[kinds <= fewest].mean()))
     v.vectors = v.project(weights).astype(np.float32)
     return v
 
 
 def _weights_of(batches: Iterator[pa.RecordBatch], *carried: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk in tv.chunks(batch.column("text")):
+        for chunk in tv.chunks(batch.column("text"), most=BLOCK):
             w = term_weights(chunk)
             at = np.flatnonzero(w.ravel())
             offsets = np.searchsorted(at, np.arange(len(w) + 1) * TERMS).astype(np.int32)
@@ -107,34 +116,39 @@ def _weights_of(batches: Iterator[pa.RecordBatch], *carried: str) -> Iterator[pa
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 800, label: str = "quality") -> Voters | None:
     """Voters from at most per_label labelled documents of each label, those of docs with the smallest hash of doc_id.
 
-    docs: doc_id, text; labels: doc_id and `label` (0 or 1).  Rows whose doc_id or label is null aren't used.  Only the
+    docs: doc_id, text; labels: doc_id and `label` (0 or 1).  Rows whose doc_id or label is null aren't used.  Of rows that
+    repeat a doc_id, those with the smallest hashes of their texts; a document with both labels votes for both.  Only the
     terms of the chosen texts come to the driver, at most TERMS numbers each.  None where nothing is labelled.
     """
     known = narrow(labels, doc_id="doc_id", label=label).where("doc_id is not null and label in (0, 1)").distinct()
     known = known.join(narrow(docs, doc_id="doc_id"), "doc_id", "left_semi")  # so that labels of other documents take no place
     parts = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for v in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
-    texts = narrow(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id").select("label", "text")  # 2 * per_label rows at most
-    rows = texts.mapInArrow(lambda b: _weights_of(b, "label"), "label int, terms array<int>, values array<float>").limit(4 * per_label).toArrow()
+    texts = narrow(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id")  # 2 * per_label rows at most
+    order = ["id_hash", "doc_id", "label", "text_hash"]
+    texts = texts.select("doc_id", F.col("label").cast("int").alias("label"), "text", F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("text_hash"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = texts.mapInArrow(lambda b: _weights_of(b, *order), f"id_hash long, doc_id {kind}, label int, text_hash long, terms array<int>, values array<float>")
+    rows = rows.orderBy(*order).limit(2 * per_label).toArrow()
     if not len(rows):
         return None
     weights = np.zeros((len(rows), TERMS), np.float32)
     for i, (t, v) in enumerate(zip(rows.column("terms"), rows.column("values"), strict=True)):
         weights[i, t.values.to_numpy()] = v.values.to_numpy()
-    order = np.lexsort((*weights[:, ::97].T, weights.sum(1)))  # whatever the order in which they came
-    return voters(weights[order], np.asarray(rows.column("label"))[order])
+    return voters(weights, np.asarray(rows.column("label")))
 
 
 def annotate(docs: DataFrame, model: Voters | None, threshold: float = 0.3) -> DataFrame:
     """All columns of docs (text among them, none of them score or predicted), score and predicted.
 
-    A null text, one without words, and every text where there is no model have score 0.  Equal rows get equal results.
+    A null text and one without words have the score that the model learned for those; without a model every score is 0.
+    Equal rows get equal results.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in tv.chunks(batch.column("text")):
+            for chunk in tv.chunks(batch.column("text"), most=BLOCK):
                 score = sent.value.score(term_weights(chunk)) if sent.value else np.zeros(len(chunk))
                 part = batch.slice(chunk.first, len(chunk))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-BYTES_PER_CHUNK = 2 << 20
+BYTES_PER_CHUNK = 1 << 20
 
 _RATIO = np.uint64(0x9E3779B97F4A7C15)
 _RATIO_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -73,12 +73,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def chunks(column: pa.Array, size: int = BYTES_PER_CHUNK) -> Iterator[Texts]:
-    """Whole texts in runs of about `size` bytes and at most 65,536 texts; a longer text is a run of its own."""
+def chunks(column: pa.Array, size: int = BYTES_PER_CHUNK, most: int = 65_536) -> Iterator[Texts]:
+    """Whole texts in runs of about `size` bytes and at most `most` texts; a longer text is a run of its own."""
     data, offsets = buffers(column)
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1), i + 65_536)
+        j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1), i + most)
         yield Texts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i)
         i = j
 
