@@ -5,49 +5,86 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# For each target, its names and the Postgres types that have them.
-_ENUMS = "data_type data_source data_destination destination_component function_role broker_role model_role cognition_matrices recipe_status"
+# For each target, its name of a Postgres type.
 TYPESCRIPT = {
-    "string": f"uuid|text|character varying|varchar|{_ENUMS.replace(' ', '|')}|interval|cidr|inet|macaddr|tsvector|tsquery|xml|money|bit|bit varying|timetz|txid_snapshot|enum|USER-DEFINED",
-    "string[]": "_text|_varchar|_uuid|uuid[]|text[]|char[]|varchar[]",
-    "boolean": "bool|boolean", "boolean[]": "boolean[]", "number[]": "integer[]",
-    "number": "int2|int4|int8|float4|float8|smallint|bigint|integer|real|double precision|numeric",
-    "Record<string, unknown>[]": "_jsonb|jsonb[]", "Record<string, unknown>": "jsonb|json", "Record<string, string>": "hstore",
-    "Date": "timestamp|timestamp with time zone|date|time|timestamptz", "Uint8Array": "bytea", "any[]": "array|ARRAY",
-    "{x: number, y: number}": "point", "{a: number, b: number, c: number}": "line",
-    "{start: {x: number, y: number}, end: {x: number, y: number}}": "lseg",
-    "{topRight: {x: number, y: number}, bottomLeft: {x: number, y: number}}": "box",
-    "{points: {x: number, y: number}[], closed: boolean}": "path", "{x: number, y: number}[]": "polygon", "{center: {x: number, y: number}, radius: number}": "circle",
+    "uuid": "string", "text": "string", "_text": "string[]", "_varchar": "string[]", "character varying": "string", "varchar": "string",
+    "bool": "boolean", "int2": "number", "int4": "number", "int8": "number", "float4": "number", "float8": "number", "_uuid": "string[]",
+    "_jsonb": "Record<string, unknown>[]", "jsonb": "Record<string, unknown>", "json": "Record<string, unknown>", "boolean": "boolean",
+    "smallint": "number", "bigint": "number", "integer": "number", "real": "number", "double precision": "number", "numeric": "number",
+    "jsonb[]": "Record<string, unknown>[]", "data_type": "string", "data_source": "string", "data_destination": "string",
+    "destination_component": "string", "function_role": "string", "broker_role": "string", "model_role": "string",
+    "cognition_matrices": "string", "recipe_status": "string", "timestamp": "Date", "timestamp with time zone": "Date", "date": "Date",
+    "time": "Date", "interval": "string", "bytea": "Uint8Array", "array": "any[]", "hstore": "Record<string, string>",
+    "point": "{x: number, y: number}", "line": "{a: number, b: number, c: number}",
+    "lseg": "{start: {x: number, y: number}, end: {x: number, y: number}}",
+    "box": "{topRight: {x: number, y: number}, bottomLeft: {x: number, y: number}}",
+    "path": "{points: {x: number, y: number}[], closed: boolean}", "polygon": "{x: number, y: number}[]",
+    "circle": "{center: {x: number, y: number}, radius: number}", "cidr": "string", "inet": "string", "macaddr": "string",
+    "tsvector": "string", "tsquery": "string", "uuid[]": "string[]", "text[]": "string[]", "integer[]": "number[]",
+    "boolean[]": "boolean[]", "char[]": "string[]", "varchar[]": "string[]", "xml": "string", "money": "string", "bit": "string",
+    "bit varying": "string", "timetz": "string", "timestamptz": "Date", "txid_snapshot": "string", "enum": "string", "ARRAY": "any[]",
+    "USER-DEFINED": "string",
 }
 PYTHON = {
-    "str": f"uuid|text|character varying|{_ENUMS.replace(' ', '|')}|cidr|inet|macaddr|tsvector|tsquery|xml|bit|bit varying|txid_snapshot|enum",
-    "bool": "boolean", "int": "smallint|bigint|integer", "float": "real|double precision", "Decimal": "numeric|money",
-    "Dict[str, Any]": "jsonb|json", "List[Dict[str, Any]]": "jsonb[]", "Dict[str, str]": "hstore", "datetime": "timestamp|timestamp with time zone|timestamptz",
-    "date": "date", "time": "time|timetz", "timedelta": "interval", "bytes": "bytea", "List[Any]": "array", "List[str]": "uuid[]|text[]|char[]|varchar[]",
-    "List[int]": "integer[]", "List[bool]": "boolean[]", "Tuple[float, float]": "point", "Tuple[float, float, float]": "line",
-    "Tuple[Tuple[float, float], Tuple[float, float]]": "lseg|box", "List[Tuple[float, float]]": "path|polygon", "Tuple[Tuple[float, float], float]": "circle",
+    "uuid": "str", "text": "str", "character varying": "str", "boolean": "bool", "smallint": "int", "bigint": "int", "integer": "int",
+    "real": "float", "double precision": "float", "numeric": "Decimal", "jsonb": "Dict[str, Any]", "jsonb[]": "List[Dict[str, Any]]",
+    "json": "Dict[str, Any]", "data_type": "str", "data_source": "str", "data_destination": "str", "destination_component": "str",
+    "function_role": "str", "broker_role": "str", "model_role": "str", "cognition_matrices": "str", "recipe_status": "str",
+    "timestamp": "datetime", "timestamp with time zone": "datetime", "date": "date", "time": "time", "interval": "timedelta",
+    "bytea": "bytes", "array": "List[Any]", "hstore": "Dict[str, str]", "point": "Tuple[float, float]",
+    "line": "Tuple[float, float, float]", "lseg": "Tuple[Tuple[float, float], Tuple[float, float]]",
+    "box": "Tuple[Tuple[float, float], Tuple[float, float]]", "path": "List[Tuple[float, float]]",
+    "polygon": "List[Tuple[float, float]]", "circle": "Tuple[Tuple[float, float], float]", "cidr": "str", "inet": "str",
+    "macaddr": "str", "tsvector": "str", "tsquery": "str", "uuid[]": "List[str]", "text[]": "List[str]", "integer[]": "List[int]",
+    "boolean[]": "List[bool]", "char[]": "List[str]", "varchar[]": "List[str]", "xml": "str", "money": "Decimal", "bit": "str",
+    "bit varying": "str", "timetz": "time", "timestamptz": "datetime", "txid_snapshot": "str", "enum": "str",
 }
 SCHEMA = {
-    "uuid": "uuid|_uuid",
-    "string": f"text|character varying|varchar|{_ENUMS.replace(' ', '|')}|time|interval|cidr|inet|macaddr|tsvector|tsquery|xml|money|bit|bit varying|timetz|txid_snapshot|USER-DEFINED",
-    "string[]": "_text|_varchar", "boolean": "bool|boolean", "boolean[]": "boolean[]", "number[]": "integer[]",
-    "number": "int2|int4|int8|float4|float8|smallint|bigint|integer|real|double precision|numeric", "object": "_jsonb|jsonb|json|hstore|circle", "objectArray": "jsonb[]",
-    "date": "timestamp|timestamp with time zone|date|timestamptz", "any": "bytea", "any[]": "array", "tuple": "point|line|lseg|box", "array": "path|polygon|ARRAY",
-    "stringArray": "uuid[]|text[]|char[]|varchar[]", "enum": "enum",
+    "uuid": "uuid", "text": "string", "_text": "string[]", "character varying": "string", "varchar": "string", "_varchar": "string[]",
+    "bool": "boolean", "int2": "number", "int4": "number", "int8": "number", "float4": "number", "float8": "number", "_uuid": "uuid",
+    "_jsonb": "object", "jsonb": "object", "json": "object", "boolean": "boolean", "smallint": "number", "bigint": "number",
+    "integer": "number", "real": "number", "double precision": "number", "numeric": "number", "jsonb[]": "objectArray",
+    "data_type": "string", "data_source": "string", "data_destination": "string", "destination_component": "string",
+    "function_role": "string", "broker_role": "string", "model_role": "string", "cognition_matrices": "string",
+    "recipe_status": "string", "timestamp": "date", "timestamp with time zone": "date", "date": "date", "time": "string",
+    "interval": "string", "bytea": "any", "array": "any[]", "hstore": "object", "point": "tuple", "line": "tuple", "lseg": "tuple",
+    "box": "tuple", "path": "array", "polygon": "array", "circle": "object", "cidr": "string", "inet": "string", "macaddr": "string",
+    "tsvector": "string", "tsquery": "string", "uuid[]": "stringArray", "text[]": "stringArray", "integer[]": "number[]",
+    "boolean[]": "boolean[]", "char[]": "stringArray", "varchar[]": "stringArray", "xml": "string", "money": "string",
+    "bit": "string", "bit varying": "string", "timetz": "string", "timestamptz": "date", "txid_snapshot": "string", "enum": "enum",
+    "ARRAY": "array", "USER-DEFINED": "string",
 }
 FIELD = {
-    "UUIDField": "uuid", "TextField": "text|tsvector|tsquery|xml", "CharField": f"character varying|varchar|{_ENUMS.replace(' ', '|')}|bit|bit varying|txid_snapshot|USER-DEFINED",
-    "TextArrayField": "_text|_varchar|_bpchar|_macaddr|text[]|character varying[]|varchar[]|char[]|citext[]|macaddr[]", "UUIDArrayField": "_uuid|uuid[]",
-    "JSONBArrayField": "_jsonb|_json|jsonb[]|json[]", "BooleanArrayField": "_bool|boolean[]|bool[]", "SmallIntegerArrayField": "_int2|smallint[]|int2[]",
-    "IntegerArrayField": "_int4|integer[]|int[]|int4[]", "BigIntegerArrayField": "_int8|bigint[]|int8[]",
-    "FloatArrayField": "_float4|_float8|real[]|float4[]|double precision[]|float8[]", "NumericArrayField": "_numeric|numeric[]|decimal[]",
-    "DateArrayField": "_date|_timestamp|_timestamptz|date[]|timestamp[]|timestamp without time zone[]|timestamp with time zone[]|timestamptz[]",
-    "TimeArrayField": "_time|_timetz|time[]|time without time zone[]|time with time zone[]", "IPNetworkArrayField": "_inet|_cidr|inet[]|cidr[]",
-    "HStoreArrayField": "_hstore|hstore[]", "BooleanField": "bool|boolean", "SmallIntegerField": "int2|smallint", "IntegerField": "int4|integer", "BigIntegerField": "int8|bigint",
-    "FloatField": "float4|float8|real|double precision", "DecimalField": "numeric", "JSONBField": "jsonb", "JSONField": "json",
-    "DateTimeField": "timestamp|timestamp with time zone|timestamptz", "DateField": "date", "TimeField": "time|timetz", "TimeDeltaField": "interval", "BinaryField": "bytea",
-    "PrimitiveArrayField": "array|line|lseg|box|circle", "HStoreField": "hstore", "PointField": "point", "ArrayField": "path|polygon|ARRAY", "IPNetworkField": "cidr",
-    "IPAddressField": "inet", "MacAddressField": "macaddr", "MoneyField": "money", "EnumField": "enum",
+    "uuid": "UUIDField", "text": "TextField", "_text": "TextArrayField", "_varchar": "TextArrayField", "_bpchar": "TextArrayField",
+    "_uuid": "UUIDArrayField", "_jsonb": "JSONBArrayField", "_json": "JSONBArrayField", "_bool": "BooleanArrayField",
+    "_int2": "SmallIntegerArrayField", "_int4": "IntegerArrayField", "_int8": "BigIntegerArrayField", "_float4": "FloatArrayField",
+    "_float8": "FloatArrayField", "_numeric": "NumericArrayField", "_date": "DateArrayField", "_time": "TimeArrayField",
+    "_timetz": "TimeArrayField", "_timestamp": "DateArrayField", "_timestamptz": "DateArrayField", "_inet": "IPNetworkArrayField",
+    "_cidr": "IPNetworkArrayField", "_macaddr": "TextArrayField", "_hstore": "HStoreArrayField", "character varying": "CharField",
+    "varchar": "CharField", "bool": "BooleanField", "int2": "SmallIntegerField", "int4": "IntegerField", "int8": "BigIntegerField",
+    "float4": "FloatField", "float8": "FloatField", "jsonb": "JSONBField", "json": "JSONField", "boolean": "BooleanField",
+    "smallint": "SmallIntegerField", "bigint": "BigIntegerField", "integer": "IntegerField", "real": "FloatField",
+    "double precision": "FloatField", "numeric": "DecimalField", "jsonb[]": "JSONBArrayField", "data_type": "CharField",
+    "data_source": "CharField", "data_destination": "CharField", "destination_component": "CharField", "function_role": "CharField",
+    "broker_role": "CharField", "model_role": "CharField", "cognition_matrices": "CharField", "recipe_status": "CharField",
+    "timestamp": "DateTimeField", "timestamp with time zone": "DateTimeField", "date": "DateField", "time": "TimeField",
+    "interval": "TimeDeltaField", "bytea": "BinaryField", "array": "PrimitiveArrayField", "hstore": "HStoreField",
+    "point": "PointField", "line": "PrimitiveArrayField", "lseg": "PrimitiveArrayField", "box": "PrimitiveArrayField",
+    "path": "ArrayField", "polygon": "ArrayField", "circle": "PrimitiveArrayField", "cidr": "IPNetworkField",
+    "inet": "IPAddressField", "macaddr": "MacAddressField", "tsvector": "TextField", "tsquery": "TextField",
+    "uuid[]": "UUIDArrayField", "text[]": "TextArrayField", "character varying[]": "TextArrayField", "varchar[]": "TextArrayField",
+    "char[]": "TextArrayField", "citext[]": "TextArrayField", "integer[]": "IntegerArrayField", "int[]": "IntegerArrayField",
+    "int4[]": "IntegerArrayField", "bigint[]": "BigIntegerArrayField", "int8[]": "BigIntegerArrayField",
+    "smallint[]": "SmallIntegerArrayField", "int2[]": "SmallIntegerArrayField", "boolean[]": "BooleanArrayField",
+    "bool[]": "BooleanArrayField", "real[]": "FloatArrayField", "float4[]": "FloatArrayField",
+    "double precision[]": "FloatArrayField", "float8[]": "FloatArrayField", "numeric[]": "NumericArrayField",
+    "decimal[]": "NumericArrayField", "json[]": "JSONBArrayField", "date[]": "DateArrayField", "time[]": "TimeArrayField",
+    "time without time zone[]": "TimeArrayField", "time with time zone[]": "TimeArrayField", "timestamp[]": "DateArrayField",
+    "timestamp without time zone[]": "DateArrayField", "timestamp with time zone[]": "DateArrayField",
+    "timestamptz[]": "DateArrayField", "inet[]": "IPNetworkArrayField", "cidr[]": "IPNetworkArrayField",
+    "macaddr[]": "TextArrayField", "hstore[]": "HStoreArrayField", "xml": "TextField", "money": "MoneyField", "bit": "CharField",
+    "bit varying": "CharField", "timetz": "TimeField", "timestamptz": "DateTimeField", "txid_snapshot": "CharField",
+    "enum": "EnumField", "ARRAY": "ArrayField", "USER-DEFINED": "CharField",
 }
 #: What a registered enum becomes, and what a miss becomes.
 ENUM_AS = {"typescript": "string", "python": "str", "schema": "string", "field": "CharField"}
@@ -57,7 +94,7 @@ _BY_TARGET = {"typescript": TYPESCRIPT, "python": PYTHON, "schema": SCHEMA, "fie
 
 def type_map(target: str, enums: tuple[str, ...] = ()) -> dict[str, str]:
     """Postgres type to its name in the target vocabulary, registered enums included."""
-    return {sql: name for name, types in _BY_TARGET[target].items() for sql in types.split("|")} | dict.fromkeys(enums, ENUM_AS[target])
+    return _BY_TARGET[target] | dict.fromkeys(enums, ENUM_AS[target])
 
 
 def _lookup(c: Column, known: dict[str, str]) -> Column:

@@ -44,44 +44,47 @@ def granted(permissions: DataFrame, members: DataFrame, as_of: Column) -> DataFr
     return direct.unionByName(grouped.select("resource_id", "resource_type", "user_id", "rank", F.lit(True).alias("by_group")))
 
 
-def effective(files: DataFrame, folders: DataFrame, permissions: DataFrame, members: DataFrame, users: DataFrame, as_of: Column, mode: str = "max") -> DataFrame:
-    """id, user_id, level of every file that is public, owned or granted, for each of `users` (user_id).
+def effective(requests: DataFrame, files: DataFrame, folders: DataFrame, permissions: DataFrame, members: DataFrame, as_of: Column, mode: str = "max") -> DataFrame:
+    """requests (id, user_id, each pair once) with level: what a user may do with a file, null for nothing.
 
     max: the owner is admin; else the highest of public (read), direct and group grants, and what the folder itself
     gives (its owner admin, public read, grants).  tiered: the first of owner, public, direct, group, folder grants.
-    Only pairs with a level are rows, so nothing grows with files x users but public files.
+    Only the asked pairs are looked up, each by the user and by the user's groups, so nothing grows with files x users.
     """
-    f = live(files).select("id", "owner_id", "visibility", "parent_folder_id")
-    g = granted(permissions, members, as_of).join(users, "user_id", "left_semi")
-    own = f.join(users.withColumnRenamed("user_id", "owner_id"), "owner_id", "left_semi").select("id", F.col("owner_id").alias("user_id"), F.lit(0).alias("tier"), F.lit(3).alias("rank"))
-    public = f.where("visibility = 'public'").select("id").join(users, how="cross").select("id", "user_id", F.lit(1).alias("tier"), F.lit(1).alias("rank"))
-    on_file = f.select("id").join(g.where("resource_type = 'file'").withColumnRenamed("resource_id", "id"), "id")
-    on_file = on_file.select("id", "user_id", F.when(F.col("by_group"), 3).otherwise(2).alias("tier"), "rank")
-    placed = f.where("parent_folder_id is not null").select("id", F.col("parent_folder_id").alias("resource_id"))
-    on_folder = placed.join(g.where("resource_type = 'folder'"), "resource_id").select("id", "user_id", F.lit(4).alias("tier"), "rank")
-    parts = [own, public, on_file, on_folder]
+    asked = requests.select("id", "user_id").distinct()
+    f = asked.join(live(files).select("id", "owner_id", "visibility", "parent_folder_id"), "id")
+    now = permissions.where(unexpired(F.col("expires_at"), as_of)).select("resource_id", "resource_type", "grantee_id", "grantee_type", rank(F.col("permission_level")).alias("rank"))
+    groups = members.select("user_id", F.col("group_id").alias("grantee_id"))
+    who = f.withColumn("grantee_id", F.col("user_id")).withColumn("grantee_type", F.lit("user")).unionByName(f.join(groups, "user_id").withColumn("grantee_type", F.lit("group")))
+    of = lambda kind: now.where(F.col("resource_type") == kind).drop("resource_type")
+    row = lambda df, tier, r: df.select("id", "user_id", tier.alias("tier"), r.alias("rank"))
+    parts = [
+        row(f.where("owner_id = user_id"), F.lit(0), F.lit(3)),
+        row(f.where("visibility = 'public'"), F.lit(1), F.lit(1)),
+        row(who.join(of("file").withColumnRenamed("resource_id", "id"), ["id", "grantee_id", "grantee_type"]), F.when(F.col("grantee_type") == "user", 2).otherwise(3), F.col("rank")),
+    ]
+    inside = who.withColumnRenamed("parent_folder_id", "resource_id")
     if mode == "max":
         d = live(folders).select(F.col("id").alias("resource_id"), F.col("owner_id").alias("folder_owner"), F.col("visibility").alias("folder_visibility"))
-        seen = placed.join(d, "resource_id")
-        parts[3] = on_folder.join(placed.join(d, "resource_id", "left_semi").select("id"), "id", "left_semi")
-        parts.append(seen.join(users.withColumnRenamed("user_id", "folder_owner"), "folder_owner", "left_semi").select("id", F.col("folder_owner").alias("user_id"), F.lit(4).alias("tier"), F.lit(3).alias("rank")))
-        parts.append(seen.where("folder_visibility = 'public'").select("id").join(users, how="cross").select("id", "user_id", F.lit(4).alias("tier"), F.lit(1).alias("rank")))
+        inside = inside.join(d, "resource_id")
+        mine = inside.where("grantee_type = 'user'")
+        parts.append(row(mine.where("folder_owner = user_id"), F.lit(4), F.lit(3)))
+        parts.append(row(mine.where("folder_visibility = 'public'"), F.lit(4), F.lit(1)))
+    parts.append(row(inside.join(of("folder"), ["resource_id", "grantee_id", "grantee_type"]), F.lit(4), F.col("rank")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    if mode == "max":
-        best = every.groupBy("id", "user_id").agg(F.max("rank").alias("rank"))
-    else:
-        best = every.groupBy("id", "user_id").agg(F.max_by("rank", F.struct(-F.col("tier"), F.col("rank"))).alias("rank"))
-    return best.select("id", "user_id", level_of(F.col("rank")).alias("level"))
+    order = F.col("rank") if mode == "max" else F.struct(-F.col("tier"), F.col("rank"))
+    best = every.groupBy("id", "user_id").agg(level_of(F.max_by("rank", order)).alias("level"))
+    return asked.join(best, ["id", "user_id"], "left")
 
 
 def file_tree(files: DataFrame, levels: DataFrame) -> DataFrame:
-    """user_id, tree: a JSON list of the files that a user sees, by path.  levels: what `effective` gives.
+    """user_id, tree: a JSON list of the files that a user may at least read, by path.  levels: what `effective` gives.
 
     A user's list is one row, so this is for answers to users; tables of all rows stay as `levels` has them.
     """
-    rows = live(files).join(levels, "id").select("user_id", F.struct("path", "id", F.col("level").alias("effective_permission")).alias("x"))
+    rows = live(files).join(levels.where("level is not null"), "id").select("user_id", F.struct("path", "id", F.col("level").alias("effective_permission")).alias("x"))
     return rows.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list("x"))).alias("tree"))
 
 

@@ -85,11 +85,11 @@ def repeated_imports(imports: DataFrame) -> DataFrame:
 
 
 def covered(rows: DataFrame, prefixes: DataFrame, name: str, pos: str) -> DataFrame:
-    """prefix, n, first, last of rows whose name falls under a prefix (the first that matches, by `seq`); for the rest,
-    a row each with its own name as prefix.  prefixes (prefix, seq) are few and broadcast."""
-    r = rows.withColumn("_id", F.struct(pos, name))
-    hit = r.join(F.broadcast(prefixes), (F.col(name) == F.col("prefix")) | F.col(name).startswith(F.concat("prefix", F.lit("/"))), "left")
-    one = hit.groupBy("_id", name, pos).agg(F.min_by("prefix", "seq").alias("prefix"))
+    """prefix, n, first, last of rows whose name is or lies under a prefix (the first that matches, by `seq`); for the
+    rest, a row each with its own name as prefix.  prefixes (prefix, seq) meet each name's ancestors by equality."""
+    r = rows.select(F.struct(pos, name).alias("_id"), F.explode(F.concat(F.array(name), paths.ancestors(F.col(name)))).alias("prefix"))
+    first = r.join(prefixes.select("prefix", "seq"), "prefix").groupBy("_id").agg(F.min_by("prefix", "seq").alias("prefix"))
+    one = rows.select(F.struct(pos, name).alias("_id"), name, pos).join(first, "_id", "left")
     under = one.where("prefix is not null").groupBy("prefix").agg(F.count("*").alias("n"), F.min_by(name, pos).alias("first"), F.max_by(name, pos).alias("last"))
     return under.unionByName(one.where("prefix is null").select(F.col(name).alias("prefix"), F.lit(1).cast("long").alias("n"), F.col(name).alias("first"), F.col(name).alias("last")))
 
@@ -121,11 +121,14 @@ def invalid_imports(imports: DataFrame, files: DataFrame, probe: tuple[str, ...]
 
 def resolve_alias(imports: DataFrame, aliases: DataFrame) -> DataFrame:
     """Adds resolved_path: the first alias (by seq) that the source begins with, its target and the rest.  aliases
-    (prefix, target, seq) are few and broadcast."""
-    a = F.broadcast(aliases)
-    hit = imports.join(a, F.col("source").startswith(F.col("prefix")), "left")
-    path = F.when(F.col("prefix").isNotNull(), paths.normal(F.concat("target", F.lit("/"), F.substr("source", F.length("prefix") + 1))))
-    return hit.groupBy(*imports.columns).agg(F.min_by(path, "seq").alias("resolved_path"))
+    (prefix, target, seq) meet the sources' beginnings of the lengths that aliases have, by equality."""
+    lengths = aliases.agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("_lengths"))  # one row, as long as the longest alias at most
+    sources = imports.select("source").distinct().join(F.broadcast(lengths), how="cross")
+    starts = F.filter("_lengths", lambda n: n <= F.length("source"))
+    tries = sources.select("source", F.explode(F.transform(starts, lambda n: F.substr("source", F.lit(1), n))).alias("prefix"))
+    path = paths.normal(F.concat("target", F.lit("/"), F.substr("source", F.length("prefix") + 1)))
+    found = tries.join(aliases, "prefix").groupBy("source").agg(F.min_by(path, "seq").alias("resolved_path"))
+    return imports.join(found, "source", "left").select(*imports.columns, "resolved_path")
 
 
 def first_wins(exports: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 files: orders, owned by their customer, in the folder of the customer's nation; folders: nations, owned by their
 region; grants: order and supplier of line items, to users (odd suppliers) or groups (even ones), and of folders by
-supplier; groups: suppliers, with the customers of the same last two digits.  Users asked for are customers below 40.
+supplier; groups: suppliers, with the customers of the same last two digits.  Asked pairs: every
+order with its customer and the next one, and every line item's order with its supplier's number as a user.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ PERMISSIONS_SQL = """permissions AS (SELECT l_orderkey AS resource_id, 'file' AS
  CASE max(CASE l_returnflag WHEN 'N' THEN 3 WHEN 'A' THEN 2 ELSE 1 END) WHEN 3 THEN 'admin' WHEN 2 THEN 'write' ELSE 'read' END AS permission_level, max(l_shipdate) AS expires_at FROM lineitem GROUP BY l_orderkey, l_suppkey
  UNION ALL SELECT s_nationkey, 'folder', s_suppkey, CASE s_suppkey % 2 WHEN 0 THEN 'group' ELSE 'user' END, CASE s_suppkey % 3 WHEN 0 THEN 'read' ELSE 'write' END, CASE WHEN s_suppkey % 5 = 0 THEN TIMESTAMP '1997-01-01 00:00:00' END FROM supplier)"""
 MEMBERS_SQL = "members AS (SELECT s_suppkey AS group_id, c_custkey AS user_id FROM supplier JOIN customer ON c_custkey % 100 = s_suppkey % 100)"
-USERS_SQL = "users AS (SELECT c_custkey AS user_id FROM customer WHERE c_custkey < 40)"
-WITH = f"WITH {FILES_SQL}, {FOLDERS_SQL}, {PERMISSIONS_SQL}, {MEMBERS_SQL}, {USERS_SQL}"
+ASKED_SQL = "asked AS (SELECT o_orderkey AS id, o_custkey AS user_id FROM orders UNION SELECT o_orderkey, o_custkey + 1 FROM orders UNION SELECT l_orderkey, l_suppkey FROM lineitem)"
+WITH = f"WITH {FILES_SQL}, {FOLDERS_SQL}, {PERMISSIONS_SQL}, {MEMBERS_SQL}, {ASKED_SQL}"
 GRANTED = f"""granted AS (SELECT resource_id, resource_type, grantee_id AS user_id, permission_level, 2 AS tier FROM permissions WHERE grantee_type = 'user' AND (expires_at IS NULL OR expires_at > TIMESTAMP '{AS_OF}')
  UNION ALL SELECT resource_id, resource_type, user_id, permission_level, 3 FROM permissions JOIN members ON grantee_id = group_id WHERE grantee_type = 'group' AND (expires_at IS NULL OR expires_at > TIMESTAMP '{AS_OF}'))"""
 LEVEL = "CASE permission_level WHEN 'admin' THEN 3 WHEN 'write' THEN 2 ELSE 1 END"
@@ -31,7 +32,7 @@ NAME = "CASE {0} WHEN 3 THEN 'admin' WHEN 2 THEN 'write' WHEN 1 THEN 'read' END"
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """files, folders, permissions, members, users and as_of."""
+    """files, folders, permissions, members, asked and as_of."""
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     items, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     kind = lambda c: F.when(F.col(c) % 2 == 0, "group").otherwise("user")
@@ -46,12 +47,13 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     on_files = items.groupBy("l_orderkey", "l_suppkey").agg(access.level_of(rank).alias("permission_level"), F.max("l_shipdate").cast("timestamp").alias("expires_at")).select(F.col("l_orderkey").alias("resource_id"), F.lit("file").alias("resource_type"), F.col("l_suppkey").alias("grantee_id"), kind("l_suppkey").alias("grantee_type"), "permission_level", "expires_at")
     on_folders = supplier.select(F.col("s_nationkey").cast("long").alias("resource_id"), F.lit("folder").alias("resource_type"), F.col("s_suppkey").alias("grantee_id"), kind("s_suppkey").alias("grantee_type"), F.when(F.col("s_suppkey") % 3 == 0, "read").otherwise("write").alias("permission_level"), F.when(F.col("s_suppkey") % 5 == 0, F.lit("1997-01-01 00:00:00").cast("timestamp")).alias("expires_at"))
     members = supplier.join(customer, F.col("c_custkey") % 100 == F.col("s_suppkey") % 100).select(F.col("s_suppkey").alias("group_id"), F.col("c_custkey").alias("user_id"))
-    users = customer.where("c_custkey < 40").select(F.col("c_custkey").alias("user_id"))
-    return {"files": files, "folders": folders, "permissions": on_files.unionByName(on_folders), "members": members, "users": users, "as_of": F.lit(AS_OF).cast("timestamp")}
+    o = orders.select(F.col("o_orderkey").alias("id"), F.explode(F.array("o_custkey", F.col("o_custkey") + 1)).alias("user_id"))
+    asked = o.unionByName(items.select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("user_id"))).distinct()
+    return {"files": files, "folders": folders, "permissions": on_files.unionByName(on_folders), "members": members, "asked": asked, "as_of": F.lit(AS_OF).cast("timestamp")}
 
 
 def _levels(t: dict, mode: str) -> DataFrame:
-    return access.effective(t["files"], t["folders"], t["permissions"], t["members"], t["users"], t["as_of"], mode)
+    return access.effective(t["asked"], t["files"], t["folders"], t["permissions"], t["members"], t["as_of"], mode)
 
 
 def ag01_effective_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,9 @@ def ag02_tiered_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ag03_file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of user 7, over all files."""
     t = tables(spark, sf_dir)
+    t["asked"] = t["files"].select("id", F.lit(7).cast("long").alias("user_id"))
     tree = access.file_tree(t["files"], _levels(t, "tiered"))
     return tree.select("user_id", F.size(F.from_json("tree", "array<struct<path:string,id:long,effective_permission:string>>")).alias("n_files"), F.md5("tree").alias("digest"))
 
@@ -71,15 +75,14 @@ def ag03_file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jn01_group_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     g = access.granted(t["permissions"], t["members"], t["as_of"]).where("by_group and resource_type = 'file'")
-    return g.join(t["users"], "user_id", "left_semi").groupBy(F.col("resource_id").alias("id"), "user_id").agg(access.level_of(F.max("rank")).alias("level"))
+    return g.groupBy(F.col("resource_id").alias("id"), "user_id").agg(access.level_of(F.max("rank")).alias("level"))
 
 
 def jn02_folder_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
-    g = access.granted(t["permissions"], t["members"], t["as_of"]).where("resource_type = 'folder'").join(t["users"], "user_id", "left_semi")
+    g = t["permissions"].where(F.col("resource_type") == "folder").where(access.unexpired(F.col("expires_at"), t["as_of"]))
     placed = access.live(t["files"]).select("id", F.col("parent_folder_id").alias("resource_id"))
-    best = g.groupBy("resource_id", "user_id").agg(F.max("rank").alias("rank"))
-    return placed.join(best, "resource_id").select("id", "user_id", access.level_of(F.col("rank")).alias("level"))
+    return placed.join(g, "resource_id").select("id", "grantee_id", "grantee_type", "permission_level")
 
 
 def jn03_secure_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +97,7 @@ def fl08_writable_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jn04_shared_with_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
-    groups = t["members"].where("user_id = 7").select(F.col("group_id").alias("grantee_id"))
+    groups = t["members"].where("user_id = 8").select(F.col("group_id").alias("grantee_id"))
     return t["permissions"].where("grantee_type = 'group' and resource_type = 'file'").join(groups, "grantee_id", "left_semi").select("resource_id", "grantee_id")
 
 
@@ -163,7 +166,7 @@ def dm03_track_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dm04_managed_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes of users below 40 to files that they may write, numbered on from the file's versions."""
+    """Asked writes by users who may write, numbered on from the file's versions."""
     t = tables(spark, sf_dir)
     allowed = access.require(_levels(t, "max"), "write").select(F.col("id").alias("file_id"), "user_id")
     last = _versions(spark, sf_dir).groupBy("file_id").agg(F.max("version_number").alias("last"))
@@ -224,25 +227,27 @@ QUERIES = {f.__name__: f for f in (
     dm08_required_write, dm08_grant_revoke, dm09_group_members, dm01_upsert, dm02_soft_delete, dm03_track_writes, dm04_managed_writes, dm05_read_version, dm06_restore, dm07_share_links, dm10_context_user, so01_files_by_path, so02_versions_descending, so03_top_rank, so08_first_row, constraints,
 )}
 _LIVE = "f AS (SELECT * FROM files WHERE deleted_at IS NULL)"
-_EVERY = f"""every AS (SELECT id, owner_id AS user_id, 0 AS tier, 3 AS r FROM f JOIN users ON owner_id = user_id UNION ALL SELECT id, user_id, 1, 1 FROM f, users WHERE visibility = 'public'
- UNION ALL SELECT f.id, g.user_id, g.tier, {LEVEL} FROM f JOIN granted g ON g.resource_id = f.id AND g.resource_type = 'file' JOIN users USING (user_id)"""
+_EVERY = f"""a AS (SELECT asked.user_id, f.* FROM asked JOIN f USING (id)),
+ every AS (SELECT id, user_id, 0 AS tier, 3 AS r FROM a WHERE owner_id = user_id UNION ALL SELECT id, user_id, 1, 1 FROM a WHERE visibility = 'public'
+ UNION ALL SELECT a.id, a.user_id, g.tier, {LEVEL} FROM a JOIN granted g ON g.resource_id = a.id AND g.resource_type = 'file' AND g.user_id = a.user_id"""
 _MAX = f"""{WITH}, {GRANTED}, {_LIVE}, d AS (SELECT * FROM folders WHERE deleted_at IS NULL), {_EVERY}
- UNION ALL SELECT f.id, g.user_id, 4, {LEVEL} FROM f JOIN d ON f.parent_folder_id = d.id JOIN granted g ON g.resource_id = d.id AND g.resource_type = 'folder' JOIN users USING (user_id)
- UNION ALL SELECT f.id, d.owner_id, 4, 3 FROM f JOIN d ON f.parent_folder_id = d.id JOIN users ON users.user_id = d.owner_id UNION ALL SELECT f.id, user_id, 4, 1 FROM f JOIN d ON f.parent_folder_id = d.id, users WHERE d.visibility = 'public'),
- levels AS (SELECT id, user_id, max(r) AS r FROM every GROUP BY id, user_id)"""
-_TIERED = f"""{WITH}, {GRANTED}, {_LIVE}, {_EVERY}
- UNION ALL SELECT f.id, g.user_id, 4, {LEVEL} FROM f JOIN granted g ON g.resource_id = f.parent_folder_id AND g.resource_type = 'folder' JOIN users USING (user_id)),
- levels AS (SELECT id, user_id, r FROM (SELECT *, row_number() OVER (PARTITION BY id, user_id ORDER BY tier, r DESC) AS k FROM every) WHERE k = 1)"""
+ UNION ALL SELECT a.id, a.user_id, 4, {LEVEL} FROM a JOIN d ON a.parent_folder_id = d.id JOIN granted g ON g.resource_id = d.id AND g.resource_type = 'folder' AND g.user_id = a.user_id
+ UNION ALL SELECT a.id, a.user_id, 4, CASE WHEN d.owner_id = a.user_id THEN 3 ELSE 1 END FROM a JOIN d ON a.parent_folder_id = d.id WHERE d.owner_id = a.user_id OR d.visibility = 'public'),
+ levels AS (SELECT asked.id, asked.user_id, max(r) AS r FROM asked LEFT JOIN every USING (id, user_id) GROUP BY ALL)"""
+_FOLDERS = f" UNION ALL SELECT a.id, a.user_id, 4, {LEVEL} FROM a JOIN granted g ON g.resource_id = a.parent_folder_id AND g.resource_type = 'folder' AND g.user_id = a.user_id)"
+_FIRST = "levels AS (SELECT asked.id, asked.user_id, arg_max(r, -tier * 10 + r) AS r FROM asked LEFT JOIN every USING (id, user_id) GROUP BY ALL)"
+_TIERED = f"{WITH}, {GRANTED}, {_LIVE}, {_EVERY}{_FOLDERS}, {_FIRST}"
+_TREE = _TIERED.replace(ASKED_SQL, "asked AS (SELECT id, CAST(7 AS BIGINT) AS user_id FROM files)")
 _SEEN = "SELECT id, owner_id, path FROM files WHERE owner_id = 7 OR EXISTS (SELECT 1 FROM granted g WHERE g.resource_id = files.id AND g.resource_type = 'file' AND g.user_id = 7{0})"
 ORACLE_SQL = {
     "ag01_effective_permission": f"{_MAX} SELECT id, user_id, {NAME.format('r')} AS level FROM levels",
     "ag02_tiered_permission": f"{_TIERED} SELECT id, user_id, {NAME.format('r')} AS level FROM levels",
-    "ag03_file_tree": f"""{_TIERED}, t AS (SELECT user_id, path, '{{"path":"' || path || '","id":' || id || ',"effective_permission":"' || {NAME.format('r')} || '"}}' AS x FROM levels JOIN f USING (id)) SELECT user_id, CAST(count(*) AS INTEGER) AS n_files, md5('[' || string_agg(x, ',' ORDER BY path) || ']') AS digest FROM t GROUP BY user_id""",
-    "jn01_group_grants": f"{WITH}, {GRANTED} SELECT resource_id AS id, user_id, {NAME.format(f'max({LEVEL})')} AS level FROM granted JOIN users USING (user_id) WHERE tier = 3 AND resource_type = 'file' GROUP BY resource_id, user_id",
-    "jn02_folder_grants": f"{WITH}, {GRANTED}, {_LIVE} SELECT f.id, user_id, {NAME.format(f'max({LEVEL})')} AS level FROM f JOIN granted ON resource_id = parent_folder_id AND resource_type = 'folder' JOIN users USING (user_id) GROUP BY f.id, user_id",
+    "ag03_file_tree": f"""{_TREE}, t AS (SELECT user_id, path, '{{"path":"' || path || '","id":' || id || ',"effective_permission":"' || {NAME.format('r')} || '"}}' AS x FROM levels JOIN f USING (id) WHERE r IS NOT NULL) SELECT user_id, CAST(count(*) AS INTEGER) AS n_files, md5('[' || string_agg(x, ',' ORDER BY path) || ']') AS digest FROM t GROUP BY user_id""",
+    "jn01_group_grants": f"{WITH}, {GRANTED} SELECT resource_id AS id, user_id, {NAME.format(f'max({LEVEL})')} AS level FROM granted WHERE tier = 3 AND resource_type = 'file' GROUP BY resource_id, user_id",
+    "jn02_folder_grants": f"{WITH}, {_LIVE} SELECT f.id, grantee_id, grantee_type, permission_level FROM f JOIN permissions ON resource_id = parent_folder_id WHERE resource_type = 'folder' AND (expires_at IS NULL OR expires_at > TIMESTAMP '{AS_OF}')",
     "jn03_secure_view": f"{WITH}, {GRANTED} {_SEEN.format('')} OR visibility = 'public' OR EXISTS (SELECT 1 FROM granted g WHERE g.resource_id = files.parent_folder_id AND g.resource_type = 'folder' AND g.user_id = 7 AND tier = 2)",
     "fl08_writable_view": f"{WITH}, {GRANTED} {_SEEN.format(chr(32) + 'AND ' + LEVEL + ' >= 2')}",
-    "jn04_shared_with_groups": f"{WITH} SELECT resource_id, grantee_id FROM permissions WHERE grantee_type = 'group' AND resource_type = 'file' AND grantee_id IN (SELECT group_id FROM members WHERE user_id = 7)",
+    "jn04_shared_with_groups": f"{WITH} SELECT resource_id, grantee_id FROM permissions WHERE grantee_type = 'group' AND resource_type = 'file' AND grantee_id IN (SELECT group_id FROM members WHERE user_id = 8)",
     "jn05_groups_of_user": f"{WITH} SELECT CAST(s_nationkey AS BIGINT) AS user_id, s_suppkey AS group_id FROM supplier UNION SELECT user_id, group_id FROM members",
     "fl05_live_files": f"{WITH} SELECT id, path FROM files WHERE deleted_at IS NULL",
     "fl06_lookups": f"{WITH} SELECT id, owner_id, path FROM files WHERE id IN (1, 5, 9, 12) OR owner_id = 7",

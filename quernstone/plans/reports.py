@@ -15,8 +15,8 @@ from .common import table
 from .types import FILE_NAMES_SQL, _file_names
 
 EXPORTS_SQL = "exports AS (SELECT replace(p_name, ' ', '_') || '_' || p_size AS name, 'src/f' || (p_partkey % 97) || '.tsx' AS path, p_partkey % 10 = 0 AS is_default, p_partkey FROM part)"
-IMPORTS_SQL = f"imports AS (SELECT 'src/f' || (l_orderkey % 97) || '.tsx' AS path, 'src/f' || (l_partkey % 150) || '.tsx' AS source, row_number() OVER (PARTITION BY l_orderkey % 97 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS pos FROM lineitem WHERE l_orderkey < 400)"
-USAGE_SQL = "usage AS (SELECT DISTINCT 'pkg-' || (l_suppkey % 17) AS package, 'f' || (l_orderkey % 1000) AS file, CASE l_linenumber % 4 WHEN 0 THEN 'code' WHEN 1 THEN 'comment' WHEN 2 THEN 'text' ELSE 'import' END AS context, l_linenumber AS line FROM lineitem WHERE l_suppkey % 5 <> 0)"
+IMPORTS_SQL = f"imports AS (SELECT 'src/f' || (l_orderkey % 97) || '.tsx' AS path, 'src/f' || (l_partkey % 150) || '.tsx' AS source, row_number() OVER (PARTITION BY l_orderkey % 97 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS pos FROM lineitem)"
+USAGE_SQL = "usage AS (SELECT DISTINCT 'pkg-' || (l_suppkey % 17) AS package, 'f' || (l_orderkey % 1000) AS file, CASE l_linenumber % 4 WHEN 0 THEN 'code' WHEN 1 THEN 'comment' WHEN 2 THEN 'text' ELSE 'import' END AS context, l_linenumber AS line FROM lineitem)"
 EXT = "coalesce(nullif(lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '[^/](\\.[^./]+)$', 1)), ''), '(no ext)')"
 
 
@@ -25,7 +25,7 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey < 400")
+    items = table(spark, sf_dir, "lineitem")
     numbered = items.selectExpr("concat('src/f', l_orderkey % 97, '.tsx') AS path", "concat('src/f', l_partkey % 150, '.tsx') AS source", "row_number() OVER (PARTITION BY l_orderkey % 97 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS pos")
     return numbered.withColumn("pos", F.col("pos").cast("long"))
 
@@ -33,7 +33,7 @@ def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_linenumber") % 4
     context = F.when(k == 0, "code").when(k == 1, "comment").when(k == 2, "text").otherwise("import")
-    return table(spark, sf_dir, "lineitem").where("l_suppkey % 5 <> 0").select(F.concat(F.lit("pkg-"), F.col("l_suppkey") % 17).alias("package"), F.concat(F.lit("f"), F.col("l_orderkey") % 1000).alias("file"), context.alias("context"), F.col("l_linenumber").alias("line")).distinct()
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("pkg-"), F.col("l_suppkey") % 17).alias("package"), F.concat(F.lit("f"), F.col("l_orderkey") % 1000).alias("file"), context.alias("context"), F.col("l_linenumber").alias("line")).distinct()
 
 
 def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,15 +207,18 @@ def fl11_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.mentions(d, spark.createDataFrame([("the",), ("une",), ("der",)], "package string")).groupBy("path", "package").agg(F.count("*").alias("n_lines"))
 
 
-def fl12_noqa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    return d.where(~F.col("line").contains("the") & ~F.col("line").rlike(r"^\s*$")).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+def fl12_checked_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as source files: each line imports its first word; `und` and `the` become marks, every tenth file has one on top."""
+    source = F.regexp_replace(F.replace("text", F.lit(" und "), F.lit(" # noqa ")), r"(?m)^", "import ")
+    top = F.when(F.col("doc_id") % 10 == 0, "# noqa: import-checker\n").when(F.col("doc_id") % 10 == 1, "\n\n\n\n\n# noqa: import-checker\n").otherwise("")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(top, source).alias("text"))
+    return code.checked_imports(d, ("die", "the", "la", "el")).groupBy("path").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("module").alias("last_module"))
 
 
 QUERIES = {f.__name__: f for f in (
     ag04_extension_histogram, ag05_excluded_extensions, ag06_collisions, ag07_collision_summary, ag08_package_counts, ag09_keep_last, ag10_dominant_context, ag11_action_tiers, ag12_size_totals, ag13_dependencies, ag14_staleness, ag15_grouped_messages,
     ag16_repeated_imports, ag17_covered_prefixes, ag18_exclusion_footer, jn06_import_packages, jn07_exports_imports, jn08_collision_members, jn09_invalid_imports, jn10_import_resolution, jn11_upstream_callers, jn12_alias_resolution, jn13_companions,
-    set01_union_counts, set02_intersection, set03_difference, set04_first_wins, set05_additional_files, so04_top_sizes, so05_top_collisions, so06_callers_sorted, so07_tree_order, fl11_mentions, fl12_noqa_lines, ca16_barrel_index,
+    set01_union_counts, set02_intersection, set03_difference, set04_first_wins, set05_additional_files, so04_top_sizes, so05_top_collisions, so06_callers_sorted, so07_tree_order, fl11_mentions, fl12_checked_imports, ca16_barrel_index,
 )}
 _COLLISIONS = f"WITH {EXPORTS_SQL}, c AS (SELECT name, count(*) AS n, list_sort(list(path)) AS paths FROM (SELECT DISTINCT name, path FROM exports) GROUP BY name HAVING count(*) > 1)"
 _HIST = f"SELECT {EXT} AS ext, count(*) AS n_files, count(DISTINCT regexp_replace(path, '/?[^/]*$', '')) AS n_dirs FROM {FILE_NAMES_SQL}"
@@ -257,5 +260,8 @@ ORACLE_SQL = {
     "so05_top_collisions": f"{_COLLISIONS} SELECT name, n FROM c ORDER BY n DESC, name LIMIT 10",
     "so06_callers_sorted": f"WITH {USAGE_SQL} SELECT DISTINCT function, caller FROM ({_CALLERS}) ORDER BY function, caller",
     "fl11_mentions": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT CAST(doc_id AS VARCHAR) AS path, p AS package, count(*) AS n_lines FROM l, (VALUES ('the'), ('une'), ('der')) v(p) WHERE NOT contains(line, '# noqa') AND list_contains(regexp_extract_all(lower(line), '[a-z0-9_]+(?:-[a-z0-9_]+)*'), p) GROUP BY 1, 2",
-    "fl12_noqa_lines": "SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE NOT contains(line, 'the') AND NOT regexp_full_match(line, '[\\s\\x0b]*') GROUP BY doc_id",
+    "fl12_checked_imports": r"""WITH f AS (SELECT doc_id, string_split(CASE doc_id % 10 WHEN 0 THEN '# noqa: import-checker' || chr(10) WHEN 1 THEN repeat(chr(10), 5) || '# noqa: import-checker' || chr(10) ELSE '' END || regexp_replace(replace(text, ' und ', ' # noqa '), '(?m)^', 'import ', 'g'), chr(10)) AS lines FROM documents WHERE doc_id % 10 <> 0),
+ l AS (SELECT doc_id, lines[i] AS s, i AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM f)),
+ m AS (SELECT doc_id, line, regexp_extract(s, '^\s*import\s+(\w[\w.]*)', 1) AS module FROM l WHERE NOT contains(s, '# noqa'))
+ SELECT CAST(doc_id AS VARCHAR) AS path, count(*) AS n, CAST(min(line) AS INTEGER) AS first_line, max(module) AS last_module FROM m WHERE module <> '' AND string_split(module, '.')[1] NOT IN ('die', 'the', 'la', 'el') GROUP BY doc_id""",
 }

@@ -85,6 +85,20 @@ def test_python_signatures(spark):
     assert [r.path for r in plans.ca06_python_signatures(spark, "").where("error is not null").collect()] == ["app/broken.py"]
 
 
+def test_signatures_of_all_kinds(spark):
+    source = ("A = 1\nAb_c = 2\nAbC = [1]*3\nLONG = [%s]\n_P = 3\nX: Optional[int] = None\nQ: int = 3\nkind = Enum('a')\n" % ", ".join(["123456789"] * 20)) + (
+        "class M(BaseModel, K):\n    a: int\n    b: str = ...\n    c: str = Field(..., description='z')\n    d: list = Field(default_factory=list)\n    e: int = Field(default=3)\n    _f: int = 3\n"
+        "    class In:\n        async def go(self, *, k: int = 3, **kw): pass\n    def m(self, a, /, b=1, *c, d=2) -> 'x': pass\nclass E: pass\ndef m(): pass\ndef f(a=1, /, b: int=2, *, c):\n    def g(x): pass\n"
+    )
+    df = spark.createDataFrame([("a.py", source), ("b.py", ""), ("c.py", "def ("), ("d.py", None)], "path string, text string")
+    assert [r.signature for r in code.python_signatures(df).where("path = 'a.py'").orderBy("pos").collect()] == [
+        "AbC = [1] * 3", "LONG = [20 items]", "X: Optional[int] = None", "kind = Enum('a')", "class M(BaseModel, K):", "    # fields: a: int, b: str = ..., c: str, d: list = list(), e: int = 3",
+        "    def m(self, a, /, b = 1, *c, d = 2) -> 'x'", "class E:", "class In:", "    async def go(self, *, k: int = 3, **kw)", "def f(a = 1, /, b: int = 2, *, c)", "def g(x)",
+    ]
+    assert rows(code.python_signatures(df).where("path <> 'a.py'")) == [("c.py", "SyntaxError", None, None)]
+    assert rows(code.definitions(df).where("kind = 'method'").select("class", "name", "args")) == [("M", "m", ["b"]), ("In", "go", ["self"])]
+
+
 def test_calls_skip_private_and_ignored(spark):
     got = rows(plans.ca08_call_graph(spark, "").where("error is null").select("caller", "callee", "line"))
     assert got == [(None, "app.main.Field", 12), ("app.main.total", "app.main.area", 19), ("app.main.area", "...join", 23)]
@@ -140,10 +154,12 @@ def test_modes_of_permission_disagree_on_public_files(spark):
     d = spark.createDataFrame([(5, 8, "/", "private", None)], "id int, owner_id int, path string, visibility string, deleted_at timestamp")
     p = spark.createDataFrame([(1, "file", 7, "user", "write", None)], "resource_id int, resource_type string, grantee_id int, grantee_type string, permission_level string, expires_at timestamp")
     m = spark.createDataFrame([], "group_id int, user_id int")
-    u = spark.createDataFrame([(7,), (8,), (9,)], "user_id int")
+    asked = spark.createDataFrame([(1, 7), (1, 8), (1, 9), (1, 6), (2, 7)], "id int, user_id int")
     now = F.lit("2020-01-01").cast("timestamp")
-    assert {r.user_id: r.level for r in access.effective(f, d, p, m, u, now, "max").collect()} == {7: "write", 8: "admin", 9: "admin"}
-    assert {r.user_id: r.level for r in access.effective(f, d, p, m, u, now, "tiered").collect()} == {7: "read", 8: "read", 9: "admin"}
+    assert {r.user_id: r.level for r in access.effective(asked, f, d, p, m, now, "max").where("id = 1").collect()} == {6: "read", 7: "write", 8: "admin", 9: "admin"}
+    assert {r.user_id: r.level for r in access.effective(asked, f, d, p, m, now, "tiered").where("id = 1").collect()} == {6: "read", 7: "read", 8: "read", 9: "admin"}
+    assert [r.level for r in access.effective(asked, f, d, p, m, now).where("id = 2").collect()] == [None]
+    assert access.effective(asked.limit(0), f, d, p, m, now).count() == 0
 
 
 def test_file_tree_and_text(spark, tmp_path):
