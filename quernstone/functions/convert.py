@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,3 +105,57 @@ def megabytes(n: Column) -> Column:
     """Bytes as MB: whole from 1 on, else with one decimal, halves to even."""
     mb = n.cast("double") / F.lit(1024.0 * 1024.0)
     return F.when(mb >= 1, F.bround(mb, 0)).otherwise(F.bround(mb, 1))
+
+
+_JSON_LINE = re.compile(r'( *)(?:("(?:[^"\\]|\\.)*"): )?(.*?)(,?)$')
+
+
+def _literal(document, camel: bool) -> str:
+    """Rewrites the lines of indented JSON: names without quotes where they may be, texts as they are, empty containers open."""
+    out = []
+    for line in json.dumps(document, indent=4).split("\n"):
+        indent, key, value, comma = _JSON_LINE.fullmatch(line).groups()
+        if key is not None:
+            name = json.loads(key)
+            name = camel_key(name) if camel else name
+            key = (name if name.isidentifier() else f'"{name}"') + ": "
+        if value.startswith('"'):
+            value = f'"{json.loads(value)}"'
+        elif value in ("{}", "[]"):
+            value = f"{value[0]}\n{indent}    \n{indent}{value[1]}"
+        out.append(f"{indent}{key or ''}{value}{comma}")
+    return "\n".join(out)
+
+
+def typescript_literal(c: Column, camel: bool = False) -> Column:
+    """A JSON text as a TypeScript literal, four spaces a level; names are quoted where they must be, texts are not escaped.
+    Null for what isn't JSON."""
+
+    @F.pandas_udf("string")
+    def literal(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return None if text is None else _literal(json.loads(text), camel)
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return literal(c)
+
+
+def typescript_const(c: Column, name: str, camel: bool = True, export: bool = True, as_const: bool = False, kind: str | None = None) -> Column:
+    head = f"{'export ' * export}const {name}{f': {kind}' if kind else ''} = "
+    return F.concat(F.lit(head), typescript_literal(c, camel), F.lit(f"{' as const' * as_const};\n"))
+
+
+def camel_key(name: str) -> str:
+    """A name in camelCase: words begin at capitals and behind signs."""
+    first, *rest = key_words(name)
+    return first + "".join(w[:1].upper() + w[1:] for w in rest)
+
+
+def key_words(name: str) -> list[str]:
+    split = "".join("_" + ch if ch.isascii() and ch.isupper() and i else ch for i, ch in enumerate(name))
+    clean = re.sub("_+", "_", "".join(ch if ch.isascii() and ch.isalnum() else "_" for ch in split).lower())
+    return clean.split("_")

@@ -72,3 +72,16 @@ def allowed_folders(path: Column, allowed: tuple[str, ...]) -> Column:
         return F.lit(True)
     p = parts(path)
     return F.forall(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), lambda x: F.lower(x).isin(*(a.lower() for a in allowed)))
+
+
+def resolved(root: Column, path: Column) -> Column:
+    """A path under a root, with `.` and `..` folded; `..` may leave the root."""
+    every = F.split(F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"), path), "/", -1)
+    last = lambda done: F.try_element_at(done, F.lit(-1))
+
+    def fold(done: Column, part: Column) -> Column:
+        back = (part == "..") & (F.size(done) > 0) & ~F.coalesce(last(done).isin("", ".."), F.lit(True))
+        skip = part.isin("", ".") & (F.size(done) > 0)
+        return F.when(back, F.slice(done, F.lit(1), F.size(done) - 1)).when(skip, done).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(every, F.array().cast("array<string>"), fold), "/")

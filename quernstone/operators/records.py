@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import case
+from ..functions import case, convert
 
 _TYPES = {"str": "string", "int": "bigint", "float": "double", "bool": "boolean", "list": "array<string>"}
 
@@ -41,8 +41,21 @@ def _cast(c: Column, f: Field) -> Column:
     return c
 
 
-def _without(values: Column, key: str) -> Column:
-    return F.map_filter(values, lambda k, _: k != F.lit(key))
+def _find(name: str, renames: list[tuple[str, str]], camel: bool) -> tuple[Column, Column]:
+    """Whether a record has a key after the renames, and its value: a target has its source's value where that is there,
+    else what it had before.  _v: the record; _snakes, _values: its keys with capitals in snake case, and all values."""
+    if renames:
+        *before, (source, target) = renames
+        has, value = _find(name, before, camel)
+        if name != target:
+            return has, value
+        moved, new = _find(source, before, camel)
+        return moved | has, F.when(moved, new).otherwise(value)
+    has, value = F.map_contains_key("_v", name), F.element_at(F.col("_v"), name)
+    if not camel:
+        return has, value
+    at = F.array_position("_snakes", name)
+    return has | (at > 0), F.when(has, value).otherwise(F.get("_values", (at - 1).cast("int")))
 
 
 def shape(df: DataFrame, values: str, fields: list[Field], renames: dict[str, str] | None = None, camel: bool = False) -> DataFrame:
@@ -53,18 +66,14 @@ def shape(df: DataFrame, values: str, fields: list[Field], renames: dict[str, st
     overwrite.  A key that is absent takes its default if the field is always included and is left out else; the text
     "default" takes the default; a null stays; what can't be converted stays as it is.
     """
-    v = F.coalesce(F.col(values), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    base = df.withColumn("_v", F.coalesce(F.col(values), none))
     if camel:
-        named = F.transform(F.filter(F.map_entries(v), lambda e: e["key"].rlike("[A-Z]")), lambda e: F.struct(case.snake_two_pass(e["key"]).alias("key"), e["value"].alias("value")))
-        fresh = F.filter(named, lambda e: ~F.map_contains_key(v, e["key"]))
-        first = F.filter(fresh, lambda e, i: ~F.exists(F.slice(fresh, F.lit(1), i), lambda x: x["key"] == e["key"]))
-        v = F.map_concat(v, F.map_from_entries(first))
-    for source, target in (renames or {}).items():
-        v = F.when(F.map_contains_key(v, source), F.map_concat(_without(v, target), F.create_map(F.lit(target), F.element_at(v, source)))).otherwise(v)
-    base = df.withColumn("_v", v)
+        snakes = F.transform(F.map_keys("_v"), lambda k: F.when(k.rlike("[A-Z]"), case.snake_two_pass(k)).otherwise(""))
+        base = base.withColumns({"_snakes": snakes, "_values": F.map_values("_v")})
     out, there = [], []
     for f in fields:
-        has, raw = F.map_contains_key("_v", f.name), F.element_at(F.col("_v"), f.name)
+        has, raw = _find(f.name, list((renames or {}).items()), camel)
         wants = has & F.coalesce(raw == "default", F.lit(False))
         out.append(F.when(wants | (~has & F.lit(f.always)), _default(f)).when(has, _cast(raw, f)).alias(f.name))
         there.append(F.when((has & ~wants) | F.lit(f.always) | (wants & F.lit(f.default is not None)), F.lit(f.name)))
@@ -87,22 +96,9 @@ def rename_keys(kind: T.DataType, change) -> T.DataType:
     return kind
 
 
-def _camel(name: str) -> str:
-    first, *rest = case_tokens(name)
-    return first + "".join(t[:1].upper() + t[1:] for t in rest)
-
-
-def case_tokens(name: str) -> list[str]:
-    out = "".join("_" + ch if ch.isascii() and ch.isupper() and i else ch for i, ch in enumerate(name))
-    clean = "".join(ch if ch.isascii() and ch.isalnum() else "_" for ch in out).lower()
-    while "__" in clean:
-        clean = clean.replace("__", "_")
-    return clean.split("_")
-
-
 def keys_to_camel(df: DataFrame) -> DataFrame:
     """All columns and struct fields renamed to camelCase; no data moves."""
-    kind = rename_keys(df.schema, _camel)
+    kind = rename_keys(df.schema, convert.camel_key)
     return df.select(*(F.col(f"`{old.name}`").cast(new.dataType).alias(new.name) for old, new in zip(df.schema, kind, strict=True)))
 
 
@@ -125,20 +121,31 @@ def merged_json(old: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
 
 
-_PY = {"str": "str", "int": "int", "float": "float", "bool": "bool", "list": "list"}
-
-
 def struct_of(fields: list[Field]) -> T.StructType:
     """The Spark type of a record with these fields."""
     return T.StructType([T.StructField(f.name, T._parse_datatype_string(_TYPES[f.kind] if f.kind != "list" else f"array<{_TYPES[f.of]}>"), not f.always) for f in fields])
 
 
-def class_text(name: str, fields: list[Field]) -> str:
-    """Python text of a data class: fields without a default first, then the rest, and `to_dict`."""
-    need, rest = [f for f in fields if f.always and f.default is None], [f for f in fields if not (f.always and f.default is None)]
-    kind = lambda f: f"list[{f.of}]" if f.kind == "list" else _PY[f.kind]
-    body = [f"    {f.name}: {kind(f)}" for f in need] + [f"    {f.name}: {kind(f)} | None = {f.default!r}" if f.kind != "list" else f"    {f.name}: {kind(f)} | None = None" for f in rest]
-    return "\n".join(["from dataclasses import asdict, dataclass", "", "", "@dataclass", f"class {name}:", *body, "", "    def to_dict(self):", "        return {k: v for k, v in asdict(self).items() if v is not None}", ""])
+def class_text(fields: DataFrame) -> DataFrame:
+    """class, text: Python text of each data class: fields that must be given first, then the rest, and `to_dict`.
+
+    fields: class, pos, name, kind, of, always, default (a Python literal; null for none), a row a field.
+    """
+    kind = F.when(F.col("kind") == "list", F.concat(F.lit("list["), "of", F.lit("]"))).otherwise(F.col("kind"))
+    must = F.col("always") & F.col("default").isNull()
+    given = F.when(F.col("kind") == "list", "None").otherwise(F.coalesce("default", F.lit("None")))
+    line = F.concat(F.lit("    "), "name", F.lit(": "), kind, F.when(must, "").otherwise(F.concat(F.lit(" | None = "), given)))
+    rows = fields.groupBy("class").agg(F.array_sort(F.collect_list(F.struct((~must).alias("later"), F.col("pos"), line.alias("line")))).alias("x"))
+    head, tail = "from dataclasses import asdict, dataclass\n\n\n@dataclass\nclass ", "\n\n    def to_dict(self):\n        return {k: v for k, v in asdict(self).items() if v is not None}\n"
+    return rows.select("class", F.concat(F.lit(head), "class", F.lit(":\n"), F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit(tail)).alias("text"))
+
+
+def field_rows(name: str, fields: list[Field]) -> list[tuple]:
+    """Rows of `class_text` for declared fields."""
+    return [(name, i, f.name, f.kind, f.of, f.always, None if f.default is None else repr(f.default)) for i, f in enumerate(fields)]
+
+
+FIELD_ROWS = "class string, pos int, name string, kind string, of string, always boolean, default string"
 
 
 def files_json(files: DataFrame, path: str = "path") -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import code
+from ..functions import paths
+from ..operators import code, reports
+from ..sources import files
 from ..streaming import versions as stream
 from .common import table, values_df, values_sql
+from .reports import TREE_SQL
 
 PY = '''"""A module."""
 import os, json.decoder
@@ -65,8 +69,6 @@ def ca04_strip_document_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ca02_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables' own files, by their names."""
-    from ..sources import files
-
     return files.tree(spark, sf_dir, "*.parquet", exact=("part.parquet",), words=("orders",), include=(".parquet",)).select(F.regexp_extract("path", r"^([^/]+)", 1).alias("table")).distinct()
 
 
@@ -109,10 +111,8 @@ def ca14_react_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ca15_react_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import reports
-
     f = _files(spark).where("path like '%.tsx'")
-    e = code.react_exports(f).select("path", F.explode("named_exports").alias("name"))
+    e = code.react_exports(f, ignore=("helper",)).select("path", F.explode("named_exports").alias("name"))
     return reports.combined(f, e, code.react_imports(f))
 
 
@@ -125,22 +125,74 @@ def ca19_mention_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.mention_context(f, code.mentions(f, spark.createDataFrame([("numpy",), ("json",)], "package string")))
 
 
+def sc01_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation names written as text files and read back whole; a folder that is missing gives nothing."""
+    at = files.scratch_dir(spark, "text")
+    files.write_text(table(spark, sf_dir, "nation").select("n_name"), at)
+    whole = files.read_text(spark, at).unionByName(files.read_text(spark, f"{at}-missing"))
+    return whole.select(F.explode(F.split("text", "\n", -1)).alias("line")).where("line <> ''")
+
+
 def sc02_resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources import files
+    up = F.expr("repeat('/..', p_size % 4)")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 3 == 0, "../").otherwise("./"), "p_brand", F.lit("/.."), up, F.lit("//"), "p_name").alias("path"))
+    return p.select("p_partkey", paths.resolved(F.lit("/srv/app/"), F.col("path")).alias("out"))
 
-    return spark.createDataFrame([(p, files.resolve({"base": "/srv/app"}, "base", p)) for p in ("a/b", "./a/../c", "../../etc")], "path string, out string")
 
+def sc03_append_list_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines after writing and appending, and whether files are there before and after they are deleted."""
+    at, other = files.scratch_dir(spark, "lines"), files.scratch_dir(spark, "gone")
+    names = table(spark, sf_dir, "region").select(F.col("r_name").alias("name"))
+    files.write_text(names, at)
+    files.write_text(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), at, append=True)
+    files.write_text(names, other)
+    there = [files.exists(spark, other), files.delete(spark, other), files.exists(spark, other), files.delete(spark, other)]
+    listed = files.tree(spark, at, "part-*").where("n_bytes > 0").agg(F.lit("files").alias("what"), (F.count("*") > 1).cast("string").alias("value"))
+    lines = files.read_texts(spark, at).select(F.lit("line").alias("what"), F.col("text").alias("value"))
+    return lines.unionByName(listed).unionByName(spark.createDataFrame([("deleted", str(there))], "what string, value string"))
 
-def sc08_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts of files, through the text source; the tables hold no slides or PDFs."""
-    from ..sources import files
 
-    return files.tree(spark, sf_dir, "region.parquet").select("path", "n_bytes")
+def sc07_document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages and documents through text files: a sign that none of them has ends each."""
+    at = files.scratch_dir(spark, "documents")
+    files.write_text(table(spark, sf_dir, "documents").select("text"), at, end="\x1e")
+    files.write_text(table(spark, sf_dir, "pages").select("html"), at, append=True, end="\x1e")
+    return files.read_texts(spark, at, end="\x1e").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
 
 
-def sc20_generated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import paths
+def sc10_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deck for each region with a slide for each nation, made, and read as slides."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    decks = n.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("x"))
+
+    def make(batches):
+        for b in batches:
+            content = [files.deck([[r["n_name"], f"of {name}"] if r["n_nationkey"] % 5 else [] for r in x]) for name, x in zip(b["r_name"], b["x"], strict=True)]
+            yield pd.DataFrame({"path": b["r_name"] + ".pptx", "content": content})
+
+    return files.slides(decks.mapInPandas(make, "path string, content binary"))
 
+
+def sc17_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = files.scratch_dir(spark, "report")
+    report = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.lit('a "b", c').alias("note"))
+    files.write_report(report, f"{at}/csv")
+    files.write_report(report, f"{at}/json", "json")
+    back = spark.read.option("header", True).csv(f"{at}/csv").withColumn("kind", F.lit("csv"))
+    back = back.unionByName(spark.read.json(f"{at}/json").withColumn("kind", F.lit("json")).withColumn("n", F.col("n").cast("string")))
+    return back.select("kind", "c_mktsegment", F.col("n").cast("long").alias("n"), "note")
+
+
+def sc18_file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders with files under a root, but for excluded ones."""
+    at = files.scratch_dir(spark, "tree")
+    n = table(spark, sf_dir, "nation")
+    n.select("n_name", F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")).alias("r"), (F.col("n_nationkey") % 3).alias("k")).write.partitionBy("r", "k").text(at)
+    found = files.tree(spark, at, "*.txt", exact=("k=1",), include=(".txt",))
+    return found.select(paths.dirname(F.col("path")).alias("dir")).distinct()
+
+
+def sc20_generated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     name = paths.generated_name(F.when(F.col("user_id") % 2 == 0, "logs"), F.col("event_type"), F.col("event_id").cast("string"), "json", F.col("ts"))
     return e.select("event_id", name.alias("out"))
@@ -151,20 +203,37 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.windowed_counts(table(spark, sf_dir, "events").select("ts", "event_type"), "6 hours")
 
 
-QUERIES = {f.__name__: f for f in (ca02_discover, ca03_tree_text, ca04_strip_comments, ca04_strip_document_comments, ca05_decoded, ca06_python_signatures, ca07_regex_signatures, ca08_call_graph, ca09_definitions, ca10_context, ca13_react_exports, ca14_react_imports, ca15_react_pipeline, ca17_python_imports, ca19_mention_context, sc02_resolved_paths, sc08_documents, sc20_generated_names, stream_windowed_counts)}
+QUERIES = {f.__name__: f for f in (ca02_discover, ca03_tree_text, ca04_strip_comments, ca04_strip_document_comments, ca05_decoded, ca06_python_signatures, ca07_regex_signatures, ca08_call_graph, ca09_definitions, ca10_context, ca13_react_exports, ca14_react_imports, ca15_react_pipeline, ca17_python_imports, ca19_mention_context, sc01_text_files, sc02_resolved_paths, sc03_append_list_delete, sc07_document_files, sc10_slides, sc17_reports, sc18_file_tree, sc20_generated_names, stream_windowed_counts)}
 _BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '''''''[\s\S]*?''''''', '', 'g'), '\"\"\"[\s\S]*?\"\"\"', '', 'g'), '#[^\n]*', '', 'g'), '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*', '', 'g'), '--\[\[[\s\S]*?\]\]', '', 'g'), '--[^\n]*', '', 'g'), '<!--[\s\S]*?-->', '', 'g')"
 _STRIP = "regexp_replace(" + _BARE.replace('\\"', '"') + r", '\n[ \t]*\n[ \t]*\n+', chr(10) || chr(10), 'g')"
 _NO_COMMENTS = r"regexp_replace(regexp_replace(text, '//.*', '', 'g'), '(?s)/\*.*?\*/', '', 'g')"
 _IMPORT = r"""import\s+(?:([a-zA-Z0-9_$]+)\s*,\s*)?(?:\{{([^\}}]+)\}})?\s+from\s+[''"]([^''"]+)[''"];?""".replace("{{", "{").replace("}}", "}")
 _TRIMMED = r"lambda n: trim(n, ' ' || chr(10) || chr(9))"
+_EXPORTS = (
+    f"WITH t AS (SELECT path, {_NO_COMMENTS} AS s FROM {F_SQL} WHERE path LIKE '%.tsx'), d AS (SELECT path, s, regexp_extract(s, 'export\\s+default\\s+(?:async\\s+)?(?:function\\s+)?(?:[a-zA-Z_][a-zA-Z0-9_]*\\(|)([a-zA-Z_][a-zA-Z0-9_]*)', 1) AS d FROM t) "
+    f"SELECT path, nullif(d, '') AS default_export, list_sort(list_filter(list_distinct(list_concat(regexp_extract_all(s, 'export\\s+(?:const|function|type|interface)\\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1), list_transform(flatten(list_transform(regexp_extract_all(s, 'export\\s+\\{{\\s*([^}}]*)\\s*\\}}', 1), lambda x: string_split(x, ','))), {_TRIMMED}))), lambda n: n NOT IN ('', d, 'helper'))) AS named_exports FROM d"
+)
+_IMPORTS = (
+    f"WITH t AS (SELECT path, regexp_extract_all({_NO_COMMENTS}, '{_IMPORT}') AS m FROM {F_SQL} WHERE path LIKE '%.tsx'), r AS (SELECT path, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(m[i], '{_IMPORT}', 1) AS d, regexp_extract(m[i], '{_IMPORT}', 2) AS n, regexp_extract(m[i], '{_IMPORT}', 3) AS source FROM (SELECT path, m, unnest(range(1, len(m) + 1)) AS i FROM t)) "
+    f"SELECT path, pos, CASE WHEN starts_with(source, '@/') THEN 'alias' WHEN source[1] IN ('.', '/') THEN 'relative' ELSE 'package' END AS kind, source, nullif(d, '') AS default, CASE WHEN n = '' THEN CAST([] AS VARCHAR[]) ELSE list_transform(string_split(n, ','), {_TRIMMED}) END AS named, CASE WHEN starts_with(source, './') THEN 'web/' || substr(source, 3) END AS resolved_path FROM r"
+)
 ORACLE_SQL = {
     "ca04_strip_comments": f"SELECT path, {_STRIP.format('text')} AS out FROM {F_SQL}",
     "ca04_strip_document_comments": f"SELECT doc_id, md5({_STRIP.format('text')}) AS digest FROM documents",
     "ca05_decoded": f"SELECT path, path || 'é' AS out FROM {F_SQL}",
-    "ca13_react_exports": f"WITH t AS (SELECT path, {_NO_COMMENTS} AS s FROM {F_SQL} WHERE path LIKE '%.tsx'), d AS (SELECT path, s, regexp_extract(s, 'export\\s+default\\s+(?:async\\s+)?(?:function\\s+)?(?:[a-zA-Z_][a-zA-Z0-9_]*\\(|)([a-zA-Z_][a-zA-Z0-9_]*)', 1) AS d FROM t) "
-    f"SELECT path, nullif(d, '') AS default_export, list_sort(list_filter(list_distinct(list_concat(regexp_extract_all(s, 'export\\s+(?:const|function|type|interface)\\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1), list_transform(flatten(list_transform(regexp_extract_all(s, 'export\\s+\\{{\\s*([^}}]*)\\s*\\}}', 1), lambda x: string_split(x, ','))), {_TRIMMED}))), lambda n: n NOT IN ('', d, 'helper'))) AS named_exports FROM d",
-    "ca14_react_imports": f"WITH t AS (SELECT path, regexp_extract_all({_NO_COMMENTS}, '{_IMPORT}') AS m FROM {F_SQL} WHERE path LIKE '%.tsx'), r AS (SELECT path, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(m[i], '{_IMPORT}', 1) AS d, regexp_extract(m[i], '{_IMPORT}', 2) AS n, regexp_extract(m[i], '{_IMPORT}', 3) AS source FROM (SELECT path, m, unnest(range(1, len(m) + 1)) AS i FROM t)) "
-    f"SELECT path, pos, CASE WHEN starts_with(source, '@/') THEN 'alias' WHEN source[1] IN ('.', '/') THEN 'relative' ELSE 'package' END AS kind, source, nullif(d, '') AS default, CASE WHEN n = '' THEN CAST([] AS VARCHAR[]) ELSE list_transform(string_split(n, ','), {_TRIMMED}) END AS named, CASE WHEN starts_with(source, './') THEN 'web/' || substr(source, 3) END AS resolved_path FROM r",
+    "ca13_react_exports": _EXPORTS,
+    "ca14_react_imports": _IMPORTS,
+    "ca02_discover": "SELECT table_name || '.parquet' AS \"table\" FROM information_schema.tables WHERE table_name NOT IN ('part', 'orders')",
+    "ca03_tree_text": f"{TREE_SQL.format(f'SELECT path FROM {F_SQL}')} SELECT string_agg(line, chr(10) ORDER BY parts) AS tree FROM t",
+    "ca15_react_pipeline": f"SELECT e.path, e.named_exports AS exports, coalesce(i.imports, []) AS imports FROM ({_EXPORTS}) e LEFT JOIN (SELECT path, list_sort(list(DISTINCT source)) AS imports FROM ({_IMPORTS}) GROUP BY path) i ON e.path = i.path",
+    "sc01_text_files": "SELECT n_name AS line FROM nation",
+    "sc02_resolved_paths": """WITH p AS (SELECT p_partkey, string_split('/srv/app/' || CASE WHEN p_partkey % 3 = 0 THEN '../' ELSE './' END || p_brand || '/..' || repeat('/..', p_size % 4) || '//' || p_name, '/') AS parts FROM part)
+ SELECT p_partkey, array_to_string(list_reduce(list_transform(parts, lambda x: [x]), lambda d, x: CASE WHEN x[1] IN ('', '.') THEN d WHEN x[1] = '..' AND d[len(d)] NOT IN ('', '..') THEN d[1:len(d) - 1] ELSE list_append(d, x[1]) END), '/') AS out FROM p""",
+    "sc03_append_list_delete": "SELECT 'line' AS what, r_name AS value FROM region UNION ALL SELECT 'line', n_name FROM nation UNION ALL SELECT 'files', 'true' UNION ALL SELECT 'deleted', '[True, True, False, False]'",
+    "sc07_document_files": "SELECT md5(t) AS digest, count(*) AS n FROM (SELECT text AS t FROM documents UNION ALL SELECT html FROM pages) GROUP BY 1",
+    "sc10_slides": "SELECT r_name || '.pptx' AS path, CAST(k AS INTEGER) AS slide, n_name AS title, n_name || chr(10) || 'of ' || r_name AS text FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 0",
+    "sc17_reports": "SELECT kind, c_mktsegment, count(*) AS n, 'a \"b\", c' AS note FROM customer, (VALUES ('csv'), ('json')) v(kind) GROUP BY ALL",
+    "sc18_file_tree": "SELECT DISTINCT 'r=region_' || n_regionkey || '/k=' || (n_nationkey % 3) AS dir FROM nation WHERE n_nationkey % 3 <> 1",
     "sc20_generated_names": "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'logs/' ELSE '' END || event_type || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '_' || event_id || '.json' AS out FROM events",
     "stream_windowed_counts": "SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -101,6 +101,7 @@ _INLINE, _REFERENCE, _IMAGE = r"\[([^\]]+)\]\(([^)]+)\)", r"\[([^\]]+)\]: ([^\s]
 ORACLE_SQL = {
     "chunk_documents": f"SELECT lang, count(*) AS n_chunks, CAST(sum(length(chunk)) AS BIGINT) AS n_chars FROM (SELECT lang, unnest({CHUNK}) AS chunk FROM documents) GROUP BY lang",
     "ut01_chunks": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, length(c[i]) AS n_chars, md5(c[i]) AS digest FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, {CHUNK} AS c FROM documents))",
+    "ut02_chunk_map": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, upper(replace(c[i], 'ß', 'SS')) AS content FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, {CHUNK} AS c FROM documents))",
     "ut04_lines_words": "SELECT doc_id, CASE WHEN text = '' OR text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines, len(coalesce(regexp_extract_all(text, '[^\\s\\x0b]+'), [])) AS n_words, regexp_extract_all(text, '[^\\s\\x0b]+')[1] AS first_word FROM documents",
     "ut05_md_sections": f"SELECT s, CASE WHEN coalesce(s, '') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split_regex(s, '(?m)^# ') END AS out FROM {_M}",
     "ut06_md_headers": f"SELECT s, {_all('(?m)^# (.+)$')} AS one, {_all('(?m)^## (.+)$')} AS two FROM {_M}",

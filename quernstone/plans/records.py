@@ -10,6 +10,7 @@ from ..operators import records
 from ..operators.records import Field
 from ..sources import files
 from .common import table
+from .types import FILE_NAMES_SQL, _file_names
 
 FIELDS = [Field("event_kind", always=True), Field("user", "int"), Field("score", "float", default=1.5, always=True), Field("flag", "bool", default=True), Field("missing", always=True, default="none"), Field("absent")]
 
@@ -56,7 +57,18 @@ def pj07_without_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pj08_class_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(records.class_text("Event", FIELDS), records.struct_of(FIELDS).simpleString())], "text string, schema string")
+    """A class for each nation, its fields named after its customers' market segments, and one of declared fields."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_mktsegment").distinct()
+    n = F.length("c_mktsegment")
+    kind = F.when(n % 2 == 0, "int").otherwise("list")
+    made = c.select(F.col("n_name").alias("class"), n.alias("pos"), F.lower("c_mktsegment").alias("name"), kind.alias("kind"), F.lit("str").alias("of"), (n > 8).alias("always"), F.when(n % 3 == 0, "7").alias("default"))
+    return records.class_text(made.unionByName(spark.createDataFrame(records.field_rows("Event", FIELDS), records.FIELD_ROWS)))
+
+
+def st20_typescript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    document = F.concat(F.lit('{"user-id": '), F.col("user_id").cast("string"), F.lit(', "eventKind": "'), "event_type", F.lit('", "in": '), "props", F.lit(', "none": [], "list": [true, null, {"a b": "x\\"y"}]}'))
+    return e.select("event_id", convert.typescript_literal(document).alias("literal"), convert.typescript_const(document, "EVENT", as_const=True, kind="Event").alias("const"))
 
 
 def pj09_strip_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +77,6 @@ def pj09_strip_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pj10_files_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .types import _file_names
-
     return records.files_json(_file_names(spark, sf_dir))
 
 
@@ -85,9 +95,16 @@ def sc06_serializable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", convert.serializable(F.col("ts")).alias("out"))
 
 
-QUERIES = {f.__name__: f for f in (pj01_shape_records, pj02_shape_structs, pj03_shape_batch, pj04_convert_list, pj05_rename_keys, pj06_camel_keys, pj07_without_terms, pj08_class_text, pj09_strip_nulls, pj10_files_json, sc04_json_merge, sc05_json_entries, sc06_serializable)}
+QUERIES = {f.__name__: f for f in (pj01_shape_records, pj02_shape_structs, pj03_shape_batch, pj04_convert_list, pj05_rename_keys, pj06_camel_keys, pj07_without_terms, pj08_class_text, pj09_strip_nulls, pj10_files_json, sc04_json_merge, sc05_json_entries, sc06_serializable, st20_typescript)}
 _SHAPED = """SELECT event_id, event_type AS event_kind, CASE WHEN user_id % 4 = 0 THEN 'x' ELSE CAST(user_id AS VARCHAR) END AS user, CASE WHEN user_id % 3 = 0 THEN '1.5' ELSE user_id || '.5' END AS score,
  CASE WHEN user_id % 5 = 0 THEN 'false' ELSE 'true' END AS flag, 'none' AS missing, CAST(NULL AS VARCHAR) AS absent, 'event_kind,flag,missing,score,user' AS present FROM events"""
+_CLASSES = r"""WITH f AS (SELECT DISTINCT n_name AS class, length(c_mktsegment) AS pos, lower(c_mktsegment) AS name, CASE WHEN length(c_mktsegment) % 2 = 0 THEN 'int' ELSE 'list' END AS kind, 'str' AS elem, length(c_mktsegment) > 8 AS must, CASE WHEN length(c_mktsegment) % 3 = 0 THEN '7' END AS def FROM customer JOIN nation ON c_nationkey = n_nationkey
+ UNION ALL SELECT * FROM (VALUES ('Event', 0, 'event_kind', 'str', 'str', TRUE, NULL), ('Event', 1, 'user', 'int', 'str', FALSE, NULL), ('Event', 2, 'score', 'float', 'str', TRUE, '1.5'), ('Event', 3, 'flag', 'bool', 'str', FALSE, 'True'), ('Event', 4, 'missing', 'str', 'str', TRUE, chr(39) || 'none' || chr(39)), ('Event', 5, 'absent', 'str', 'str', FALSE, NULL))),
+ l AS (SELECT class, pos, NOT (must AND def IS NULL) AS later, '    ' || name || ': ' || CASE kind WHEN 'list' THEN 'list[' || elem || ']' ELSE kind END || CASE WHEN must AND def IS NULL THEN '' ELSE ' | None = ' || CASE WHEN kind = 'list' THEN 'None' ELSE coalesce(def, 'None') END END AS line FROM f)
+ SELECT class, 'from dataclasses import asdict, dataclass' || repeat(chr(10), 3) || '@dataclass' || chr(10) || 'class ' || class || ':' || chr(10) || string_agg(line, chr(10) ORDER BY later, pos, line) || chr(10) || chr(10) || '    def to_dict(self):' || chr(10) || '        return {k: v for k, v in asdict(self).items() if v is not None}' || chr(10) AS text FROM l GROUP BY class"""
+_BODY = r"""'{' || chr(10) || '    {0}: ' || user_id || ',' || chr(10) || '    eventKind: "' || event_type || '",' || chr(10) || '    in: {' || chr(10) || '        k: ' || json_extract_string(props, '$.k') || chr(10) || '    },' || chr(10) || '    none: [' || chr(10) || '        ' || chr(10) || '    ],' || chr(10)
+ || '    list: [' || chr(10) || '        true,' || chr(10) || '        null,' || chr(10) || '        {' || chr(10) || '            {1}: "x"y"' || chr(10) || '        }' || chr(10) || '    ]' || chr(10) || '}'"""
+_TYPESCRIPT = "SELECT event_id, " + _BODY.replace("{0}", '"user-id"').replace("{1}", '"a b"') + " AS literal, 'export const EVENT: Event = ' || " + _BODY.replace("{0}", "userId").replace("{1}", "aB") + " || ' as const;' || chr(10) AS const FROM events"
 ORACLE_SQL = {
     "pj01_shape_records": _SHAPED,
     "pj02_shape_structs": "SELECT event_id, event_type AS event_kind, CAST(user_id AS VARCHAR) AS user, '1.5' AS score, 'none' AS missing FROM events",
@@ -97,6 +114,10 @@ ORACLE_SQL = {
     "pj06_camel_keys": "SELECT c_custkey AS \"cCustkey\", c_name AS \"cName\", c_nationkey AS \"cNationkey\", c_acctbal AS \"cAcctbal\", c_mktsegment AS \"cMktsegment\" FROM customer",
     "pj07_without_terms": "WITH v AS (SELECT unnest(['eventKind', event_type, 'uid', CASE WHEN user_id % 4 = 0 THEN 'x' ELSE CAST(user_id AS VARCHAR) END, 'score', CASE WHEN user_id % 3 = 0 THEN 'default' ELSE user_id || '.5' END, 'flag', CASE WHEN user_id % 5 = 0 THEN '' ELSE 'false' END]) AS found FROM events) SELECT found, count(*) AS n FROM v WHERE NOT contains(found, 'e') AND NOT contains(found, '5') GROUP BY found",
     "pj09_strip_nulls": "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN '{\"u\":' || user_id || ',\"t\":\"' || event_type || '\"}' ELSE '{\"u\":' || user_id || '}' END AS out FROM events",
+    "pj08_class_text": _CLASSES,
+    "pj10_files_json": f"SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, list_sort(list(regexp_extract(path, '([^/]*)$', 1))) AS files FROM {FILE_NAMES_SQL} GROUP BY 1",
+    "sc06_serializable": "SELECT event_id, '{\"value\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '\"}' AS out FROM events",
+    "st20_typescript": _TYPESCRIPT,
     "sc04_json_merge": "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE json_extract_string(props, '$.k') END AS k, CASE WHEN user_id % 2 <> 0 THEN CAST(user_id AS VARCHAR) END AS u FROM events",
     "sc05_json_entries": "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events",
 }

@@ -17,6 +17,9 @@ from .types import FILE_NAMES_SQL, _file_names
 EXPORTS_SQL = "exports AS (SELECT replace(p_name, ' ', '_') || '_' || p_size AS name, 'src/f' || (p_partkey % 97) || '.tsx' AS path, p_partkey % 10 = 0 AS is_default, p_partkey FROM part)"
 IMPORTS_SQL = f"imports AS (SELECT 'src/f' || (l_orderkey % 97) || '.tsx' AS path, 'src/f' || (l_partkey % 150) || '.tsx' AS source, row_number() OVER (PARTITION BY l_orderkey % 97 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS pos FROM lineitem)"
 USAGE_SQL = "usage AS (SELECT DISTINCT 'pkg-' || (l_suppkey % 17) AS package, 'f' || (l_orderkey % 1000) AS file, CASE l_linenumber % 4 WHEN 0 THEN 'code' WHEN 1 THEN 'comment' WHEN 2 THEN 'text' ELSE 'import' END AS context, l_linenumber AS line FROM lineitem)"
+#: t: path, is_dir, parts, line of files and of the folders above them.
+TREE_SQL = """WITH f AS (SELECT DISTINCT path FROM ({0})), d AS (SELECT DISTINCT unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS path FROM f),
+ b AS (SELECT path, FALSE AS is_dir FROM f UNION ALL SELECT path, TRUE FROM d), t AS (SELECT path, is_dir, string_split(path, '/') AS parts, repeat('    ', len(string_split(path, '/')) - 1) || list_last(string_split(path, '/')) || CASE WHEN is_dir THEN '/' ELSE '' END AS line FROM b)"""
 EXT = "coalesce(nullif(lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '[^/](\\.[^./]+)$', 1)), ''), '(no ext)')"
 
 
@@ -259,6 +262,10 @@ ORACLE_SQL = {
     "so04_top_sizes": "SELECT source, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM documents GROUP BY source ORDER BY n_bytes DESC, source LIMIT 5",
     "so05_top_collisions": f"{_COLLISIONS} SELECT name, n FROM c ORDER BY n DESC, name LIMIT 10",
     "so06_callers_sorted": f"WITH {USAGE_SQL} SELECT DISTINCT function, caller FROM ({_CALLERS}) ORDER BY function, caller",
+    "so07_tree_order": f"{TREE_SQL.format(f'SELECT path FROM {FILE_NAMES_SQL}')} SELECT path, CAST(len(parts) - 1 AS INTEGER) AS depth, is_dir, line FROM t",
+    "ca16_barrel_index": f"""WITH {EXPORTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY is_default DESC, path) = 1 AS chosen FROM (SELECT DISTINCT name, path, is_default FROM exports)),
+ l AS (SELECT *, CASE WHEN chosen THEN '' ELSE '// ' END || CASE WHEN is_default THEN 'export {{ default as ' ELSE 'export {{ ' END || name || ' }} from ' || chr(39) || './' || regexp_replace(path, '[.][a-zA-Z0-9]+$', '') || chr(39) || ';' AS line FROM r)
+ SELECT string_agg(line, chr(10) ORDER BY NOT is_default, path, name) AS text FROM l""",
     "fl11_mentions": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT CAST(doc_id AS VARCHAR) AS path, p AS package, count(*) AS n_lines FROM l, (VALUES ('the'), ('une'), ('der')) v(p) WHERE NOT contains(line, '# noqa') AND list_contains(regexp_extract_all(lower(line), '[a-z0-9_]+(?:-[a-z0-9_]+)*'), p) GROUP BY 1, 2",
     "fl12_checked_imports": r"""WITH f AS (SELECT doc_id, string_split(CASE doc_id % 10 WHEN 0 THEN '# noqa: import-checker' || chr(10) WHEN 1 THEN repeat(chr(10), 5) || '# noqa: import-checker' || chr(10) ELSE '' END || regexp_replace(replace(text, ' und ', ' # noqa '), '(?m)^', 'import ', 'g'), chr(10)) AS lines FROM documents WHERE doc_id % 10 <> 0),
  l AS (SELECT doc_id, lines[i] AS s, i AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM f)),

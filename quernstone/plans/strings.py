@@ -91,11 +91,11 @@ ORACLE_SQL = {name: f"SELECT s, {sql} AS out FROM {BASE_SQL}" for name, (_, sql)
 
 
 def st13_acronym_snake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base(spark, sf_dir).where(F.col("s").rlike("^[A-Za-z0-9_]+$")).select("s", case.acronym_snake(F.col("s")).alias("out"))
+    return base(spark, sf_dir).select("s", case.acronym_snake(F.col("s")).alias("out"))
 
 
 def st14_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With compatibility forms, which SQL doesn't have."""
+    """With compatibility forms; SQL has only the canonical ones, which are the same for these texts."""
     return table(spark, sf_dir, "documents").select("doc_id", clean.clean_text(F.col("text"), True, True).alias("out"))
 
 
@@ -129,6 +129,9 @@ BLANKS = [("",), (None,), ("[]",), ("{}",), ('{"a": ""}',), ('{"a": [null, {}]}'
 QUERIES |= {"st13_acronym_snake": st13_acronym_snake, "st14_clean_documents": st14_clean_documents, "st18_redact_map": st18_redact_map, "st18_redact_json": st18_redact_json, "st19_union_text": st19_union_text, "fl09_sensitive_key": fl09_sensitive_key, "fl10_blank": fl10_blank}
 _S = "('secret-' || user_id || '-' || event_type)"
 ORACLE_SQL |= {
+    "st13_acronym_snake": f"SELECT s, lower(regexp_replace(regexp_replace(s, '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS out FROM {BASE_SQL}",
+    "st14_clean_documents": r"SELECT doc_id, trim(regexp_replace(regexp_replace(nfc_normalize(text), '<[^>]+>', '  ', 'g'), '\s+', ' ', 'g')) AS out FROM documents",
+    "st18_redact_json": """SELECT event_id, '{"auth": "tok*************ser", "in": {"k": ' || json_extract_string(props, '$.k') || '}}' AS out FROM events""",
     "st18_redact_map": f"SELECT event_id, json_extract_string(props, '$.k') AS k, {_REDACT.replace('(s', '(' + _S)} AS api_key FROM events",
     "st19_union_text": "SELECT p_brand, array_to_string(list_transform(list_sort(list(DISTINCT p_name)), lambda v: '\"' || regexp_replace(v, '[^a-zA-Z0-9_]', '', 'g') || '\"'), ' | ') AS out FROM part GROUP BY p_brand",
     "fl09_sensitive_key": f"SELECT s, regexp_matches(lower(s), '{_SENSITIVE}') AS out FROM {BASE_SQL} WHERE s IS NOT NULL",

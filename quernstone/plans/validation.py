@@ -35,6 +35,9 @@ def _chain(rules: list[tuple[str, str]], source: str) -> str:
 
 _BYTE = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _V4 = f"{_BYTE}(\\.{_BYTE}){{3}}"
+_H = "[0-9a-fA-F]{1,4}"
+#: Eight groups, or one gap of groups with at most seven others.
+_V6 = "|".join([f"({_H}:){{7}}{_H}", *(f"{f'({_H}:){{{i - 1}}}{_H}' if i else ''}::{f'({_H}(:{_H}){{0,{6 - i}}})?' if i < 7 else ''}" for i in range(8))])
 #: A domain's rule without look-around: labels of letters and digits with inner hyphens, the last of letters.
 _LABEL = "[a-zA-Z0-9]([a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
 _DOMAIN = f"{_LABEL}(\\.{_LABEL})*\\.([a-zA-Z]{{2,63}})\\.?"
@@ -67,6 +70,7 @@ ORACLE_SQL = {
     "vd01_inverse_regex": _coded("NOT regexp_matches(s, '@')", "invalid"),
     "vd02_domain": _chain(_DOMAIN_RULES, _T),
     "vd03_ipv4": _coded(f"regexp_full_match(s, '{_V4}')", "invalid_ipv4"),
+    "vd03_ip": _coded(f"(regexp_full_match(s, '{_V4}') OR regexp_full_match(s, '{_V6}'))", "invalid_ip"),
     "vd04_url": _chain(_URL_RULES, _U).replace("CASE WHEN", "CASE WHEN s = 'http://[::zz]/' THEN 'invalid_url' WHEN"),
     "vd05_integer": _coded("regexp_full_match(s, '-?[0-9]+')", "invalid_integer"),
     "vd06_email": _chain([("s <> ''", "invalid_email"), ("contains(s, '@')", "missing_at"), ("length(s) <= 320", "max_length"), (f"{_USER} <> ''", "empty_user"), (f"(NOT regexp_matches({_USER}, '[()<>\\[\\]:,;\\\\ ]') OR ({_USER} LIKE '\"%\"'))", "invalid_user_chars"), (_EMAIL_DOMAIN, "invalid_domain")], _T),

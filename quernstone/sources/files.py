@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,15 +18,31 @@ from pyspark.sql import functions as F
 from ..functions import paths
 
 
-def resolve(roots: dict[str, str], root: str, path: str) -> str:
-    """A path under a named root, with `.` and `..` folded; `..` may leave the root."""
-    out: list[str] = []
-    for part in f"{roots[root].rstrip('/')}/{path}".split("/"):
-        if part == ".." and out and out[-1] not in ("", ".."):
-            out.pop()
-        elif part not in (".", "") or not out:
-            out.append(part)
-    return "/".join(out)
+def scratch_dir(spark: SparkSession, what: str) -> str:
+    """A new folder's path under spark.checkpoint.dir, which all executors share; on one machine (tests), of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quernstone-")
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name, or of this pattern."""
+    fs, where = _at(spark, path)
+    return bool(fs.globStatus(where))
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Removes a file or folder; false if there was none."""
+    fs, where = _at(spark, path)
+    return fs.delete(where, True)
 
 
 def tree(spark: SparkSession, root: str, glob: str = "*", exact: tuple[str, ...] = (), words: tuple[str, ...] = (), include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), folders: tuple[str, ...] = ()) -> DataFrame:
@@ -41,12 +60,20 @@ def tree(spark: SparkSession, root: str, glob: str = "*", exact: tuple[str, ...]
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """path, text: a row a file."""
+    """path, text: a row a file; no row for what is missing."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "path string, text string")
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def write_text(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "overwrite").text(path)
+def write_text(df: DataFrame, path: str, append: bool = False, end: str = "\n") -> None:
+    """A column of texts as files of many texts each, with `end` behind each one."""
+    df.write.mode("append" if append else "overwrite").option("lineSep", end).text(path)
+
+
+def read_texts(spark: SparkSession, path: str, end: str = "\n") -> DataFrame:
+    """text: what `write_text` wrote with the same end, a row a text."""
+    return spark.read.option("lineSep", end).text(path).select(F.col("value").alias("text"))
 
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -81,6 +108,16 @@ def _slides(content: bytes) -> list[tuple[int, str, str]]:
     return out
 
 
+def deck(slides: list[list[str]]) -> bytes:
+    """A .pptx file with only what `slides` reads: a paragraph for each text of each slide."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i, lines in enumerate(slides, 1):
+            body = "".join(f"<a:p><a:r><a:t>{escape(x)}</a:t></a:r></a:p>" for x in lines)
+            z.writestr(f"ppt/slides/slide{i}.xml", f'<p:sld xmlns:a="{_DRAW[1:-1]}" xmlns:p="urn:p">{body}</p:sld>')
+    return out.getvalue()
+
+
 def slides(files: DataFrame) -> DataFrame:
     """path, slide (from 1), title ("No Title" if none), text of .pptx files (path, content); empty slides are left out."""
 

@@ -129,10 +129,10 @@ def test_tree_text(spark):
     assert plans.ca03_tree_text(spark, "").head().tree.splitlines()[:3] == ["app/", "    broken.py", "    main.py"]
 
 
-def test_class_text_runs():
+def test_class_text_runs(spark):
     fields = [Field("b", "int", default=2), Field("a", always=True), Field("c", "list", of="int")]
     scope: dict = {}
-    exec(records.class_text("Thing", fields), scope)
+    exec(records.class_text(spark.createDataFrame(records.field_rows("Thing", fields), records.FIELD_ROWS)).head().text, scope)
     assert scope["Thing"]("x").to_dict() == {"a": "x", "b": 2}
     assert records.struct_of(fields).simpleString() == "struct<b:bigint,a:string,c:array<bigint>>"
 
