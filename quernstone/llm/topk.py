@@ -3,24 +3,32 @@
 A vector's components are cut into segments.  With the mean and the deviation of each segment of a query q and a
 vector x, |q - x|^2 is at least the sum over segments of length * ((mean_q - mean_x)^2 + (dev_q - dev_x)^2), so
 (q, x) = (|q|^2 + |x|^2 - |q - x|^2) / 2 is at most the inner product of the statistics, weighed by the lengths.
-Bounds are computed with few segments first and more for what is left; exact products only for the survivors.
-Queries and vectors meet in a grid of blocks of bounded size, and each cell returns its k best a query.
+
+Vectors lie in blocks, those near the same one of a few sampled vectors together, and of a block the ranges of its
+statistics are known.  A query first visits the block that its own nearest sampled vector has; its k-th best product
+there is a floor.  Then it visits only the blocks whose ranges allow a product at the floor, so whole blocks are left out
+before anything moves.  In a block, bounds are computed with few segments first and more for what is left, and exact
+products only for the survivors.  Blocks and the queries that meet in them are of bounded size.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .columns import narrow, read
+from .storage import kept
 
 LEVELS = (1, 4, 16)
 QUERY_BLOCK, VECTOR_BLOCK = 4_096, 4_096
+ANCHORS, PAGE = 1_024, 4_096
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -85,21 +93,42 @@ def whole_vectors(vectors: DataFrame, scale: float) -> DataFrame:
     return x.where(F.col("e").isNotNull() & fine & F.col("vec_id").isNotNull()).select("vec_id", F.transform("e", lambda c: F.floor(F.lit(scale) * c.cast("double"))).alias("v"))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score of the k highest inner products of each query row with vectors of its length.
+def _placed(rows: DataFrame, anchors: np.ndarray, dim: int) -> DataFrame:
+    """Adds dim, anchor (the nearest sampled vector; 0 for vectors of another length than theirs) and stats."""
+    sent = rows.sparkSession.sparkContext.broadcast(anchors.astype(np.float64))  # at most ANCHORS vectors
+    finest = LEVELS[-1]
 
-    Both tables: vec_id long, v array<long>.  Vectors with the query's own vec_id take no part; other repeated rows all
-    do, and a repeated query row has results of its own.  Ties go to the smaller vec_id.  Products must fit a long.
-    Two counts are taken to size the grid; a cell holds about QUERY_BLOCK queries and VECTOR_BLOCK vectors.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = sent.value
+        for batch in batches:
+            column = batch.column("v")
+            lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+            anchor, stats = np.zeros(len(batch), np.int32), np.zeros((len(batch), 2 * finest))
+            for d in np.unique(lengths):
+                at = np.flatnonzero(lengths == d)
+                x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d).astype(np.float64)
+                if d:
+                    found = statistics(x, finest)
+                    stats[at, : found.shape[1]] = found
+                if d == dim and len(a):
+                    anchor[at] = (2 * x @ a.T - (a**2).sum(1)).argmax(1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * 2 * finest), pa.array(stats.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lengths.astype(np.int32)), pa.array(anchor), lists], names=[*batch.schema.names, "dim", "anchor", "stats"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema, *T.StructType.fromDDL("dim int, anchor int, stats array<double>")]))
+
+
+BLOCK = ["dim", "anchor", "part"]
+
+
+def _visited(q: DataFrame, x: DataFrame, k: int) -> DataFrame:
+    """row, query_id, vec_id, score of the k best of each block for each query sent to it; both sides have BLOCK columns.
+
+    Where more than QUERY_BLOCK queries come to a block, its vectors meet them in several rounds.
     """
-    n_q, n_x = queries.count(), vectors.count()
-    down, across = max(1, math.ceil(n_q / QUERY_BLOCK)), max(1, math.ceil(n_x / VECTOR_BLOCK))
-    cell = ["dim", "down", "across"]
-    q = queries.withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()).withColumn("down", F.pmod(F.xxhash64("row"), F.lit(down)).cast("int"))
-    q = q.withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    x = vectors.withColumn("dim", F.size("v")).withColumn("across", F.pmod(F.xxhash64("vec_id", "v"), F.lit(across)).cast("int"))
-    x = x.withColumn("across", F.pmod(F.col("across") + F.monotonically_increasing_id(), F.lit(across)).cast("int"))  # equal vectors are spread too
-    x = x.withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    rounds = q.groupBy(*BLOCK).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("rounds"))
+    q = q.join(rounds, BLOCK).withColumn("round", F.pmod(F.xxhash64("row"), F.col("rounds")).cast("int"))
+    x = x.join(rounds, BLOCK).withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
 
     def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["row", "query_id", "vec_id", "score"]
@@ -111,9 +140,70 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         i, j, score = best(_matrix(left, dim), ids, _matrix(right, dim), x_ids, k)
         return pa.table([pa.array(c) for c in (left.column("row").to_numpy()[i], ids[i], x_ids[j], score)], names=names)
 
-    found = q.groupBy(*cell).cogroup(x.groupBy(*cell)).applyInArrow(meet, "row long, query_id long, vec_id long, score long")
+    cell = [*BLOCK, "round"]
+    return q.select(*cell, "row", "vec_id", "v").groupBy(*cell).cogroup(x.select(*cell, "vec_id", "v").groupBy(*cell)).applyInArrow(meet, "row long, query_id long, vec_id long, score long")
+
+
+def _allowed(q: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
+    """row and BLOCK of the blocks that may hold a product at a query's floor.  q: row, dim, stats, floor; blocks: BLOCK,
+    lo, hi (ranges of the statistics).  Blocks lie in pages of about PAGE; each query is compared with each page."""
+    pages = max(1, math.ceil(n_blocks / PAGE))
+    q = q.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(pages - 1)))).withColumn("share", F.pmod(F.xxhash64("row"), F.lit(64)).cast("int"))
+    blocks = blocks.withColumn("page", F.pmod(F.xxhash64(*BLOCK), F.lit(pages)).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(63))))
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        names, found = ["row", *BLOCK], []
+        if len(left) and len(right):
+            matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+            s, lo, hi = matrix(left, "stats"), matrix(right, "lo"), matrix(right, "hi")
+            floor, rows = left.column("floor").to_numpy(), left.column("row").to_numpy()
+            for a in range(0, len(s), 256):
+                part = s[a : a + 256]
+                up = np.maximum(part, 0) @ hi.T + np.minimum(part, 0) @ lo.T
+                i, j = np.nonzero(up + 1e-9 * (np.abs(up) + 1) >= floor[a : a + 256, None])
+                found.append(pa.table([pa.array(rows[a + i]), *(right.column(c).take(pa.array(j)) for c in BLOCK)], names=names))
+        return pa.concat_tables(found) if found else pa.table({"row": pa.array([], pa.int64()), **{c: pa.array([], pa.int32()) for c in BLOCK}})
+
+    keys = ["dim", "page", "share"]
+    return q.select(*keys, "row", "stats", "floor").groupBy(*keys).cogroup(blocks.select(*keys, "anchor", "part", "lo", "hi").groupBy(*keys)).applyInArrow(run, "row long, dim int, anchor int, part int")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id, score of the k highest inner products of each query row with vectors of its length.
+
+    Both tables: vec_id long, v array<long>.  Vectors with the query's own vec_id take no part; other repeated rows all
+    do, and a repeated query row has results of its own.  Ties go to the smaller vec_id.  Products must fit a long.
+    The sampled vectors are those with the smallest hashes, one for each VECTOR_BLOCK vectors and at most ANCHORS; larger
+    groups are cut by hash.  They only decide what lies together, never the result.  Tables that fit one block have no
+    others to leave out.
+    """
     order = W.Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    n_x = vectors.count()
+    if n_x <= VECTOR_BLOCK:
+        one = lambda rows: rows.withColumns({"dim": F.size("v"), "anchor": F.lit(0), "part": F.lit(0)})
+        q = kept(one(queries).withColumn("row", F.monotonically_increasing_id()), "topk-queries")
+        return ranked(_visited(q, one(vectors), k)).select("query_id", "rank", "vec_id", "score")
+    sampled = vectors.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(min(ANCHORS, math.ceil(n_x / VECTOR_BLOCK))).select("v").toArrow().column("v")
+    lengths = sampled.combine_chunks().value_lengths().to_numpy()
+    dim = int(np.bincount(lengths).argmax())
+    anchors = sampled.filter(pa.array(lengths == dim)).combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    x = kept(_placed(vectors, anchors, dim), "topk-vectors")
+    sizes = x.groupBy("dim", "anchor").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("parts"))
+    sizes = kept(sizes, "topk-sizes")  # a row an anchor and length
+    x = x.join(sizes, ["dim", "anchor"]).withColumn("part", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("parts")).cast("int")).drop("parts")
+    x = kept(x, "topk-blocks")
+    edges = [f(F.col("stats")[i]).alias(f"{n}{i}") for i in range(2 * LEVELS[-1]) for n, f in (("lo", F.min), ("hi", F.max))]
+    blocks = x.groupBy(*BLOCK).agg(*edges).select(*BLOCK, *(F.array(*(f"{n}{i}" for i in range(2 * LEVELS[-1]))).alias(n) for n in ("lo", "hi")))
+    blocks = kept(blocks, "topk-ranges")
+    q = kept(_placed(queries, anchors, dim).withColumn("row", F.monotonically_increasing_id()), "topk-queries")
+    near = kept(ranked(_visited(q.withColumn("part", F.lit(0)), x, k)), "topk-near")
+    floors = near.groupBy("row").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).cast("double").alias("floor"))
+    asked = q.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    more = _allowed(asked, blocks, blocks.count()).join(q.select("row", "anchor").withColumn("part", F.lit(0)), ["row", "anchor", "part"], "left_anti")
+    more = kept(more, "topk-visits")
+    rest = _visited(more.join(q.select("row", "vec_id", "v"), "row"), x, k)
+    return ranked(near.drop("rank").unionByName(rest)).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
