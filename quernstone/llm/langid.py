@@ -85,6 +85,7 @@ class Model:
     weights: list[np.ndarray]
     floor: np.ndarray
     limits: np.ndarray = None  # mean, deviation a character
+    sharpness: float = 1.0  # how much of a character's log odds counts
 
     def log_p(self, points: np.ndarray) -> np.ndarray:
         """Natural log probability of each character but the first, a column a language."""
@@ -186,19 +187,34 @@ def cross_entropies(model: Model, texts: tv.Texts) -> tuple[np.ndarray, np.ndarr
     return out, chars
 
 
+def odds(model: Model, all_h: np.ndarray, chars: np.ndarray, sharpness: float | None = None) -> np.ndarray:
+    """Probabilities of the languages, a row a text."""
+    s = model.sharpness if sharpness is None else sharpness
+    e = np.exp(-s * (all_h - all_h.min(1, keepdims=True)) * chars[:, None])
+    return e / e.sum(1, keepdims=True)
+
+
 def calibrate(model: Model, texts: dict[str, list[str]]) -> None:
-    """Mean cross-entropy and its deviation a character in held-out texts of each language."""
+    """From held-out texts: mean cross-entropy and its deviation a character of each language, and the sharpness under
+    which the languages of these texts are likeliest."""
     limits = np.zeros((len(model.langs), 2))
+    every = [(np.zeros((0, len(model.langs))), np.zeros(0), np.zeros(0, int))]
     for i, lang in enumerate(model.langs):
-        values = [(h[:, i], n) for chunk in tv.chunks(pa.array(texts.get(lang, []), pa.string())) for h, n in [cross_entropies(model, chunk)]]
-        h, n = (np.concatenate([v[j] for v in values]) if values else np.zeros(0) for j in (0, 1))
-        h, n = h[n > 0], n[n > 0]
+        values = [cross_entropies(model, chunk) for chunk in tv.chunks(pa.array(texts.get(lang, []), pa.string()))]
+        all_h, n = (np.concatenate([every[0][j], *(v[j] for v in values)]) for j in (0, 1))
+        all_h, n = all_h[n > 0], n[n > 0]
+        every.append((all_h, n, np.full(len(n), i)))
+        h = all_h[:, i]
         limits[i] = (np.median(h), np.sqrt(np.median((h - np.median(h)) ** 2 * n) / 0.455)) if len(h) else (np.inf, 0)
     model.limits = limits
+    all_h, n, true = (np.concatenate([v[j] for v in every]) for j in range(3))
+    if len(n):
+        loss = {s: -np.log(odds(model, all_h, n, s)[np.arange(len(n)), true] + 1e-12).mean() for s in 2.0 ** -np.arange(0, 13)}
+        model.sharpness = min(loss, key=lambda s: (round(loss[s], 6), s))
 
 
-def sample(docs: DataFrame, per_lang: int) -> DataFrame:
-    """Rows with lang and text, at most per_lang of each language: those with the smallest hash."""
+def sample(docs: DataFrame, per_lang: int, lang_bytes: int) -> DataFrame:
+    """Rows with lang and text, at most per_lang of each language and whole texts up to lang_bytes: those with the smallest hash."""
     rows = narrow(docs, doc_id="doc_id", text="text", lang="lang").where("text is not null and lang is not null").withColumn("h", F.xxhash64("doc_id", "text"))
     sizes = kept(rows.groupBy("lang").agg(F.count("*").alias("n")), "langid-sizes")
     if sizes.count() <= BROADCAST_ROWS:
@@ -206,14 +222,17 @@ def sample(docs: DataFrame, per_lang: int) -> DataFrame:
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("n"))
     drawn = rows.join(sizes, "lang").where(F.pmod("h", F.lit(1_000_003)) <= share * 1_000_003)  # no more than about twice the sample is ranked
     order = W.Window.partitionBy("lang").orderBy("h", "doc_id")
-    return drawn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).drop("h", "n")
+    ranked = drawn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
+    so_far = F.sum(F.octet_length("text")).over(order.rowsBetween(W.Window.unboundedPreceding, -1))
+    return ranked.withColumn("so_far", so_far).where(F.coalesce("so_far", F.lit(0)) <= lang_bytes).drop("h", "n", "so_far")
 
 
-def train(docs: DataFrame, per_lang: int = 300) -> Model | None:
-    """A model from at most per_lang whole texts a language; a fifth of them calibrates.  None without such texts."""
+def train(docs: DataFrame, per_lang: int = 300, lang_bytes: int = 4 << 20) -> Model | None:
+    """A model from at most per_lang whole texts a language, of about lang_bytes; a fifth of them calibrates.  None without
+    such texts.  Languages are few by nature: their samples come to the driver."""
     texts: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
-    for r in sample(docs, per_lang).collect():
+    for r in sorted(sample(docs, per_lang, lang_bytes).collect(), key=lambda r: (r["lang"], r["rank"])):
         (held if r["rank"] % 5 == 0 else texts).setdefault(r["lang"], []).append(r["text"])
     if not texts:
         return None
@@ -237,9 +256,9 @@ ADDED = (("lang_pred", "string"), ("score", "double"), ("cross_entropy", "double
 def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of docs (text among them, none of them one of ADDED), lang_pred, score, cross_entropy, rejected.
 
-    lang_pred is und and rejected true for a text that is null or has no letter, or without a model.  score: the
-    language's probability among the known ones, whose log odds count at most 50 characters, as texts repeat themselves.
-    rejected: the cross-entropy is more than half a nat and six deviations beyond that of the language's held-out texts.
+    lang_pred is und and rejected true for a text that is null or has no letter, or without a model; of languages with equal
+    cross-entropy the first by name.  score: the language's probability among the known ones, at the sharpness that fits
+    the held-out texts best, as characters of a text don't stand for themselves.  rejected: the cross-entropy is more than half a nat and six deviations beyond that of the language's held-out texts.
     Equal rows get equal results.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
@@ -257,7 +276,7 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
                     all_h, chars = cross_entropies(known, chunk)
                     best = all_h.argmin(1)
                     h = all_h[np.arange(n), best]
-                    score = 1 / np.exp(-(all_h - h[:, None]) * np.minimum(chars, 50)[:, None]).sum(1)
+                    score = odds(known, all_h, chars)[np.arange(n), best]
                     mean, spread = known.limits[best].T
                     out = ~letters | (h > mean + 0.5 + 6 * spread / np.sqrt(np.maximum(chars, 1)))
                 names = [known.langs[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)]

@@ -35,8 +35,10 @@ def test_warc_round_trip(spark, least):
     path = shared_dir(spark, "warc-test")
     warc.write_archives(pages, path, segment_bytes=1000, records_per_file=7, revisit_bytes=least)
     back = warc.read_archives(spark, path).collect()
-    got = Counter((int(p) if (p := r.record_id[10:].split(":")[0]) else None, r.payload_bytes, r.payload_digest, r.record_type, int(r.refers_to[10:-1]) if r.refers_to else None) for r in back)
+    got = Counter((int(p) if (p := r.record_id[10:].split(":")[0]) else None, r.payload_bytes, r.payload_digest, r.record_type, int(r.refers_to[10:].split(":")[0]) if r.refers_to else None) for r in back)
     assert got == expected(HTML, least)
+    responses = {r.record_id: r.payload_digest for r in back if r.record_type == "response"}
+    assert len({r.record_id for r in back}) == len(back) and all(responses[r.refers_to] == r.payload_digest for r in back if r.record_type == "revisit")
     assert Counter(bytes(r.payload) for r in back if r.record_type == "response").keys() == {(h or "").encode() for _, _, h in HTML}
     segments = warc.read_segments(spark, path)
     assert segments.where("segment > 1").count() >= 100
@@ -45,6 +47,16 @@ def test_warc_round_trip(spark, least):
         assert len(list(warc.records(text))) <= 7 and (not text or text.endswith(b"\r\n\r\n"))
 
 
+def test_page_names_of_any_characters(spark):
+    from pyspark.sql import functions as F
+
+    names = ["a:b>c", "ü %41\r\n", "0", None]
+    path = shared_dir(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame([(n, "u", "same") for n in names], "page_id string, url string, html string"), path)
+    back = warc.read_archives(spark, path).select(warc.page_of("record_id", "string").alias("p"), warc.page_of("refers_to", "string").alias("r"), F.col("record_type")).collect()
+    assert {(r.p, r.r, r.record_type) for r in back} == {("0", None, "response"), *((n, "0", "revisit") for n in names if n != "0")}
+
+
 def test_lost_segment_is_noticed(spark):
     from pyspark.sql import functions as F
 
@@ -102,6 +114,25 @@ def test_topk_edges(spark):
     assert topk.top_k(v.limit(0), v, 3).count() == 0
 
 
+def test_topk_leaves_blocks_out(spark, monkeypatch):
+    """Clusters far from a query aren't visited, results are those of brute force; other lengths, ties and copies too."""
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 25)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "PAGE", 4)
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-900, 900, (8, 24))
+    rows = [(i, (centres[i % 8] + rng.integers(-9, 10, 24)).tolist()) for i in range(400)] + [(1000 + i, rng.integers(-5, 6, 3).tolist()) for i in range(60)]
+    rows += [(i, [7] * 24) for i in range(2000, 2040)] + [(0, rows[0][1]), (3000, []), (3050, [])]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>").repartition(3)
+    seen = []
+    real = topk._allowed
+    monkeypatch.setattr(topk, "_allowed", lambda q, blocks, n: seen.append((q.count(), n, real(q, blocks, n).count())) or real(q, blocks, n))
+    got = topk.top_k(v, v.where("vec_id % 50 = 0"), 5).collect()
+    assert Counter(map(tuple, got)) == brute_top([r for r in rows if r[0] % 50 == 0], rows, 5)
+    ((asked, blocks, visits),) = seen
+    assert blocks > 15 and visits < 0.5 * asked * blocks
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(0, 10_000), st.integers(1, 70), st.integers(1, 40), st.integers(1, 8))
 def test_bounds_lose_nothing(seed, dim, n, k):
@@ -126,6 +157,62 @@ def test_language_models_are_normalised():
         assert (rest > 0).all() and (rest < 0.2).all()  # what is left is for unseen characters
 
 
+def plain_kneser_ney(texts, alphabet):
+    """P(character | characters before it in the word) by the definition, for one language."""
+    grams = [Counter() for _ in range(langid.ORDER + 1)]
+    for t in texts:
+        for w in t.lower().split():
+            s = f" {w} "
+            for i in range(1, len(s)):
+                for k in range(1, min(i + 1, langid.ORDER) + 1):
+                    grams[k][s[i - k + 1 : i + 1]] += 1
+    n = [None, *(dict(g) for g in grams[1:])]
+    for k in range(1, langid.ORDER):
+        left = Counter(g[1:] for g in grams[k + 1])
+        for g in n[k]:
+            if left[g] and not (k > 1 and g[0] == " "):
+                n[k][g] = left[g]
+
+    def p(context, c):
+        k = len(context) + 1
+        values = list(n[k].values())
+        ones, twos = values.count(1), values.count(2)
+        d = ones / (ones + 2 * twos) if ones and twos else 0.75
+        after = {g: v for g, v in n[k].items() if g[:-1] == context}
+        lower = p(context[1:], c) if context else 1 / (len(alphabet) + 1)
+        if not after:
+            return lower
+        total = sum(after.values())
+        return max(after.get(context + c, 0) - d, 0) / total + d * len(after) / total * lower
+
+    return p
+
+
+def test_language_models_against_a_plain_one():
+    texts = {"a": ["the cat sat on the mat", "a dog and a cat", "Été"], "b": ["le chat noir et le chien", "été été"], "c": ["xyz"]}
+    alphabet = {c for t in texts.values() for x in t for c in f" {x.lower()} "}
+    model = langid.fit(texts)
+    asked = ["the chat", "x", "mat", "unheard ZÉBRA été", ""]
+    (chunk,) = langid.tv.chunks(langid.pa.array(asked))
+    got, chars = langid.cross_entropies(model, chunk)
+    for j, lang in enumerate(model.langs):
+        p = plain_kneser_ney(texts[lang], alphabet)
+        for i, t in enumerate(asked):
+            logs = [math.log(p(s[max(0, at - langid.ORDER + 1) : at], s[at])) for w in t.lower().split() for s in [f" {w} "] for at in range(1, len(s))]
+            assert chars[i] == len(logs)
+            assert got[i, j] == pytest.approx(-sum(logs) / max(len(logs), 1), rel=1e-4)
+
+
+def test_equal_languages_and_bounded_samples(spark):
+    rows = [(i, f"the same words again {i % 3}", "ba"[i % 2]) for i in range(60)] + [(99, "long " * 9_000, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sampled = langid.sample(docs, 10, 50).collect()
+    assert max(Counter(r.lang for r in sampled).values()) <= 10 and len({r.lang for r in sampled}) == 2
+    both = docs.where("doc_id < 60").select("doc_id", "text").crossJoin(spark.createDataFrame([("b",), ("a",)], "lang string"))
+    got = langid.identify(docs, langid.train(both.where("text like 'the%'"))).collect()
+    assert {r.lang_pred for r in got} == {"a"} and all(abs(r.score - 0.5) < 1e-6 for r in got)
+
+
 def test_language_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = langid.op5_language_id(spark, sf).collect()
