@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .clean import SPACE
 
@@ -30,6 +34,26 @@ def chunk_rows(df: DataFrame, key: str, text: str, size: int = 2000, overlap: in
     return df.select(F.col(key), F.posexplode(chunks(F.col(text), size, overlap)).alias("chunk_index", "chunk"))
 
 
+def map_chunks(chunked: DataFrame, function: Callable[[str], str]) -> DataFrame:
+    """The columns of chunk_rows with content, what a caller's function makes of the chunk, in its place, and error: the
+    text of the exception where it fails, which leaves the other chunks alone."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            content, error = [], []
+            for chunk in b["chunk"]:
+                try:
+                    content.append(function(chunk))
+                    error.append(None)
+                except Exception as e:
+                    content.append(None)
+                    error.append(str(e))
+            yield b.drop(columns="chunk").assign(content=content, error=error)
+
+    kept = [f for f in chunked.schema.fields if f.name != "chunk"]
+    return chunked.mapInPandas(run, T.StructType([*kept, T.StructField("content", T.StringType()), T.StructField("error", T.StringType())]))
+
+
 def lines(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", _none()).otherwise(F.split(c, "\n", -1))
 

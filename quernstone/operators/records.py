@@ -85,6 +85,21 @@ def convert_list(c: Column, of: str) -> Column:
     return F.transform(c, lambda x: _cast(x, Field("", of)))
 
 
+BASIC = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.NullType)
+
+
+def not_basic(kind: T.DataType, path: str = "root") -> list[tuple[str, str]]:
+    """(path, type) of what JSON has no type for, at any depth; keys of maps must be texts.  Spark's values have the types
+    of their columns, so the schema tells it for all rows."""
+    if isinstance(kind, T.StructType):
+        return [x for f in kind.fields for x in not_basic(f.dataType, f"{path}.{f.name}")]
+    if isinstance(kind, T.ArrayType):
+        return not_basic(kind.elementType, f"{path}[]")
+    if isinstance(kind, T.MapType):
+        return [(f"{path}.key", kind.keyType.simpleString())] * (not isinstance(kind.keyType, T.StringType)) + not_basic(kind.valueType, f"{path}{{}}")
+    return [] if isinstance(kind, BASIC) else [(path, kind.simpleString())]
+
+
 def rename_keys(kind: T.DataType, change) -> T.DataType:
     """The same type with every struct field renamed by `change`, at any depth."""
     if isinstance(kind, T.StructType):

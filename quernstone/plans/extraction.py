@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean, extract
+from ..operators import code
+from ..sources import files
 from .common import table, values_df, values_sql
 from .types import FILE_NAMES_SQL, _file_names
 
@@ -28,14 +30,23 @@ def ut01_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ut02_chunk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A caller's function on each chunk, a batch at a time; a failed chunk keeps its error."""
+    """A caller's function on each chunk, which fails where a chunk has an address."""
+    return extract.map_chunks(extract.chunk_rows(table(spark, sf_dir, "documents"), "doc_id", "text"), _shouted)
 
-    def run(batches):
-        for b in batches:
-            b["content"] = b["chunk"].str.upper()
-            yield b[["doc_id", "chunk_index", "content"]]
 
-    return extract.chunk_rows(table(spark, sf_dir, "documents"), "doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, content string")
+def _shouted(chunk: str) -> str:
+    if "@" in chunk:
+        raise ValueError("an address")
+    return chunk.upper()
+
+
+def ut03_document_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of files, chunks, a function on each, and the results written and read again; the files are documents as bytes."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    at = files.scratch_dir(spark, "results")
+    files.document_pipeline(d, lambda f: f.select("path", code.decoded(F.col("content")).alias("text")), _shouted, at)
+    back = spark.read.parquet(at)
+    return back.groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.count("*").alias("n_chunks"), F.count("error").alias("n_failed"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("n_chars"))
 
 
 def ut04_lines_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +66,7 @@ def _pair(f, part: str):
     return joined
 
 
-QUERIES = {f.__name__: f for f in (chunk_documents, ut01_chunks, ut02_chunk_map, ut04_lines_words)} | {
+QUERIES = {f.__name__: f for f in (chunk_documents, ut01_chunks, ut02_chunk_map, ut03_document_pipeline, ut04_lines_words)} | {
     "ut05_md_sections": _md(out=extract.md_sections),
     "ut06_md_headers": _md(one=extract.md_headers, two=lambda c: extract.md_headers(c, 2)),
     "ut07_md_paragraphs": _md(out=extract.md_paragraphs),
@@ -101,7 +112,8 @@ _INLINE, _REFERENCE, _IMAGE = r"\[([^\]]+)\]\(([^)]+)\)", r"\[([^\]]+)\]: ([^\s]
 ORACLE_SQL = {
     "chunk_documents": f"SELECT lang, count(*) AS n_chunks, CAST(sum(length(chunk)) AS BIGINT) AS n_chars FROM (SELECT lang, unnest({CHUNK}) AS chunk FROM documents) GROUP BY lang",
     "ut01_chunks": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, length(c[i]) AS n_chars, md5(c[i]) AS digest FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, {CHUNK} AS c FROM documents))",
-    "ut02_chunk_map": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, upper(replace(c[i], 'ß', 'SS')) AS content FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, {CHUNK} AS c FROM documents))",
+    "ut02_chunk_map": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, CASE WHEN NOT contains(c[i], '@') THEN upper(replace(c[i], 'ß', 'SS')) END AS content, CASE WHEN contains(c[i], '@') THEN 'an address' END AS error FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, {CHUNK} AS c FROM documents))",
+    "ut03_document_pipeline": f"SELECT doc_id, count(*) AS n_chunks, count(CASE WHEN contains(x, '@') THEN 1 END) AS n_failed, CAST(coalesce(sum(CASE WHEN NOT contains(x, '@') THEN length(replace(x, 'ß', 'SS')) END), 0) AS BIGINT) AS n_chars FROM (SELECT doc_id, unnest({CHUNK}) AS x FROM documents) GROUP BY doc_id",
     "ut04_lines_words": "SELECT doc_id, CASE WHEN text = '' OR text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines, len(coalesce(regexp_extract_all(text, '[^\\s\\x0b]+'), [])) AS n_words, regexp_extract_all(text, '[^\\s\\x0b]+')[1] AS first_word FROM documents",
     "ut05_md_sections": f"SELECT s, CASE WHEN coalesce(s, '') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split_regex(s, '(?m)^# ') END AS out FROM {_M}",
     "ut06_md_headers": f"SELECT s, {_all('(?m)^# (.+)$')} AS one, {_all('(?m)^## (.+)$')} AS two FROM {_M}",

@@ -65,6 +65,14 @@ def pj08_class_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.class_text(made.unionByName(spark.createDataFrame(records.field_rows("Event", FIELDS), records.FIELD_ROWS)))
 
 
+def ty07_not_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of some tables, and of a nested type, isn't JSON's."""
+    e = table(spark, sf_dir, "events")
+    nested = e.select(F.array(F.struct(F.col("ts").alias("at"), F.create_map("user_id", F.encode("event_type", "UTF-8")).alias("m"))).alias("x"))
+    found = [x for df in (e, table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "orders"), nested) for x in records.not_basic(df.schema)]
+    return spark.createDataFrame(found, "path string, type string")
+
+
 def st20_typescript(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     document = F.concat(F.lit('{"user-id": '), F.col("user_id").cast("string"), F.lit(', "eventKind": "'), "event_type", F.lit('", "in": '), "props", F.lit(', "none": [], "list": [true, null, {"a b": "x\\"y"}]}'))
@@ -95,7 +103,7 @@ def sc06_serializable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", convert.serializable(F.col("ts")).alias("out"))
 
 
-QUERIES = {f.__name__: f for f in (pj01_shape_records, pj02_shape_structs, pj03_shape_batch, pj04_convert_list, pj05_rename_keys, pj06_camel_keys, pj07_without_terms, pj08_class_text, pj09_strip_nulls, pj10_files_json, sc04_json_merge, sc05_json_entries, sc06_serializable, st20_typescript)}
+QUERIES = {f.__name__: f for f in (pj01_shape_records, pj02_shape_structs, pj03_shape_batch, pj04_convert_list, pj05_rename_keys, pj06_camel_keys, pj07_without_terms, pj08_class_text, pj09_strip_nulls, pj10_files_json, sc04_json_merge, sc05_json_entries, sc06_serializable, st20_typescript, ty07_not_basic)}
 _SHAPED = """SELECT event_id, event_type AS event_kind, CASE WHEN user_id % 4 = 0 THEN 'x' ELSE CAST(user_id AS VARCHAR) END AS user, CASE WHEN user_id % 3 = 0 THEN '1.5' ELSE user_id || '.5' END AS score,
  CASE WHEN user_id % 5 = 0 THEN 'false' ELSE 'true' END AS flag, 'none' AS missing, CAST(NULL AS VARCHAR) AS absent, 'event_kind,flag,missing,score,user' AS present FROM events"""
 _CLASSES = r"""WITH f AS (SELECT DISTINCT n_name AS class, length(c_mktsegment) AS pos, lower(c_mktsegment) AS name, CASE WHEN length(c_mktsegment) % 2 = 0 THEN 'int' ELSE 'list' END AS kind, 'str' AS elem, length(c_mktsegment) > 8 AS must, CASE WHEN length(c_mktsegment) % 3 = 0 THEN '7' END AS def FROM customer JOIN nation ON c_nationkey = n_nationkey
@@ -118,6 +126,7 @@ ORACLE_SQL = {
     "pj10_files_json": f"SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, list_sort(list(regexp_extract(path, '([^/]*)$', 1))) AS files FROM {FILE_NAMES_SQL} GROUP BY 1",
     "sc06_serializable": "SELECT event_id, '{\"value\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '\"}' AS out FROM events",
     "st20_typescript": _TYPESCRIPT,
+    "ty07_not_basic": "SELECT * FROM (VALUES ('root.ts', 'timestamp_ntz'), ('root.o_orderdate', 'timestamp_ntz'), ('root.x[].at', 'timestamp_ntz'), ('root.x[].m.key', 'bigint'), ('root.x[].m{}', 'binary')) v(path, type)",
     "sc04_json_merge": "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE json_extract_string(props, '$.k') END AS k, CASE WHEN user_id % 2 <> 0 THEN CAST(user_id AS VARCHAR) END AS u FROM events",
     "sc05_json_entries": "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events",
 }

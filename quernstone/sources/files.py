@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import extract, paths
 
 
 def scratch_dir(spark: SparkSession, what: str) -> str:
@@ -134,6 +134,12 @@ def slides(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, slide int, title string, text string")
 
 
+def document_pipeline(files: DataFrame, text_of: Callable[[DataFrame], DataFrame], function: Callable[[str], str], out: str, size: int = 2000, overlap: int = 200) -> None:
+    """Texts of files (path, content) by `text_of` (`pdf_text`, or any that gives path and text), cut into chunks, a
+    caller's function on each, and the results (path, chunk_index, content, error) as Parquet at `out`."""
+    extract.map_chunks(extract.chunk_rows(text_of(files), "path", "text", size, overlap), function).write.parquet(out)
+
+
 def pdf_text(files: DataFrame) -> DataFrame:
     """path, text of .pdf files (path, content), pages joined without a separator; needs pypdfium2 on the executors."""
 
