@@ -204,6 +204,40 @@ def test_chunk_map_gives_whole_chunks(spark, sf):
     from quernstone.plans import extraction
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = {(r.doc_id, r.chunk_index): r.chunk.upper() for r in extract.chunk_rows(docs, "doc_id", "text").collect()}
-    got = {(r.doc_id, r.chunk_index): r.content for r in extraction.ut02_chunk_map(spark, sf).collect()}
-    assert got == want and max(map(len, got.values())) > 20
+    failed = lambda chunk: "@" in chunk
+    want = {(r.doc_id, r.chunk_index): (None, "an address") if failed(r.chunk) else (r.chunk.upper(), None) for r in extract.chunk_rows(docs, "doc_id", "text").collect()}
+    got = {(r.doc_id, r.chunk_index): (r.content, r.error) for r in extraction.ut02_chunk_map(spark, sf).collect()}
+    assert got == want and {e for _, e in got.values()} == {None, "an address"}
+    assert max(len(c or "") for c, _ in got.values()) > 20
+    assert extract.map_chunks(extract.chunk_rows(docs.limit(0), "doc_id", "text"), str.upper).count() == 0
+
+
+def test_paths_under_a_root(spark):
+    assert one(spark, lambda c: paths.resolved(F.lit("/srv/app/"), c), "a/b", "./a/../c", "../../etc", "../../../x", "", "//y/.", None) == ["/srv/app/a/b", "/srv/app/c", "/etc", "/../x", "/srv/app", "/srv/app/y", None]
+
+
+def test_typescript_literals(spark):
+    from quernstone.functions import convert
+
+    got = one(spark, convert.typescript_literal, '{"a": {}, "b c": [1, -2.5, "q\\n\\"x"], "d": {"e": null}}', "[]", '"s"', "7", "no json", None)
+    assert got == ['{\n    a: {\n        \n    },\n    "b c": [\n        1,\n        -2.5,\n        "q\n"x"\n    ],\n    d: {\n        e: null\n    }\n}', "[\n    \n]", '"s"', "7", None, None]
+    assert one(spark, lambda c: convert.typescript_const(c, "X", export=False), '{"aB_c": 1}') == ["const X = {\n    aBC: 1\n};\n"]
+
+
+def test_marks_of_lines_and_files(spark):
+    files = [("a", "import os\nfrom x.y import z  # noqa\nfrom . import near\n  from q.r import s\nimportant = 1"), ("b", "# noqa: import-checker\nimport os"), ("c", "\n\n\n\n\n# noqa: import-checker\nimport re, sys"), ("d", None)]
+    df = spark.createDataFrame(files, "path string, text string")
+    assert sorted(rows(code.checked_imports(df))) == [("a", 1, "os"), ("a", 4, "q.r"), ("c", 7, "re")]
+    assert sorted(rows(code.checked_imports(df, ("os", "q")))) == [("c", 7, "re")]
+
+
+def test_mentions_with_and_without_the_search(spark):
+    files = [("a", "Num-Py and numpy_x\nnum_py\nnumpy # noqa num-py\nre-num-py x"), ("b", None), ("c", "nothing")]
+    df, names = spark.createDataFrame(files, "path string, text string"), spark.createDataFrame([("num_py",), ("x",), ("NUM-PY",)], "package string")
+    want = [("a", 1, "NUM-PY"), ("a", 1, "num_py"), ("a", 2, "NUM-PY"), ("a", 2, "num_py"), ("a", 4, "x")]
+    assert sorted(rows(code.mentions(df, names))) == want
+    code.MOST_SEARCHED, before = 1, code.MOST_SEARCHED
+    try:
+        assert sorted(rows(code.mentions(df, names))) == want
+    finally:
+        code.MOST_SEARCHED = before
