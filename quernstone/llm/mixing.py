@@ -20,7 +20,8 @@ from .columns import read
 from .storage import kept
 
 WEIGHTS = (5, 2, 1)
-MAX_PATTERNS = 20_000
+#: Patterns that the flow on the driver takes, and those whose plan is broadcast.
+MAX_PATTERNS, BROADCAST_PATTERNS = 1_000_000, 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -125,12 +126,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = 3, seed: int = 17,
     target = shares(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, sum(p[1] for p in patterns), max_repeats)
     given = min_cost_flow([p[:2] for p in patterns], {s: round(t) for s, t in target.items()}, max_repeats)
     plan = [(k, sizes[m[0]], target[m[0]], sum(g.values()) // n if n else 0, sum(g.values()) % n if n else 0) for (m, n, k), g in zip(patterns, given, strict=True)]
-    plan = F.broadcast(spark.createDataFrame(plan, "_key string, source_size long, target double, _all long, _extra long"))  # at most MAX_PATTERNS rows
+    small = F.broadcast if len(plan) <= BROADCAST_PATTERNS else (lambda df: df)  # a row a pattern
+    plan = spark.createDataFrame(plan, "_key string, source_size long, target double, _all long, _extra long")
 
     running = W.Window.partitionBy("_key").orderBy("_bucket").rowsBetween(W.Window.unboundedPreceding, -1)
     before = buckets.withColumn("_before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    border = before.join(plan, "_key").where("_before < _extra and _before + words >= _extra").select("_key", F.col("_bucket").alias("_border"), "_before")
-    rows = rows.join(F.broadcast(plan.join(border, "_key", "left")), "_key")  # one row a pattern
+    border = before.join(small(plan), "_key").where("_before < _extra and _before + words >= _extra").select("_key", F.col("_bucket").alias("_border"), "_before")
+    rows = rows.join(small(plan.join(border, "_key", "left")), "_key")
     upto = W.Window.partitionBy("_key").orderBy("_place", "_id", "size").rowsBetween(W.Window.unboundedPreceding, -1)
     middle = F.col("_before") + F.coalesce(F.sum("size").over(upto), F.lit(0)) + F.col("size") / 2
     inside = rows.where("_bucket = _border").withColumn("_more", (middle <= F.col("_extra")).cast("int"))

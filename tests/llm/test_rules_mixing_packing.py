@@ -1,3 +1,4 @@
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -114,6 +115,35 @@ def test_flow_is_of_least_cost():
     assert mixing.shares({"a": 10, "b": 100}, {"a": 5, "b": 1}, 110, 3) == {"a": 30.0, "b": 80.0}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([("a",), ("b",), ("a", "b")]), st.integers(0, 2)), min_size=1, max_size=3), st.integers(0, 7), st.integers(0, 7))
+def test_flow_against_all_flows(patterns, quota_a, quota_b):
+    """As much of the quotas as can be served, at the least cost of repetition: of all whole flows, none is better."""
+    quota = {s: q for s, q in (("a", quota_a), ("b", quota_b)) if any(s in m for m, _ in patterns)}
+
+    def cost(size, used):  # use k of a word costs k - 1
+        return sum(max(0, min(used - k * size, size)) * k for k in range(3)) if size else 0
+
+    options = [[dict(zip(m, x, strict=True)) for x in itertools.product(range(3 * n + 1), repeat=len(m)) if sum(x) <= 3 * n] for m, n in patterns]
+    best = None
+    for flow in itertools.product(*options):
+        served = {s: sum(g.get(s, 0) for g in flow) for s in quota}
+        if all(served[s] <= quota[s] for s in quota):
+            key = (-sum(served.values()), sum(cost(n, sum(g.values())) for g, (_, n) in zip(flow, patterns, strict=True)))
+            best = key if best is None or key < best else best
+    flow = mixing.min_cost_flow(patterns, quota, 3)
+    assert all(sum(g.values()) <= 3 * n for g, (_, n) in zip(flow, patterns, strict=True))
+    served = {s: sum(g.get(s, 0) for g in flow) for s in quota}
+    assert all(served[s] <= quota[s] for s in quota)
+    assert (-sum(served.values()), sum(cost(n, sum(g.values())) for g, (_, n) in zip(flow, patterns, strict=True))) == best
+
+
+def test_plans_beyond_the_broadcast(spark, docs, monkeypatch):
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", 1)
+    assert sorted(map(str, mixing.mix(docs).collect())) == want
+
+
 def check_pieces(rows, texts):
     from tokenizers import Tokenizer
 
