@@ -29,6 +29,20 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Intermediate tables of one computation, which go together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.root, self.tables = spark, shared_dir(spark, what), 0
+
+    def __call__(self, df: DataFrame, what: str) -> DataFrame:
+        self.tables += 1
+        return stored(df, f"{self.root}/{self.tables}-{what}")
+
+    def clear(self) -> None:
+        drop(self.spark, self.root)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Removes a folder whose rows no later step reads."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
