@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("katz", "quality", "htmltext", "parityjoin", "warc", "topk", "langid", "rules", "mixing", "packing")
+MODULES = ("katz", "quality", "htmltext", "parityjoin", "warc", "topk", "langid", "rules", "mixing", "packing", "convrepair", "multiindex", "hamerly")
 
 
 def queries() -> dict:
