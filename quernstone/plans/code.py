@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import code, reports
+from ..operators import code, mentions, reports
 from ..sources import files
 from ..streaming import versions as stream
 from .common import table, values_df, values_sql
@@ -122,7 +122,7 @@ def ca17_python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ca19_mention_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _files(spark).where("path like '%.py'")
-    return code.mention_context(f, code.mentions(f, spark.createDataFrame([("numpy",), ("json",)], "package string")))
+    return code.mention_context(f, mentions.mentions(f, spark.createDataFrame([("numpy",), ("json",)], "package string")))
 
 
 def sc01_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:

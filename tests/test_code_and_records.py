@@ -229,15 +229,3 @@ def test_marks_of_lines_and_files(spark):
     df = spark.createDataFrame(files, "path string, text string")
     assert sorted(rows(code.checked_imports(df))) == [("a", 1, "os"), ("a", 4, "q.r"), ("c", 7, "re")]
     assert sorted(rows(code.checked_imports(df, ("os", "q")))) == [("c", 7, "re")]
-
-
-def test_mentions_with_and_without_the_search(spark):
-    files = [("a", "Num-Py and numpy_x\nnum_py\nnumpy # noqa num-py\nre-num-py x"), ("b", None), ("c", "nothing")]
-    df, names = spark.createDataFrame(files, "path string, text string"), spark.createDataFrame([("num_py",), ("x",), ("NUM-PY",)], "package string")
-    want = [("a", 1, "NUM-PY"), ("a", 1, "num_py"), ("a", 2, "NUM-PY"), ("a", 2, "num_py"), ("a", 4, "x")]
-    assert sorted(rows(code.mentions(df, names))) == want
-    code.MOST_SEARCHED, before = 1, code.MOST_SEARCHED
-    try:
-        assert sorted(rows(code.mentions(df, names))) == want
-    finally:
-        code.MOST_SEARCHED = before
