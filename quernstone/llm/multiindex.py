@@ -6,8 +6,8 @@ distance of two signatures is the number of places that differ.  Signatures are
 distance below CHUNKS * (ERRORS + 1) have a chunk with at most ERRORS errors.  Which places of a chunk are wrong is
 enumerated: a text is entered under what is left of each chunk without any ERRORS of its places, so all pairs within
 GUARANTEED share a key.  At similarity 0.8 a chunk has at most one error in 74 of 100 cases, so that no chunk of 14 has is a
-matter of 8 pairs in 10^9.  Candidates are pairs within NEAR, which less than one such pair in 10^8 is not; sets are compared
-in full.
+matter of 8 pairs in 10^9.  Candidates are pairs within NEAR, which less than one such pair in 10^8 is not, whose parity
+sketches leave the similarity possible; sets are compared in full.
 
 The keys are plain rows: a group's hub is its smallest member, by partial minima, and members meet the hubs by a join that
 Spark splits where a key is hot.  From there on links are found as in the parity join: hubs first, then what is left between
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .columns import narrow, read
-from .parityjoin import fingerprints, joined, shingle_sets
+from .parityjoin import dense_sketches, fingerprints, fits, joined, shingle_sets, sketches
 from .storage import Shelf
 
 CHUNKS, WIDE, ERRORS = 14, 5, 1
@@ -65,12 +65,14 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def near(na, nb, sa, sb, percent: int):
-    """Whether sizes leave the similarity possible and signatures are within NEAR."""
-    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (distances(sa, sb) <= NEAR)
+    """Whether signatures are within NEAR, and sizes and parity sketches leave the similarity possible."""
+    cut = 2 * PLACES
+    parity = [np.ascontiguousarray(s[..., cut:]) for s in (sa, sb)]
+    return (distances(*(np.ascontiguousarray(s[..., :cut]) for s in (sa, sb))) <= NEAR) & fits(na, nb, *parity, percent)
 
 
 def summaries(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, fp, sketch (the signature) of each row; fp is null for a text without words and for a null doc_id."""
+    """doc_id, n, fp, sketch (signature and parity sketch) of each row; fp is null for a text without words and for a null doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,7 +80,8 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
                 hashes, offsets = shingle_sets(chunk, width)
                 ids, n = batch.column("doc_id").slice(chunk.first, len(chunk)), np.diff(offsets)
                 none = (n == 0) | ids.is_null().to_numpy(zero_copy_only=False)
-                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * PLACES), len(chunk), [None, pa.py_buffer(signatures(hashes, offsets))]).cast(pa.binary())
+                both = np.concatenate([signatures(hashes, offsets).view(np.uint8), dense_sketches(hashes, offsets)], axis=1)
+                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(both.shape[1]), len(chunk), [None, pa.py_buffer(both)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(fingerprints(hashes, offsets), mask=none), sketch], names=["doc_id", "n", "fp", "sketch"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, fp long, sketch binary")
@@ -89,10 +92,9 @@ def keyed(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("sketch").to_pylist()
-            if rows:
-                keys = chunk_keys(np.frombuffer(b"".join(rows), np.uint16).reshape(len(rows), PLACES))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+            if len(batch):
+                keys = chunk_keys(np.ascontiguousarray(sketches(batch.column("sketch"))[:, : 2 * PLACES]).view(np.uint16))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("fp"), lists], names=["fp", "keys"])
 
     return sets.select("fp", "sketch").mapInArrow(run, "fp long, keys array<long>").select(F.explode("keys").alias("key"), "fp")
@@ -114,7 +116,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     entries = keep(keyed(sets), "entries")
     hubs = entries.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
     groups = keep(entries.join(hubs, "key").select("hub", "fp").distinct(), "groups")
-    return joined(docs, rows, sets, groups, width, percent, found, keep, near).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return joined(docs, rows, sets, groups, width, percent, found, keep, near, many_hubs=True).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
