@@ -49,34 +49,32 @@ def effective(requests: DataFrame, files: DataFrame, folders: DataFrame, permiss
 
     max: the owner is admin; else the highest of public (read), direct and group grants, and what the folder itself
     gives (its owner admin, public read, grants).  tiered: the first of owner, public, direct, group, folder grants.
-    Only the asked pairs are looked up, each by the user and by the user's groups, so nothing grows with files x users.
+
+    A request meets the grants of its file, of which there are few, and a grant to a group counts if the pair of user and
+    group is a membership; so no request is multiplied by the groups of its user.  Grants of folders are dealt to members
+    once for a folder and user, whatever is asked.
     """
     asked = requests.select("id", "user_id").distinct()
     f = asked.join(live(files).select("id", "owner_id", "visibility", "parent_folder_id"), "id")
     now = permissions.where(unexpired(F.col("expires_at"), as_of)).select("resource_id", "resource_type", "grantee_id", "grantee_type", rank(F.col("permission_level")).alias("rank"))
-    groups = members.select("user_id", F.col("group_id").alias("grantee_id"))
-    who = f.withColumn("grantee_id", F.col("user_id")).withColumn("grantee_type", F.lit("user")).unionByName(f.join(groups, "user_id").withColumn("grantee_type", F.lit("group")))
-    of = lambda kind: now.where(F.col("resource_type") == kind).drop("resource_type")
-    row = lambda df, tier, r: df.select("id", "user_id", tier.alias("tier"), r.alias("rank"))
-    parts = [
-        row(f.where("owner_id = user_id"), F.lit(0), F.lit(3)),
-        row(f.where("visibility = 'public'"), F.lit(1), F.lit(1)),
-        row(who.join(of("file").withColumnRenamed("resource_id", "id"), ["id", "grantee_id", "grantee_type"]), F.when(F.col("grantee_type") == "user", 2).otherwise(3), F.col("rank")),
-    ]
-    inside = who.withColumnRenamed("parent_folder_id", "resource_id")
+    on_file = now.where("resource_type = 'file'").select(F.col("resource_id").alias("id"), "grantee_id", "grantee_type", "rank")
+    direct, by_group = F.col("grantee_type") == "user", F.col("grantee_type") == "group"
+    met = f.select("id", "user_id").join(on_file, "id").where(by_group | (direct & (F.col("grantee_id") == F.col("user_id"))))
+    met = met.withColumn("group_id", F.when(by_group, F.col("grantee_id")))
+    inside = members.select("user_id", "group_id").distinct().withColumn("_in", F.lit(True))
+    met = met.join(inside, ["user_id", "group_id"], "left").where(direct | F.col("_in"))
+    on_file = met.groupBy("id", "user_id").agg(F.max(F.when(direct, F.col("rank"))).alias("direct"), F.max(F.when(by_group, F.col("rank"))).alias("grouped"))
+    on_folder = granted(permissions.where("resource_type = 'folder'"), members, as_of).groupBy(F.col("resource_id").alias("parent_folder_id"), "user_id").agg(F.max("rank").alias("in_folder"))
+    rows = f.join(on_file, ["id", "user_id"], "left").join(on_folder, ["parent_folder_id", "user_id"], "left")
+    owner, public, folder = F.col("owner_id") == F.col("user_id"), F.col("visibility") == "public", F.col("in_folder")
     if mode == "max":
-        d = live(folders).select(F.col("id").alias("resource_id"), F.col("owner_id").alias("folder_owner"), F.col("visibility").alias("folder_visibility"))
-        inside = inside.join(d, "resource_id")
-        mine = inside.where("grantee_type = 'user'")
-        parts.append(row(mine.where("folder_owner = user_id"), F.lit(4), F.lit(3)))
-        parts.append(row(mine.where("folder_visibility = 'public'"), F.lit(4), F.lit(1)))
-    parts.append(row(inside.join(of("folder"), ["resource_id", "grantee_id", "grantee_type"]), F.lit(4), F.col("rank")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    order = F.col("rank") if mode == "max" else F.struct(-F.col("tier"), F.col("rank"))
-    best = every.groupBy("id", "user_id").agg(level_of(F.max_by("rank", order)).alias("level"))
-    return asked.join(best, ["id", "user_id"], "left")
+        d = live(folders).select(F.col("id").alias("parent_folder_id"), F.col("owner_id").alias("folder_owner"), F.col("visibility").alias("folder_visibility"))
+        rows = rows.join(d.withColumn("_live", F.lit(True)), "parent_folder_id", "left")
+        own = F.when(F.col("folder_owner") == F.col("user_id"), 3).when(F.col("folder_visibility") == "public", 1)
+        best = F.greatest(F.when(owner, 3), F.when(public, 1), F.col("direct"), F.col("grouped"), F.when(F.col("_live"), F.greatest(own, folder)))
+    else:
+        best = F.when(owner, 3).when(public, 1).otherwise(F.coalesce("direct", "grouped", folder))
+    return asked.join(rows.select("id", "user_id", level_of(best).alias("level")), ["id", "user_id"], "left")
 
 
 def file_tree(files: DataFrame, levels: DataFrame) -> DataFrame:

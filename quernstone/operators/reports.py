@@ -137,12 +137,16 @@ def first_wins(exports: DataFrame) -> DataFrame:
     return exports.withColumn("chosen", F.row_number().over(order) == 1)
 
 
-def barrel_text(exports: DataFrame) -> DataFrame:
-    """One row: the text of an index that exports every name once; later files of a name are comments."""
+def barrel_lines(exports: DataFrame) -> DataFrame:
+    """not_default, path, name, line: the lines of an index that exports every name once; later files of a name are
+    comments.  The first three columns are the lines' order."""
     stem = F.regexp_replace("path", r"\.[a-zA-Z0-9]+$", "")
-    line = F.when(F.col("is_default"), F.concat(F.lit("export { default as "), "name", F.lit(" } from './"), stem, F.lit("';"))).otherwise(F.concat(F.lit("export { "), "name", F.lit(" } from './"), stem, F.lit("';")))
-    rows = first_wins(exports).select(F.struct(~F.col("is_default"), F.col("path"), F.col("name"), F.when(F.col("chosen"), line).otherwise(F.concat(F.lit("// "), line)).alias("line")).alias("x"))
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda r: r["line"]), "\n").alias("text"))
+    line = F.concat(F.when(F.col("is_default"), "export { default as ").otherwise("export { "), "name", F.lit(" } from './"), stem, F.lit("';"))
+    return first_wins(exports).select((~F.col("is_default")).alias("not_default"), "path", "name", F.when(F.col("chosen"), line).otherwise(F.concat(F.lit("// "), line)).alias("line"))
+
+
+#: What orders the lines of an index.
+BARREL_ORDER = ["not_default", "path", "name"]
 
 
 def upstream_callers(calls: DataFrame, imports: DataFrame, callables: DataFrame, module: str) -> DataFrame:
