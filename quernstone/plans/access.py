@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import access, versions
+from ..sources import files, snapshots
 from .common import table
 
 AS_OF = "1998-06-01 00:00:00"
@@ -146,6 +147,20 @@ def dm01_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.upsert(f, changes.unionByName(fresh), ["id"]).select("id", "owner_id", "path", "visibility", F.col("deleted_at").isNull().alias("live"))
 
 
+def dm01_bucketed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a table of 16 buckets by key and changes to those of two: the next snapshot's rows, and which snapshot wrote
+    the file that a row lies in."""
+    at = files.scratch_dir(spark, "snapshots")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    bucket = (F.col("o_orderkey") % 16).cast("int")
+    snapshots.create(o, at, ["o_orderkey"], 16, bucket)
+    hit = o.where("o_orderkey % 16 in (3, 5) and o_orderkey % 7 < 3")
+    changes = hit.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 1, "X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    fresh = hit.select((-16 * F.col("o_orderkey") + 5).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), F.lit(0.0).alias("o_totalprice"))
+    new = snapshots.change(spark, at, 0, changes.unionByName(fresh), o.schema, ["o_orderkey"], 16, F.pmod("o_orderkey", F.lit(16)).cast("int"))
+    return snapshots.read(spark, at, new, o.schema)
+
+
 def dm02_soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     f = versions.soft_delete(t["files"], t["files"].where("owner_id % 4 = 0"), "id", t["as_of"])
@@ -224,7 +239,7 @@ def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ag01_effective_permission, ag02_tiered_permission, ag03_file_tree, jn01_group_grants, jn02_folder_grants, jn03_secure_view, fl08_writable_view, jn04_shared_with_groups, jn05_groups_of_user, fl05_live_files, fl06_lookups, fl07_unexpired,
-    dm08_required_write, dm08_grant_revoke, dm09_group_members, dm01_upsert, dm02_soft_delete, dm03_track_writes, dm04_managed_writes, dm05_read_version, dm06_restore, dm07_share_links, dm10_context_user, so01_files_by_path, so02_versions_descending, so03_top_rank, so08_first_row, constraints,
+    dm08_required_write, dm08_grant_revoke, dm09_group_members, dm01_upsert, dm01_bucketed_snapshots, dm02_soft_delete, dm03_track_writes, dm04_managed_writes, dm05_read_version, dm06_restore, dm07_share_links, dm10_context_user, so01_files_by_path, so02_versions_descending, so03_top_rank, so08_first_row, constraints,
 )}
 _LIVE = "f AS (SELECT * FROM files WHERE deleted_at IS NULL)"
 _EVERY = f"""a AS (SELECT asked.user_id, f.* FROM asked JOIN f USING (id)),
@@ -256,6 +271,7 @@ ORACLE_SQL = {
     "dm08_grant_revoke": f"{WITH} SELECT resource_type, CASE resource_type WHEN 'folder' THEN 'admin' ELSE permission_level END AS permission_level, count(*) AS n FROM permissions WHERE grantee_id % 4 <> 1 GROUP BY 1, 2",
     "dm09_group_members": f"{WITH} SELECT user_id, count(*) AS n_groups FROM (SELECT group_id, user_id FROM members UNION SELECT group_id, CAST(3 AS BIGINT) FROM members) WHERE user_id <> 7 GROUP BY user_id",
     "dm01_upsert": f"{WITH} SELECT id, owner_id, path, CASE WHEN id % 6 = 0 THEN 'public' ELSE visibility END AS visibility, deleted_at IS NULL OR id % 3 = 0 AS live FROM files UNION ALL SELECT -id - 1, owner_id, NULL, 'shared', TRUE FROM files WHERE id % 5 = 0",
+    "dm01_bucketed_snapshots": "SELECT o_orderkey, o_custkey, CASE WHEN hit AND o_orderkey % 2 = 1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN hit THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderkey % 16 IN (3, 5) THEN 1 ELSE 0 END AS written FROM (SELECT *, o_orderkey % 16 IN (3, 5) AND o_orderkey % 7 < 3 AS hit FROM orders) UNION ALL SELECT -16 * o_orderkey + 5, NULL, 'N', 0.0, 1 FROM orders WHERE o_orderkey % 16 IN (3, 5) AND o_orderkey % 7 < 3",
     "dm02_soft_delete": f"{WITH} SELECT visibility, count(*) AS n, count(CASE WHEN owner_id % 4 = 0 OR deleted_at IS NOT NULL THEN 1 END) AS n_deleted FROM files GROUP BY visibility",
     "dm03_track_writes": f"WITH {VERSIONS_SQL} SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY version_number DESC) = 1",
     "dm04_managed_writes": f"{_MAX}, {VERSIONS_SQL}, last AS (SELECT file_id, max(version_number) AS last FROM versions GROUP BY file_id) SELECT id AS file_id, user_id, CAST(row_number() OVER (PARTITION BY id ORDER BY user_id) + coalesce(last, 0) AS INTEGER) AS version_number FROM levels LEFT JOIN last ON file_id = id WHERE r >= 2",
