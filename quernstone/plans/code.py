@@ -1,4 +1,4 @@
-"""Queries of source code over a few files of our own, and streams of events."""
+"""Queries of source code over files derived from parts, of files and folders, and streams of events."""
 
 from __future__ import annotations
 
@@ -7,124 +7,98 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import code, mentions, reports
-from ..sources import files
+from ..operators import callers, code, mentions, reports
+from ..sources import files, ordered
 from ..streaming import versions as stream
-from .common import table, values_df, values_sql
+from . import corpus
+from .common import table
+from .corpus import sources as _files
 from .reports import TREE_SQL
 
-PY = '''"""A module."""
-import os, json.decoder
-from typing import Optional
-from . import near
-
-LIMIT = 5
-Name = Optional[str]
-
-
-class Shape(BaseModel):
-    side: int = 2
-    label: str = Field(default="x")
-
-    async def area(self, scale: float = 1.0, *rest, unit="m", **more) -> float:  # size
-        return self._grow(scale)
-
-
-def total(items, /, key=None):
-    return sum(area(i) for i in items)  # uses numpy
-
-
-def area(x):
-    return os.path.join("numpy", x)
-'''
-TS = """// first
-import React, { useState, useMemo } from 'react';
-import { Box } from '@/ui/Box';
-import { x } from './near';
-import { y } from './near';
-export const Card = (props: Props): Item => {
-  return null; /* note */
-};
-export interface Props { a: string }
-export { Box, helper };
-export default function Main(a: number) { return a; }
-class Inner { size(): number { return 1; } }
-"""
-GO = "package main\n// add\nfunc Add(a int, b int) int {\n\treturn a + b\n}\ntype Pair struct {\n}\n"
-FILES = [("app/main.py", PY), ("app/broken.py", "def broken(:\n"), ("web/card.tsx", TS), ("pkg/add.go", GO), ("pkg/empty.rb", ""), ("web/page.tsx", "export default Page\n# x\n\n\n\n\nend"), ("docs/read.md", "# not code")]
-F_SQL = f"({values_sql(FILES, 'path, text')})"
-
-
-def _files(spark: SparkSession) -> DataFrame:
-    return values_df(spark, FILES, "path, text")
+F_SQL = corpus.FILES_SQL
 
 
 def ca04_strip_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark).select("path", code.strip_comments(F.col("text")).alias("out"))
+    return _files(spark, sf_dir).select("path", code.strip_comments(F.col("text")).alias("out"))
 
 
 def ca04_strip_document_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(code.strip_comments(F.col("text"))).alias("digest"))
 
 
-def ca02_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables' own files, by their names."""
-    return files.tree(spark, sf_dir, "*.parquet", exact=("part.parquet",), words=("orders",), include=(".parquet",)).select(F.regexp_extract("path", r"^([^/]+)", 1).alias("table")).distinct()
-
-
 def ca03_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.tree_text(_files(spark))
+    """The files' tree written as text by ranges of its order, and its lines read back with their numbers."""
+    at = files.scratch_dir(spark, "tree-text")
+    ordered.write_lines(code.tree_rows(_files(spark, sf_dir)), "line", ["parts"], at)
+    return ordered.read_lines(spark, at)
 
 
 def ca05_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _files(spark).select("path", F.encode(F.concat(F.col("path"), F.lit("é")), "ISO-8859-1").alias("bytes"))
+    """Files in Latin-1 and in UTF-8 by turns."""
+    text = F.concat(F.col("path"), F.lit("é"))
+    raw = _files(spark, sf_dir).select("path", F.when(F.length("path") % 2 == 0, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8")).alias("bytes"))
     return raw.select("path", code.decoded(F.col("bytes")).alias("out"))
 
 
 def ca06_python_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.python_signatures(_files(spark))
+    return code.python_signatures(_files(spark, sf_dir))
 
 
 def ca07_regex_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.regex_signatures(_files(spark))
+    return code.regex_signatures(_files(spark, sf_dir))
 
 
 def ca08_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.calls(_files(spark), ignore=("sum",))
+    return code.calls(_files(spark, sf_dir), ignore=("sum",))
 
 
 def ca09_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.definitions(_files(spark))
+    return code.definitions(_files(spark, sf_dir))
 
 
 def ca10_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    modes = [code.context(_files(spark), m).withColumn("mode", F.lit(m)) for m in ("original", "clean", "signatures", "tree")]
+    modes = [code.context(_files(spark, sf_dir), m).withColumn("mode", F.lit(m)) for m in ("original", "clean", "signatures", "tree")]
     return modes[0].unionByName(modes[1]).unionByName(modes[2]).unionByName(modes[3])
 
 
 def ca13_react_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.react_exports(_files(spark).where("path like '%.tsx'"), ignore=("helper",))
+    return code.react_exports(_files(spark, sf_dir).where("path like '%.tsx'"), ignore=("helper",))
 
 
 def ca14_react_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.react_imports(_files(spark).where("path like '%.tsx'"))
+    return code.react_imports(_files(spark, sf_dir).where("path like '%.tsx'"))
 
 
 def ca15_react_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark).where("path like '%.tsx'")
+    f = _files(spark, sf_dir).where("path like '%.tsx'")
     e = code.react_exports(f, ignore=("helper",)).select("path", F.explode("named_exports").alias("name"))
     return reports.combined(f, e, code.react_imports(f))
 
 
 def ca17_python_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.python_imports(_files(spark)).where("error is null").select("path", "import_name", "line")
+    return code.python_imports(_files(spark, sf_dir)).where("error is null").select("path", "import_name", "line")
 
 
 def ca19_mention_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark).where("path like '%.py'")
+    f = _files(spark, sf_dir).where("path like '%.py'")
     return code.mention_context(f, mentions.mentions(f, spark.createDataFrame([("numpy",), ("json",)], "package string")))
 
 
+def ca08_callers_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who calls make_24 of part 24's file, at any depth and through renamed imports of other files."""
+    f = _files(spark, sf_dir).where("path like '%.py'")
+    edges = callers.resolved(code.calls(f, ignore=("sum",)).where("error is null"), code.python_symbols(f).where("error is null"))
+    return callers.reaching(edges, spark.createDataFrame([("lib.m24.make_24",)], "function string")).select("caller", "depth")
+
+
+def jn11_transitive_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as functions that call the part of their supplier's number in each line item: who reaches functions 1, 2 and 3."""
+    items = table(spark, sf_dir, "lineitem")
+    name = lambda c: F.concat(F.lit("f"), F.col(c))
+    edges = items.where("l_partkey % 10 = l_linenumber").select(name("l_partkey").alias("caller"), name("l_suppkey").alias("callee"))
+    return callers.reaching(edges, spark.createDataFrame([("f1",), ("f2",), ("f3",)], "function string")).select("function", "caller")
+
+
 def sc01_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation names written as text files and read back whole; a folder that is missing gives nothing."""
     at = files.scratch_dir(spark, "text")
@@ -203,7 +177,7 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.windowed_counts(table(spark, sf_dir, "events").select("ts", "event_type"), "6 hours")
 
 
-QUERIES = {f.__name__: f for f in (ca02_discover, ca03_tree_text, ca04_strip_comments, ca04_strip_document_comments, ca05_decoded, ca06_python_signatures, ca07_regex_signatures, ca08_call_graph, ca09_definitions, ca10_context, ca13_react_exports, ca14_react_imports, ca15_react_pipeline, ca17_python_imports, ca19_mention_context, sc01_text_files, sc02_resolved_paths, sc03_append_list_delete, sc07_document_files, sc10_slides, sc17_reports, sc18_file_tree, sc20_generated_names, stream_windowed_counts)}
+QUERIES = {f.__name__: f for f in (ca03_tree_text, ca04_strip_comments, ca04_strip_document_comments, ca05_decoded, ca06_python_signatures, ca07_regex_signatures, ca08_call_graph, ca09_definitions, ca10_context, ca13_react_exports, ca14_react_imports, ca15_react_pipeline, ca17_python_imports, ca19_mention_context, ca08_callers_over_files, jn11_transitive_callers, sc01_text_files, sc02_resolved_paths, sc03_append_list_delete, sc07_document_files, sc10_slides, sc17_reports, sc18_file_tree, sc20_generated_names, stream_windowed_counts)}
 _BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '''''''[\s\S]*?''''''', '', 'g'), '\"\"\"[\s\S]*?\"\"\"', '', 'g'), '#[^\n]*', '', 'g'), '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*', '', 'g'), '--\[\[[\s\S]*?\]\]', '', 'g'), '--[^\n]*', '', 'g'), '<!--[\s\S]*?-->', '', 'g')"
 _STRIP = "regexp_replace(" + _BARE.replace('\\"', '"') + r", '\n[ \t]*\n[ \t]*\n+', chr(10) || chr(10), 'g')"
 _NO_COMMENTS = r"regexp_replace(regexp_replace(text, '//.*', '', 'g'), '(?s)/\*.*?\*/', '', 'g')"
@@ -217,14 +191,33 @@ _IMPORTS = (
     f"WITH t AS (SELECT path, regexp_extract_all({_NO_COMMENTS}, '{_IMPORT}') AS m FROM {F_SQL} WHERE path LIKE '%.tsx'), r AS (SELECT path, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(m[i], '{_IMPORT}', 1) AS d, regexp_extract(m[i], '{_IMPORT}', 2) AS n, regexp_extract(m[i], '{_IMPORT}', 3) AS source FROM (SELECT path, m, unnest(range(1, len(m) + 1)) AS i FROM t)) "
     f"SELECT path, pos, CASE WHEN starts_with(source, '@/') THEN 'alias' WHEN source[1] IN ('.', '/') THEN 'relative' ELSE 'package' END AS kind, source, nullif(d, '') AS default, CASE WHEN n = '' THEN CAST([] AS VARCHAR[]) ELSE list_transform(string_split(n, ','), {_TRIMMED}) END AS named, CASE WHEN starts_with(source, './') THEN 'web/' || substr(source, 3) END AS resolved_path FROM r"
 )
+_PY_LINES = corpus.rows_sql({0: ["LIMIT = %size%", "Name = Optional[str]", "class Shape%k%(BaseModel):", "    # fields: side: int = %size%, label: str = '%word%'", "    async def area(self, scale: float = 1.0, *rest, unit = 'm', **more) -> float", "def make_%k%(items, /, key = None)", "def use_%k%(x)"]})
+_OTHER_LINES = corpus.rows_sql({
+    1: ["export interface Props%k%", "class Inner", "export const Card%k% = (props: Props): Item =>"], 2: ["func Add%k%(a int, b int) int", "type Pair%k% struct"], 3: ["pub fn add%k%(a: i32) -> i32", "struct Pair%k%"],
+    4: ["public int size(int a)", "public class P%k%"], 5: ["def size(a)", "module M%k% def size(a) a # note end end"],
+})
 ORACLE_SQL = {
     "ca04_strip_comments": f"SELECT path, {_STRIP.format('text')} AS out FROM {F_SQL}",
     "ca04_strip_document_comments": f"SELECT doc_id, md5({_STRIP.format('text')}) AS digest FROM documents",
     "ca05_decoded": f"SELECT path, path || 'é' AS out FROM {F_SQL}",
+    "ca06_python_signatures": f"SELECT path, CAST(NULL AS VARCHAR) AS error, pos, signature FROM {_PY_LINES} UNION ALL SELECT path, 'SyntaxError', NULL, NULL FROM {F_SQL} WHERE {corpus.BROKEN}",
+    "ca07_regex_signatures": f"SELECT path, CASE p_partkey % 8 WHEN 1 THEN 'typescript' WHEN 2 THEN 'go' WHEN 3 THEN 'rust' WHEN 4 THEN 'java' ELSE 'ruby' END AS lang, pos, signature FROM {_OTHER_LINES}",
+    "ca08_call_graph": f"""SELECT path, CASE WHEN {corpus.BROKEN} THEN 'SyntaxError' END AS error, CASE WHEN NOT {corpus.BROKEN} THEN m END AS module, CASE WHEN x.c <> '' THEN m || '.' || x.c END AS caller, x.f AS callee, x.a AS args, x.l AS line, x.s AS is_async
+ FROM (SELECT p_partkey, path, replace(path[:-4], '/', '.') AS m, unnest(CASE WHEN {corpus.BROKEN} THEN [NULL] ELSE [{{'c': '', 'f': 'lib.m' || p_partkey || '.Field', 'a': CAST([] AS VARCHAR[]), 'l': 13, 's': FALSE}}, {{'c': 'area', 'f': 'self.grow', 'a': ['scale'], 'l': 16, 's': TRUE}},
+ {{'c': 'make_' || p_partkey, 'f': 'lib.m' || p_partkey || '.made', 'a': ['i'], 'l': 20, 's': FALSE}}, {{'c': 'use_' || p_partkey, 'f': '...join', 'a': [chr(39) || 'numpy' || chr(39), 'make_' || p_partkey || '(x)'], 'l': 24, 's': FALSE}}, {{'c': 'use_' || p_partkey, 'f': 'lib.m' || p_partkey || '.make_' || p_partkey, 'a': ['x'], 'l': 24, 's': FALSE}}] END) AS x FROM {F_SQL} WHERE p_partkey % 8 = 0)""",
+    "ca09_definitions": f"""SELECT path, CASE WHEN {corpus.BROKEN} THEN 'SyntaxError' END AS error, x.k AS kind, x.c AS class, x.n AS name, x.a AS args FROM (SELECT p_partkey, path, unnest(CASE WHEN {corpus.BROKEN} THEN [NULL] ELSE [{{'k': 'class', 'c': 'Shape' || p_partkey, 'n': 'Shape' || p_partkey, 'a': CAST([] AS VARCHAR[])}},
+ {{'k': 'method', 'c': 'Shape' || p_partkey, 'n': 'area', 'a': ['self', 'scale']}}, {{'k': 'function', 'c': NULL, 'n': 'make_' || p_partkey, 'a': ['key']}}, {{'k': 'function', 'c': NULL, 'n': 'use_' || p_partkey, 'a': ['x']}}] END) AS x FROM {F_SQL} WHERE p_partkey % 8 = 0)""",
+    "ca10_context": f"""WITH f AS (SELECT * FROM {F_SQL}), s AS (SELECT path, string_agg(signature, chr(10) ORDER BY pos) AS body FROM (SELECT path, pos, signature FROM {_PY_LINES} UNION ALL SELECT path, pos, signature FROM {_OTHER_LINES}) GROUP BY path),
+ m AS (SELECT 'original' AS mode, path, text AS body FROM f UNION ALL SELECT 'clean', path, {_STRIP.format('text')} FROM f UNION ALL SELECT 'signatures', path, coalesce(body, '') FROM f LEFT JOIN s USING (path))
+ SELECT path, '---' || chr(10) || 'Filepath: ' || path || chr(10) || chr(10) || body || chr(10) AS body, mode FROM m UNION ALL SELECT path, line, 'tree' FROM ({TREE_SQL.format(f'SELECT path FROM {F_SQL}')} SELECT path, line FROM t)""",
+    "ca17_python_imports": f"SELECT path, unnest(['os', 'json', 'typing', 'lib']) AS import_name, unnest([2, 2, 3, 4]) AS line FROM {F_SQL} WHERE p_partkey % 8 = 0 AND NOT {corpus.BROKEN}",
+    "ca19_mention_context": f"SELECT path, unnest([2, 20, 24]) AS line, unnest(['json', 'numpy', 'numpy']) AS package, unnest(['code', 'comment', 'comment']) AS context FROM {F_SQL} WHERE p_partkey % 8 = 0 AND NOT {corpus.BROKEN}",
+    "ca08_callers_over_files": f"""WITH RECURSIVE p AS (SELECT p_partkey AS k, {corpus.NAMES['j']} AS j FROM part WHERE p_partkey % 8 = 0 AND NOT {corpus.BROKEN}), e AS (SELECT 'lib.m' || k || '.make_' || k AS caller, 'lib.m' || j || '.make_' || j AS callee FROM p UNION ALL SELECT 'lib.m' || k || '.use_' || k, 'lib.m' || k || '.make_' || k FROM p),
+ r AS (SELECT caller, 1 AS depth FROM e WHERE callee = 'lib.m24.make_24' UNION SELECT e.caller, depth + 1 FROM r JOIN e ON e.callee = r.caller WHERE depth < 60) SELECT caller, min(depth) AS depth FROM r GROUP BY caller""",
+    "jn11_transitive_callers": "WITH RECURSIVE e AS (SELECT DISTINCT 'f' || l_partkey AS caller, 'f' || l_suppkey AS callee FROM lineitem WHERE l_partkey % 10 = l_linenumber), r AS (SELECT callee AS function, caller FROM e WHERE callee IN ('f1', 'f2', 'f3') UNION SELECT function, e.caller FROM r JOIN e ON e.callee = r.caller) SELECT function, caller FROM r",
     "ca13_react_exports": _EXPORTS,
     "ca14_react_imports": _IMPORTS,
-    "ca02_discover": "SELECT table_name || '.parquet' AS \"table\" FROM information_schema.tables WHERE table_name NOT IN ('part', 'orders')",
-    "ca03_tree_text": f"{TREE_SQL.format(f'SELECT path FROM {F_SQL}')} SELECT string_agg(line, chr(10) ORDER BY parts) AS tree FROM t",
+    "ca03_tree_text": f"{TREE_SQL.format(f'SELECT path FROM {F_SQL}')} SELECT row_number() OVER (ORDER BY parts) AS ordinal, line FROM t",
     "ca15_react_pipeline": f"SELECT e.path, e.named_exports AS exports, coalesce(i.imports, []) AS imports FROM ({_EXPORTS}) e LEFT JOIN (SELECT path, list_sort(list(DISTINCT source)) AS imports FROM ({_IMPORTS}) GROUP BY path) i ON e.path = i.path",
     "sc01_text_files": "SELECT n_name AS line FROM nation",
     "sc02_resolved_paths": """WITH p AS (SELECT p_partkey, string_split('/srv/app/' || CASE WHEN p_partkey % 3 = 0 THEN '../' ELSE './' END || p_brand || '/..' || repeat('/..', p_size % 4) || '//' || p_name, '/') AS parts FROM part)

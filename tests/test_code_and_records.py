@@ -10,13 +10,57 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import case, clean, extract, inflect, paths, urls
 from quernstone.functions import validators as V
-from quernstone.operators import access, code, records, versions
+from quernstone.operators import access, callers, code, mentions, records, versions
 from quernstone.operators.records import Field
-from quernstone.plans import code as plans
 from quernstone.sources import files
 from quernstone.streaming import versions as stream
 
 
+PY = '''"""A module."""
+import os, json.decoder
+from typing import Optional
+from . import near
+
+LIMIT = 5
+Name = Optional[str]
+
+
+class Shape(BaseModel):
+    side: int = 2
+    label: str = Field(default="x")
+
+    async def area(self, scale: float = 1.0, *rest, unit="m", **more) -> float:  # size
+        return self._grow(scale)
+
+
+def total(items, /, key=None):
+    return sum(area(i) for i in items)  # uses numpy
+
+
+def area(x):
+    return os.path.join("numpy", x)
+'''
+TS = """// first
+import React, { useState, useMemo } from 'react';
+import { Box } from '@/ui/Box';
+import { x } from './near';
+import { y } from './near';
+export const Card = (props: Props): Item => {
+  return null; /* note */
+};
+export interface Props { a: string }
+export { Box, helper };
+export default function Main(a: number) { return a; }
+class Inner { size(): number { return 1; } }
+"""
+GO = "package main\n// add\nfunc Add(a int, b int) int {\n\treturn a + b\n}\ntype Pair struct {\n}\n"
+FILES = [("app/main.py", PY), ("app/broken.py", "def broken(:\n"), ("web/card.tsx", TS), ("pkg/add.go", GO), ("pkg/empty.rb", ""), ("web/page.tsx", "export default Page\n# x\n\n\n\n\nend"), ("docs/read.md", "# not code")]
+
+
+def own_files(spark):
+    return spark.createDataFrame(FILES, "path string, text string")
+
+
 def rows(df):
     return [tuple(r) for r in df.collect()]
 
@@ -77,12 +121,12 @@ def test_storage_urls_reject_others(spark):
 
 
 def test_python_signatures(spark):
-    got = [r.signature for r in plans.ca06_python_signatures(spark, "").orderBy("path", "pos").collect() if r.signature]
+    got = [r.signature for r in code.python_signatures(own_files(spark)).orderBy("path", "pos").collect() if r.signature]
     assert got == [
         "LIMIT = 5", "Name = Optional[str]", "class Shape(BaseModel):", "    # fields: side: int = 2, label: str = 'x'",
         "    async def area(self, scale: float = 1.0, *rest, unit = 'm', **more) -> float", "def total(items, /, key = None)",
     ]
-    assert [r.path for r in plans.ca06_python_signatures(spark, "").where("error is not null").collect()] == ["app/broken.py"]
+    assert [r.path for r in code.python_signatures(own_files(spark)).where("error is not null").collect()] == ["app/broken.py"]
 
 
 def test_signatures_of_all_kinds(spark):
@@ -100,33 +144,51 @@ def test_signatures_of_all_kinds(spark):
 
 
 def test_calls_skip_private_and_ignored(spark):
-    got = rows(plans.ca08_call_graph(spark, "").where("error is null").select("caller", "callee", "line"))
+    got = rows(code.calls(own_files(spark), ignore=("sum",)).where("error is null").select("caller", "callee", "line"))
     assert got == [(None, "app.main.Field", 12), ("app.main.total", "app.main.area", 19), ("app.main.area", "...join", 23)]
 
 
 def test_definitions_hide_functions_named_as_methods(spark):
-    got = rows(plans.ca09_definitions(spark, "").where("error is null").select("kind", "name", "args"))
+    got = rows(code.definitions(own_files(spark)).where("error is null").select("kind", "name", "args"))
     assert got == [("class", "Shape", []), ("method", "area", ["self", "scale"]), ("function", "total", ["key"])]
 
 
 def test_regex_signatures(spark):
-    got = [r.signature for r in plans.ca07_regex_signatures(spark, "").where("lang = 'go'").orderBy("pos").collect()]
+    got = [r.signature for r in code.regex_signatures(own_files(spark)).where("lang = 'go'").orderBy("pos").collect()]
     assert got == ["func Add(a int, b int) int", "type Pair struct"]
 
 
 def test_imports_and_mentions(spark):
-    assert rows(plans.ca17_python_imports(spark, "")) == [("app/main.py", "os", 2), ("app/main.py", "json", 2), ("app/main.py", "typing", 3)]
-    got = {(r.line, r.package, r.context) for r in plans.ca19_mention_context(spark, "").collect()}
+    python = own_files(spark).where("path like '%.py'")
+    assert rows(code.python_imports(own_files(spark)).where("error is null").select("path", "import_name", "line")) == [("app/main.py", "os", 2), ("app/main.py", "json", 2), ("app/main.py", "typing", 3)]
+    got = {(r.line, r.package, r.context) for r in code.mention_context(python, mentions.mentions(python, spark.createDataFrame([("numpy",), ("json",)], "package string"))).collect()}
     assert got == {(2, "json", "code"), (19, "numpy", "comment"), (23, "numpy", "comment")}
 
 
 def test_context_modes_shrink(spark):
-    size = {m: sum(len(r.body) for r in code.context(plans._files(spark), m).collect()) for m in ("original", "clean", "signatures", "tree")}
+    size = {m: sum(len(r.body) for r in code.context(own_files(spark), m).collect()) for m in ("original", "clean", "signatures", "tree")}
     assert size["tree"] < size["signatures"] < size["clean"] < size["original"]
 
 
-def test_tree_text(spark):
-    assert plans.ca03_tree_text(spark, "").head().tree.splitlines()[:3] == ["app/", "    broken.py", "    main.py"]
+def test_tree_lines(spark):
+    assert [r.line for r in code.tree_rows(own_files(spark)).orderBy("parts").collect()][:3] == ["app/", "    broken.py", "    main.py"]
+
+
+def test_callers_over_files(spark):
+    """Renamed, relative and whole-module imports, a cycle, and a function that nobody calls."""
+    files = [
+        ("p/a.py", "def one(): pass\ndef two(): one()\ndef loop(): again()\ndef again(): loop()\n"), ("p/b.py", "from p.a import one as uno\nfrom . import a\nimport p.a as pa\ndef three(): uno()\ndef four(): a.two()\nclass C:\n    def five(self): pa.loop()\n"),
+        ("q/c.py", "from p import b\nfrom ..p.b import three\ndef six(): b.four()\ndef seven(): three(); seven()\ndef eight(): one()\n"), ("bad.py", "def ("),
+    ]
+    df = spark.createDataFrame(files, "path string, text string")
+    symbols = code.python_symbols(df).where("error is null")
+    assert {(r.path, r.local, r.target) for r in symbols.collect()} == {("p/b.py", "uno", "p.a.one"), ("p/b.py", "a", "p.a"), ("p/b.py", "pa", "p.a"), ("q/c.py", "b", "p.b"), ("q/c.py", "three", "p.b.three")}
+    edges = callers.resolved(code.calls(df).where("error is null"), symbols)
+    asked = spark.createDataFrame([("p.a.one",), ("p.a.loop",), ("q.c.seven",), ("q.c.eight",)], "function string")
+    got = {(r.function, r.caller, r.depth) for r in callers.reaching(edges, asked).collect()}
+    assert got == {
+        ("p.a.one", "p.a.two", 1), ("p.a.one", "p.b.three", 1), ("p.a.one", "p.b.four", 2), ("p.a.one", "q.c.six", 3), ("p.a.one", "q.c.seven", 2), ("p.a.loop", "p.a.again", 1), ("p.a.loop", "p.a.loop", 2), ("p.a.loop", "p.b.five", 1), ("q.c.seven", "q.c.seven", 1),
+    }
 
 
 def test_class_text_runs(spark):
