@@ -33,6 +33,35 @@ def ca03_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.read_lines(spark, at)
 
 
+def _customer_tree(spark: SparkSession, sf_dir: str) -> str:
+    """Customers' names as text files in folders by region, nation and segment; some segments have a folder more."""
+    at = files.scratch_dir(spark, "customers")
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = c.select("c_name", F.concat(F.lit("region_"), "n_regionkey").alias("r"), F.replace("n_name", F.lit(" "), F.lit("_")).alias("n"), F.concat(F.lit("to_"), F.lower("c_mktsegment")).alias("segment"))
+    rows.repartition("r", "n").write.partitionBy("r", "n", "segment").text(at)
+    return at
+
+
+_RULES = {"exact": ("r=region_1", "segment=to_building", "N=NATION_5"), "words": ("machinery",), "include": (".txt",)}
+
+
+def ca02_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders with files below a target folder, for each region as the target; one that is missing has none."""
+    at = _customer_tree(spark, sf_dir)
+    found = None
+    for r in (0, 2, 3, 99):
+        part = files.walk(spark, f"{at}/r=region_{r}", **_RULES).where("not is_dir").select(F.lit(r).alias("target"), paths.dirname(F.col("path")).alias("dir")).distinct()
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def sc18_pruned_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All folders that the walk entered, and those with files: nothing below an excluded folder is among them."""
+    found = files.walk(spark, _customer_tree(spark, sf_dir), **_RULES)
+    entered = found.where("is_dir").select(F.lit("entered").alias("what"), F.col("path").alias("dir"))
+    return entered.unionByName(found.where("not is_dir").select(F.lit("files").alias("what"), paths.dirname(F.col("path")).alias("dir")).distinct())
+
+
 def ca05_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files in Latin-1 and in UTF-8 by turns."""
     text = F.concat(F.col("path"), F.lit("é"))
@@ -177,7 +206,7 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.windowed_counts(table(spark, sf_dir, "events").select("ts", "event_type"), "6 hours")
 
 
-QUERIES = {f.__name__: f for f in (ca03_tree_text, ca04_strip_comments, ca04_strip_document_comments, ca05_decoded, ca06_python_signatures, ca07_regex_signatures, ca08_call_graph, ca09_definitions, ca10_context, ca13_react_exports, ca14_react_imports, ca15_react_pipeline, ca17_python_imports, ca19_mention_context, ca08_callers_over_files, jn11_transitive_callers, sc01_text_files, sc02_resolved_paths, sc03_append_list_delete, sc07_document_files, sc10_slides, sc17_reports, sc18_file_tree, sc20_generated_names, stream_windowed_counts)}
+QUERIES = {f.__name__: f for f in (ca02_discover, sc18_pruned_walk, ca03_tree_text, ca04_strip_comments, ca04_strip_document_comments, ca05_decoded, ca06_python_signatures, ca07_regex_signatures, ca08_call_graph, ca09_definitions, ca10_context, ca13_react_exports, ca14_react_imports, ca15_react_pipeline, ca17_python_imports, ca19_mention_context, ca08_callers_over_files, jn11_transitive_callers, sc01_text_files, sc02_resolved_paths, sc03_append_list_delete, sc07_document_files, sc10_slides, sc17_reports, sc18_file_tree, sc20_generated_names, stream_windowed_counts)}
 _BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '''''''[\s\S]*?''''''', '', 'g'), '\"\"\"[\s\S]*?\"\"\"', '', 'g'), '#[^\n]*', '', 'g'), '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*', '', 'g'), '--\[\[[\s\S]*?\]\]', '', 'g'), '--[^\n]*', '', 'g'), '<!--[\s\S]*?-->', '', 'g')"
 _STRIP = "regexp_replace(" + _BARE.replace('\\"', '"') + r", '\n[ \t]*\n[ \t]*\n+', chr(10) || chr(10), 'g')"
 _NO_COMMENTS = r"regexp_replace(regexp_replace(text, '//.*', '', 'g'), '(?s)/\*.*?\*/', '', 'g')"
@@ -191,6 +220,7 @@ _IMPORTS = (
     f"WITH t AS (SELECT path, regexp_extract_all({_NO_COMMENTS}, '{_IMPORT}') AS m FROM {F_SQL} WHERE path LIKE '%.tsx'), r AS (SELECT path, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(m[i], '{_IMPORT}', 1) AS d, regexp_extract(m[i], '{_IMPORT}', 2) AS n, regexp_extract(m[i], '{_IMPORT}', 3) AS source FROM (SELECT path, m, unnest(range(1, len(m) + 1)) AS i FROM t)) "
     f"SELECT path, pos, CASE WHEN starts_with(source, '@/') THEN 'alias' WHEN source[1] IN ('.', '/') THEN 'relative' ELSE 'package' END AS kind, source, nullif(d, '') AS default, CASE WHEN n = '' THEN CAST([] AS VARCHAR[]) ELSE list_transform(string_split(n, ','), {_TRIMMED}) END AS named, CASE WHEN starts_with(source, './') THEN 'web/' || substr(source, 3) END AS resolved_path FROM r"
 )
+_TREE = "c AS (SELECT DISTINCT n_regionkey AS r, 'r=region_' || n_regionkey AS a, 'n=' || replace(n_name, ' ', '_') AS b, 'segment=to_' || lower(c_mktsegment) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey), k AS (SELECT * FROM c WHERE b <> 'n=NATION_5' AND s NOT IN ('segment=to_building', 'segment=to_machinery'))"
 _PY_LINES = corpus.rows_sql({0: ["LIMIT = %size%", "Name = Optional[str]", "class Shape%k%(BaseModel):", "    # fields: side: int = %size%, label: str = '%word%'", "    async def area(self, scale: float = 1.0, *rest, unit = 'm', **more) -> float", "def make_%k%(items, /, key = None)", "def use_%k%(x)"]})
 _OTHER_LINES = corpus.rows_sql({
     1: ["export interface Props%k%", "class Inner", "export const Card%k% = (props: Props): Item =>"], 2: ["func Add%k%(a int, b int) int", "type Pair%k% struct"], 3: ["pub fn add%k%(a: i32) -> i32", "struct Pair%k%"],
@@ -199,6 +229,8 @@ _OTHER_LINES = corpus.rows_sql({
 ORACLE_SQL = {
     "ca04_strip_comments": f"SELECT path, {_STRIP.format('text')} AS out FROM {F_SQL}",
     "ca04_strip_document_comments": f"SELECT doc_id, md5({_STRIP.format('text')}) AS digest FROM documents",
+    "ca02_discover": f"WITH {_TREE} SELECT r AS target, b || '/' || s AS dir FROM k WHERE r IN (0, 2, 3)",
+    "sc18_pruned_walk": f"WITH {_TREE} SELECT 'files' AS what, a || '/' || b || '/' || s AS dir FROM k WHERE r <> 1 UNION ALL SELECT 'entered', a || '/' || b || '/' || s FROM k WHERE r <> 1 UNION ALL SELECT DISTINCT 'entered', a || '/' || b FROM c WHERE r <> 1 AND b <> 'n=NATION_5' UNION ALL SELECT DISTINCT 'entered', a FROM c WHERE r <> 1",
     "ca05_decoded": f"SELECT path, path || 'é' AS out FROM {F_SQL}",
     "ca06_python_signatures": f"SELECT path, CAST(NULL AS VARCHAR) AS error, pos, signature FROM {_PY_LINES} UNION ALL SELECT path, 'SyntaxError', NULL, NULL FROM {F_SQL} WHERE {corpus.BROKEN}",
     "ca07_regex_signatures": f"SELECT path, CASE p_partkey % 8 WHEN 1 THEN 'typescript' WHEN 2 THEN 'go' WHEN 3 THEN 'rust' WHEN 4 THEN 'java' ELSE 'ruby' END AS lang, pos, signature FROM {_OTHER_LINES}",

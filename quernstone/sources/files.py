@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import tempfile
 import uuid
@@ -59,6 +60,57 @@ def tree(spark: SparkSession, root: str, glob: str = "*", exact: tuple[str, ...]
     return rows.where(ok & paths.allowed_extension(F.col("path"), include, exclude) & paths.allowed_folders(F.col("path"), folders))
 
 
+_ENTRIES = "folder string, name string, is_dir boolean, modified double, n_bytes long"
+
+
+def _entries(spark: SparkSession, folders: DataFrame) -> DataFrame:
+    """What lies in each folder (full paths), listed by the tasks that have the folders; links to folders aren't followed.
+
+    Folders of other stores than shared mounts are listed by the driver through Hadoop, one at a time.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for folder in batch["folder"]:
+                with os.scandir(re.sub(r"^file:/*", "/", folder)) as found:
+                    rows += [(folder, e.name, e.is_dir(follow_symlinks=False), e.stat(follow_symlinks=False).st_mtime, e.stat(follow_symlinks=False).st_size) for e in found]
+            yield pd.DataFrame(rows, columns=["folder", "name", "is_dir", "modified", "n_bytes"])
+
+    remote = folders.where(F.col("folder").rlike(r"^(?!file:)\w+:"))
+    if not remote.limit(1).count():
+        return folders.mapInPandas(run, _ENTRIES)
+    rows = []
+    for r in remote.toLocalIterator():
+        fs, where = _at(spark, r.folder)
+        rows += [(r.folder, e.getPath().getName(), e.isDirectory(), e.getModificationTime() / 1000, e.getLen()) for e in fs.listStatus(where)]
+    return spark.createDataFrame(rows, _ENTRIES)
+
+
+def walk(spark: SparkSession, root: str, exact: tuple[str, ...] = (), words: tuple[str, ...] = (), include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), folders: tuple[str, ...] = (), tasks: int = 64) -> DataFrame:
+    """path (below root), is_dir, modified, n_bytes of the folders entered and of the files that the name rules let through.
+
+    Level by level, tasks list the folders of the last one; a folder that the rules leave out is never entered, so nothing
+    below it is listed.  The rules are those of `tree`.  A root that is missing gives no rows.  Each level is a table in the
+    shared folder, so a lost executor's folders alone are listed again.
+    """
+    none = spark.createDataFrame([], "path string, is_dir boolean, modified timestamp, n_bytes long")
+    if not exists(spark, root):
+        return none
+    at, base, level = scratch_dir(spark, "walk"), root.rstrip("/"), 0
+    frontier = spark.createDataFrame([(base,)], "folder string")
+    found = none
+    allowed = F.lower("name").isin(*(x.lower() for x in folders)) if folders else F.lit(True)
+    while frontier.limit(1).count():
+        listed = _entries(spark, frontier.repartition(tasks)).where(~paths.excluded_name(F.col("name"), exact, words))
+        listed = listed.where(F.when(F.col("is_dir"), allowed).otherwise(paths.allowed_extension(F.col("name"), include, exclude)))
+        listed.withColumn("full", F.concat_ws("/", "folder", "name")).write.parquet(f"{at}/{level}")
+        rows = spark.read.schema(f"{_ENTRIES}, full string").parquet(f"{at}/{level}")
+        found = found.unionByName(rows.select(F.substr("full", F.lit(len(base) + 2)).alias("path"), "is_dir", F.timestamp_seconds("modified").alias("modified"), "n_bytes"))
+        frontier, level = rows.where("is_dir").select(F.col("full").alias("folder")), level + 1
+    return found
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """path, text: a row a file; no row for what is missing."""
     if not exists(spark, path):

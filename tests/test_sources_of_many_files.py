@@ -64,3 +64,21 @@ def test_no_lines(spark, tmp_path):
     at = str(tmp_path / "none")
     ordered.write_lines(spark.createDataFrame([], "x string"), "x", ["x"], at)
     assert ordered.read_lines(spark, at).count() == 0
+
+
+def test_a_walk_never_enters_excluded_folders(spark, tmp_path, monkeypatch):
+    """Folders that the rules leave out are gone before their turn to be listed, which would fail for them."""
+    root = tmp_path / "root"
+    for path in ("a/x.py", "a/b/y.PY", "a/b/z.txt", "skip/deep/er/q.py", "a/old-skip/r.py", "top.py", "empty/.keep", "é ü/n.py"):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text("x")
+    os.symlink(root / "a", root / "link")
+    rules = {"exact": ("SKIP",), "words": ("skip",), "include": (".py",)}
+    listed = []
+    inner = files._entries
+    monkeypatch.setattr(files, "_entries", lambda s, df: listed.extend(r.folder for r in df.collect()) or inner(s, df))
+    got = files.walk(spark, str(root), **rules)
+    assert {(r.path, r.is_dir) for r in got.collect()} == {("a", True), ("a/b", True), ("empty", True), ("é ü", True), ("a/x.py", False), ("a/b/y.PY", False), ("top.py", False), ("é ü/n.py", False)}
+    assert sorted(os.path.relpath(f, root) for f in listed) == [".", "a", "a/b", "empty", "é ü"]
+    assert {r.path for r in files.walk(spark, f"file://{root}", folders=("a",), **rules).where("not is_dir").collect()} == {"a/x.py", "top.py"}
+    assert files.walk(spark, str(tmp_path / "none")).count() == 0
