@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import lexer, paths
 from ..operators import callers, code, mentions, reports
 from ..sources import files, ordered
 from ..streaming import versions as stream
@@ -26,6 +26,15 @@ def ca04_strip_document_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(code.strip_comments(F.col("text"))).alias("digest"))
 
 
+def ca04_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as source files of four languages: every line as a string with comment marks in it, then as a comment."""
+    lang = F.element_at(F.array(F.lit("rust"), F.lit("python"), F.lit("typescript"), F.lit("lua")), (F.col("doc_id") % 4 + 1).cast("int"))
+    shape = F.when(lang == "rust", 'x = r#"/* %s " // "#; /* a /* %s */ " */ y = \'"\'; // %s').when(lang == "python", "x = '''# %s\n//''' # %s \"\ny = \"#\\\"#\" + '%s'")
+    shape = shape.when(lang == "typescript", "x = `// %s\n/*` /* %s\n' */ + '//' + \"%s /*\" // z").otherwise("x = [=[--[[ %s]] ]=] --[[ %s\n ]] y = '--' .. \"%s\" -- z")
+    lines = F.transform(F.split("text", "\n", -1), lambda line: F.replace(shape, F.lit("%s"), F.regexp_replace(line, r"[^\p{L}\p{N} ]", "")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(lexer.without_comments(F.array_join(lines, "\n"), lang)).alias("digest"))
+
+
 def ca03_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files' tree written as text by ranges of its order, and its lines read back with their numbers."""
     at = files.scratch_dir(spark, "tree-text")
@@ -206,7 +215,7 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.windowed_counts(table(spark, sf_dir, "events").select("ts", "event_type"), "6 hours")
 
 
-QUERIES = {f.__name__: f for f in (ca02_discover, sc18_pruned_walk, ca03_tree_text, ca04_strip_comments, ca04_strip_document_comments, ca05_decoded, ca06_python_signatures, ca07_regex_signatures, ca08_call_graph, ca09_definitions, ca10_context, ca13_react_exports, ca14_react_imports, ca15_react_pipeline, ca17_python_imports, ca19_mention_context, ca08_callers_over_files, jn11_transitive_callers, sc01_text_files, sc02_resolved_paths, sc03_append_list_delete, sc07_document_files, sc10_slides, sc17_reports, sc18_file_tree, sc20_generated_names, stream_windowed_counts)}
+QUERIES = {f.__name__: f for f in (ca02_discover, sc18_pruned_walk, ca03_tree_text, ca04_strip_comments, ca04_strip_document_comments, ca04_by_language, ca05_decoded, ca06_python_signatures, ca07_regex_signatures, ca08_call_graph, ca09_definitions, ca10_context, ca13_react_exports, ca14_react_imports, ca15_react_pipeline, ca17_python_imports, ca19_mention_context, ca08_callers_over_files, jn11_transitive_callers, sc01_text_files, sc02_resolved_paths, sc03_append_list_delete, sc07_document_files, sc10_slides, sc17_reports, sc18_file_tree, sc20_generated_names, stream_windowed_counts)}
 _BARE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '''''''[\s\S]*?''''''', '', 'g'), '\"\"\"[\s\S]*?\"\"\"', '', 'g'), '#[^\n]*', '', 'g'), '/\*[\s\S]*?\*/', '', 'g'), '//[^\n]*', '', 'g'), '--\[\[[\s\S]*?\]\]', '', 'g'), '--[^\n]*', '', 'g'), '<!--[\s\S]*?-->', '', 'g')"
 _STRIP = "regexp_replace(" + _BARE.replace('\\"', '"') + r", '\n[ \t]*\n[ \t]*\n+', chr(10) || chr(10), 'g')"
 _NO_COMMENTS = r"regexp_replace(regexp_replace(text, '//.*', '', 'g'), '(?s)/\*.*?\*/', '', 'g')"
@@ -231,6 +240,9 @@ ORACLE_SQL = {
     "ca04_strip_document_comments": f"SELECT doc_id, md5({_STRIP.format('text')}) AS digest FROM documents",
     "ca02_discover": f"WITH {_TREE} SELECT r AS target, b || '/' || s AS dir FROM k WHERE r IN (0, 2, 3)",
     "sc18_pruned_walk": f"WITH {_TREE} SELECT 'files' AS what, a || '/' || b || '/' || s AS dir FROM k WHERE r <> 1 UNION ALL SELECT 'entered', a || '/' || b || '/' || s FROM k WHERE r <> 1 UNION ALL SELECT DISTINCT 'entered', a || '/' || b FROM c WHERE r <> 1 AND b <> 'n=NATION_5' UNION ALL SELECT DISTINCT 'entered', a FROM c WHERE r <> 1",
+    "ca04_by_language": r"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[^\p{L}\p{N} ]', '', 'g')) AS lines FROM documents),
+ o AS (SELECT doc_id, list_transform(lines, lambda x: CASE doc_id % 4 WHEN 0 THEN 'x = r#"/* ' || x || ' " // "#;  y = ' || chr(39) || '"' || chr(39) || '; ' WHEN 1 THEN 'x = ' || repeat(chr(39), 3) || '# ' || x || chr(10) || '//' || repeat(chr(39), 3) || ' ' || chr(10) || 'y = "#\"#" + ' || chr(39) || x || chr(39)
+  WHEN 2 THEN 'x = `// ' || x || chr(10) || '/*`  + ' || chr(39) || '//' || chr(39) || ' + "' || x || ' /*" ' ELSE 'x = [=[--[[ ' || x || ']] ]=]  y = ' || chr(39) || '--' || chr(39) || ' .. "' || x || '" ' END) AS lines FROM l) SELECT doc_id, md5(array_to_string(lines, chr(10))) AS digest FROM o""",
     "ca05_decoded": f"SELECT path, path || 'é' AS out FROM {F_SQL}",
     "ca06_python_signatures": f"SELECT path, CAST(NULL AS VARCHAR) AS error, pos, signature FROM {_PY_LINES} UNION ALL SELECT path, 'SyntaxError', NULL, NULL FROM {F_SQL} WHERE {corpus.BROKEN}",
     "ca07_regex_signatures": f"SELECT path, CASE p_partkey % 8 WHEN 1 THEN 'typescript' WHEN 2 THEN 'go' WHEN 3 THEN 'rust' WHEN 4 THEN 'java' ELSE 'ruby' END AS lang, pos, signature FROM {_OTHER_LINES}",
