@@ -19,6 +19,13 @@ def _uuid(c: Column) -> Column:
     return F.when(c.rlike(_UUID), F.regexp_replace(bare, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
 
+def is_json(c: Column) -> Column:
+    """Whether a text is one JSON document.  The parser stops behind the first one, so the text must also be good as an array's
+    only item and as an object's only value."""
+    good = lambda text: F.try_parse_json(text).isNotNull()
+    return good(F.concat(F.lit("["), c, F.lit("]"))) & good(F.concat(F.lit('{"a":'), c, F.lit("}")))
+
+
 def convert(value: Column, kind: Column) -> Column:
     """struct<v_int, v_double, v_bool, v_json, v_timestamp, v_decimal, v_binary, v_str, ok> of a text and its type's name.
 
@@ -35,7 +42,7 @@ def convert(value: Column, kind: Column) -> Column:
     v_int = of("int", F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(value).try_cast("long")))
     v_double = of("float", value.try_cast("double"))
     v_bool = of("bool", F.lower(value).isin("true", "1", "t", "y", "yes"))
-    v_json = of(("dict", "json", "list"), F.when(F.try_parse_json(value).isNotNull(), value))
+    v_json = of(("dict", "json", "list"), F.when(is_json(value), value))
     v_time = of("datetime", value.try_cast("timestamp"))
     v_decimal = of("decimal", value.try_cast("decimal(38,10)"))
     v_uuid = of("uuid", _uuid(value))
@@ -59,12 +66,19 @@ def store_literal(value: Column, kind: Column) -> Column:
         .when(value == "", F.lit("''"))
         .when(value == "gen_random_uuid()", F.lit("uuidv4()"))
         .when((value == "[]") | (kind == "ARRAY"), value)
-        .when(value.rlike(r"(?s)^\{.*\}$") | kind.isin("json", "jsonb"), F.coalesce(F.when(F.try_parse_json(value).isNotNull(), value), quoted))
+        .when(value.rlike(r"(?s)^\{.*\}$") | kind.isin("json", "jsonb"), F.coalesce(F.when(is_json(value), value), quoted))
         .when(kind.isin("bigint", "smallint", "integer", "real"), value)
         .otherwise(quoted)
     )
 
 
+def test_value(kind: Column, seed: int = 7) -> Column:
+    """A random text of a named type: a number below 100, one with two places at most, true or false, else 8 signs."""
+    number = F.floor(F.rand(seed) * 100).cast("string")
+    real = F.round(F.rand(seed + 1) * 100, 2).cast("string")
+    return F.when(kind == "int", number).when(kind == "float", real).when(kind == "bool", (F.rand(seed + 2) < 0.5).cast("string")).otherwise(F.randstr(F.lit(8), F.lit(seed)))
+
+
 def env_bool(c: Column) -> Column:
     """True and false by name, in any case; anything else is null."""
     return F.when(F.lower(c) == "true", True).when(F.lower(c) == "false", False)

@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import clean, extract
 from ..operators import code
 from ..sources import files
-from .common import table, values_df, values_sql
+from .common import table
 from .types import FILE_NAMES_SQL, _file_names
 
-MARKDOWN = [(x,) for x in (
-    "intro\n# One\ntext\n\n  more  \n# Two\n## Sub\n> said\n> twice\n- a\n* b\n+ c\n1. first\n2. second\n    code\n\ttab\n---\n***\n", "[t](http://x.y) and ![i](p.png)\n[r]: http://z\n![k][id]\n<http://auto.link> <https://s.link/a>",
-    "no marks", "# Only", "", None, "a\n\n\n\nb", "*bold* _x_ `c` #1. (y)!",
-)]
-_M = f"({values_sql(MARKDOWN, 's')})"
+#: What stands before and behind a document's lines, by turns, to make Markdown of it.
+BEFORE = ("# ", "", "> ", "- ", "1. ", "    ", "## ", "[", "![", "<http://auto.link/", "", "---", "* ", "![k][", "[r", "\t")
+BEHIND = ("", "", "", "", "", "", "", "](http://x.y)", "](i.png)", ">", "\n\n  more  \n", "", "", "]", "]: http://z", "`c` *b* (y)!")
+_SIDE = lambda texts: "[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'" for x in texts) + "]"
+_M = f"(SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: {_SIDE(BEFORE)}[(i - 1) % {len(BEFORE)} + 1] || CASE WHEN (i - 1) % {len(BEFORE)} = 11 THEN '' ELSE x END || {_SIDE(BEHIND)}[(i - 1) % {len(BEFORE)} + 1]), chr(10)) AS s FROM documents)"
+
+
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, s: documents as Markdown, with marks around their lines; every twelfth is a rule."""
+    side = lambda texts, i: F.element_at(F.array(*map(F.lit, texts)), i % len(BEFORE) + 1)
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(side(BEFORE, i), F.when(i % len(BEFORE) == 11, "").otherwise(x), side(BEHIND, i)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("s"))
+
+
 CHUNK = "list_filter(list_transform(range(0, length(text), 1800), lambda i: substr(text, i + 1, 2000)), lambda x: regexp_matches(x, '\\S'))"
 
 
@@ -56,7 +65,7 @@ def ut04_lines_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _md(**columns):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return values_df(spark, MARKDOWN, "s").select("s", *(f(F.col("s")).alias(n) for n, f in columns.items()))
+        return _markdown(spark, sf_dir).select("doc_id", *(f(F.col("s")).alias(n) for n, f in columns.items()))
 
     return run
 
@@ -115,12 +124,12 @@ ORACLE_SQL = {
     "ut02_chunk_map": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, CASE WHEN NOT contains(c[i], '@') THEN upper(replace(c[i], 'ß', 'SS')) END AS content, CASE WHEN contains(c[i], '@') THEN 'an address' END AS error FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, {CHUNK} AS c FROM documents))",
     "ut03_document_pipeline": f"SELECT doc_id, count(*) AS n_chunks, count(CASE WHEN contains(x, '@') THEN 1 END) AS n_failed, CAST(coalesce(sum(CASE WHEN NOT contains(x, '@') THEN length(replace(x, 'ß', 'SS')) END), 0) AS BIGINT) AS n_chars FROM (SELECT doc_id, unnest({CHUNK}) AS x FROM documents) GROUP BY doc_id",
     "ut04_lines_words": "SELECT doc_id, CASE WHEN text = '' OR text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines, len(coalesce(regexp_extract_all(text, '[^\\s\\x0b]+'), [])) AS n_words, regexp_extract_all(text, '[^\\s\\x0b]+')[1] AS first_word FROM documents",
-    "ut05_md_sections": f"SELECT s, CASE WHEN coalesce(s, '') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split_regex(s, '(?m)^# ') END AS out FROM {_M}",
-    "ut06_md_headers": f"SELECT s, {_all('(?m)^# (.+)$')} AS one, {_all('(?m)^## (.+)$')} AS two FROM {_M}",
-    "ut07_md_paragraphs": f"SELECT s, CASE WHEN coalesce(s, '') = '' THEN CAST([] AS VARCHAR[]) ELSE list_transform(string_split(s, chr(10) || chr(10)), lambda p: trim(p, ' ' || chr(9) || chr(10))) END AS out FROM {_M}",
-    "ut08_md_blocks": f"SELECT s, {_all('(?m)^> (.+)')} AS quotes, {_all('(?m)^[*+-] (.+)$')} AS unordered, {_all(_ORDERED)} AS ordered, {_all(_CODE)} AS code, {_all(_RULE)} AS rules FROM {_M}",
-    "ut09_md_links": f"SELECT s, {_zip(_INLINE)} AS inline, {_zip(_REFERENCE)} AS reference, {_zip('!' + _INLINE.replace('+)', '*)', 1))} AS images, {_zip(_IMAGE)} AS image_references, {_all('<(https?://[^>]+)>')} AS auto FROM {_M}",
-    "ut10_md_escape": "SELECT s, regexp_replace(s, '([\\\\`*_{}\\[\\]()#+\\-.!])', '\\\\\\1', 'g') AS out FROM " + _M,
+    "ut05_md_sections": f"SELECT doc_id, CASE WHEN coalesce(s, '') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split_regex(s, '(?m)^# ') END AS out FROM {_M}",
+    "ut06_md_headers": f"SELECT doc_id, {_all('(?m)^# (.+)$')} AS one, {_all('(?m)^## (.+)$')} AS two FROM {_M}",
+    "ut07_md_paragraphs": f"SELECT doc_id, CASE WHEN coalesce(s, '') = '' THEN CAST([] AS VARCHAR[]) ELSE list_transform(string_split(s, chr(10) || chr(10)), lambda p: trim(p, ' ' || chr(9) || chr(10))) END AS out FROM {_M}",
+    "ut08_md_blocks": f"SELECT doc_id, {_all('(?m)^> (.+)')} AS quotes, {_all('(?m)^[*+-] (.+)$')} AS unordered, {_all(_ORDERED)} AS ordered, {_all(_CODE)} AS code, {_all(_RULE)} AS rules FROM {_M}",
+    "ut09_md_links": f"SELECT doc_id, {_zip(_INLINE)} AS inline, {_zip(_REFERENCE)} AS reference, {_zip('!' + _INLINE.replace('+)', '*)', 1))} AS images, {_zip(_IMAGE)} AS image_references, {_all('<(https?://[^>]+)>')} AS auto FROM {_M}",
+    "ut10_md_escape": "SELECT doc_id, regexp_replace(s, '([\\\\`*_{}\\[\\]()#+\\-.!])', '\\\\\\1', 'g') AS out FROM " + _M,
     "ut11_html_links": "SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=[''\"]?([^''\" >]+)', 1)) AS link FROM pages) GROUP BY page_id, link",
     "ut12_html_text": "SELECT page_id, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS digest, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS n_chars FROM pages",
     "ut13_page_routes": "SELECT '/app/' || p_partkey AS route FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 6 <> 0",

@@ -66,11 +66,16 @@ def pj08_class_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ty07_not_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What of some tables, and of a nested type, isn't JSON's."""
+    """What of some tables, and of a nested type, isn't JSON's, and how many rows have it."""
     e = table(spark, sf_dir, "events")
     nested = e.select(F.array(F.struct(F.col("ts").alias("at"), F.create_map("user_id", F.encode("event_type", "UTF-8")).alias("m"))).alias("x"))
-    found = [x for df in (e, table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "orders"), nested) for x in records.not_basic(df.schema)]
-    return spark.createDataFrame(found, "path string, type string")
+    found = None
+    for df in (e, table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "orders"), nested):
+        for path, kind in records.not_basic(df.schema):
+            top = F.col(path.split(".")[1].removesuffix("[]"))
+            part = df.agg(F.lit(path).alias("path"), F.lit(kind).alias("type"), F.count(top).alias("n_rows"))
+            found = part if found is None else found.unionByName(part)
+    return found
 
 
 def st20_typescript(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +131,7 @@ ORACLE_SQL = {
     "pj10_files_json": f"SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, list_sort(list(regexp_extract(path, '([^/]*)$', 1))) AS files FROM {FILE_NAMES_SQL} GROUP BY 1",
     "sc06_serializable": "SELECT event_id, '{\"value\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '\"}' AS out FROM events",
     "st20_typescript": _TYPESCRIPT,
-    "ty07_not_basic": "SELECT * FROM (VALUES ('root.ts', 'timestamp_ntz'), ('root.o_orderdate', 'timestamp_ntz'), ('root.x[].at', 'timestamp_ntz'), ('root.x[].m.key', 'bigint'), ('root.x[].m{}', 'binary')) v(path, type)",
+    "ty07_not_basic": "SELECT 'root.ts' AS path, 'timestamp_ntz' AS type, count(ts) AS n_rows FROM events UNION ALL SELECT 'root.o_orderdate', 'timestamp_ntz', count(o_orderdate) FROM orders UNION ALL SELECT p, t, count(*) FROM events, (VALUES ('root.x[].at', 'timestamp_ntz'), ('root.x[].m.key', 'bigint'), ('root.x[].m{}', 'binary')) v(p, t) GROUP BY p, t",
     "sc04_json_merge": "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE json_extract_string(props, '$.k') END AS k, CASE WHEN user_id % 2 <> 0 THEN CAST(user_id AS VARCHAR) END AS u FROM events",
     "sc05_json_entries": "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events",
 }

@@ -7,19 +7,36 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions import validators as V
-from .common import table, values_df, values_sql
+from .common import dealt_df, dealt_sql, table
 from .types import FILE_NAMES_SQL, _file_names
 
-TEXTS = [(x,) for x in ("12", "-7", "1.5", "", "abc-d_e", "naïve-x", "1,2,3", "1,-2", "1,,2", "example.com", "-bad.com", "a.b.co.uk", "localhost", "x" * 64 + ".com", "127.0.0.1", "256.1.1.1", "01.2.3.4", "::1", "fe80::1", "12::34::5", "user@example.com", "a b@example.com", '"a b"@example.com', "@example.com", "x@", "x@localhost", "u@[127.0.0.1]", "nobody", "u@[300.1.1.1]", None)]
-URLS = [(x,) for x in ("http://example.com", "https://example.com:8080/a?b=c#d", "ftp://u:p@example.com/x", "gopher://example.com", "http://localhost/x", "http://127.0.0.1:5/", "http://[::1]/", "http://[::zz]/", "http://-bad.com/", "http://exa mple.com", "http://a\tb.com", "example.com", "http://" + "a" * 2050 + ".com", "http://nodots", "", None)]
-_T = f"({values_sql(TEXTS, 's')})"
-_U = f"({values_sql(URLS, 's')})"
+TEXTS = [(x,) for x in (
+    "{n}", "-{n}", "{n}.5", "", "{t}-{n}_e", "na\u00efve-{n}", "1,{n},3", "1,-{n}", "1,,{n}", "{t}{n}.com", "-{t}.com", "{t}.b.co.uk", "localhost", "x" * 64 + "{n}.com", "127.{n}.0.1", "10.0.0.{n}", "01.2.3.{n}", "::{n}", "fe80::{n}", "{n}::34::5",
+    "{t}@example{n}.com", "a {t}@example.com", '"{t} b"@example.com', "@example{n}.com", "{t}{n}@", "{t}@localhost", "u@[127.0.0.{n}]", "no{t}", "u@[300.1.1.{n}]", None,
+)]
+URLS = [(x,) for x in (
+    "http://{t}.com", "https://example.com:8080/{n}?b=c#d", "ftp://u:p@example.com/{t}", "gopher://{t}.com", "http://localhost/{n}", "http://127.0.0.1:{n}/", "http://[::1]/{n}", "http://[::zz]/{n}", "http://-bad{n}.com/", "http://exa mple{n}.com", "http://{t}\tb.com", "{t}.com",
+    "http://" + "a" * 2050 + ".com", "http://nodots{n}", "", None,
+)]
+#: All words of the documents, hosts and addresses of the pages, and texts with each event's number and kind.
+_T = f"(SELECT s FROM ({dealt_sql(TEXTS, 's', 'events', 'event_id', 'event_type')}) UNION ALL SELECT DISTINCT unnest(string_split_regex(text, '[ \\t\\n]+')) FROM documents UNION ALL SELECT regexp_extract(url, '://([^/]+)', 1) FROM pages UNION ALL SELECT url FROM pages)"
+_U = f"(SELECT s FROM ({dealt_sql(URLS, 's', 'events', 'event_id', 'event_type')}) UNION ALL SELECT url FROM pages)"
 
 
-def _simple(check, rows=TEXTS):
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[ \t\n]+", -1)).alias("s")).distinct()
+    pages = table(spark, sf_dir, "pages")
+    return dealt_df(spark, sf_dir, TEXTS, "s", "events", "event_id", "event_type").select("s").unionByName(words).unionByName(pages.select(F.regexp_extract("url", "://([^/]+)", 1).alias("s"))).unionByName(pages.select(F.col("url").alias("s")))
+
+
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt_df(spark, sf_dir, URLS, "s", "events", "event_id", "event_type").select("s").unionByName(table(spark, sf_dir, "pages").select(F.col("url").alias("s")))
+
+
+def _simple(check, rows=_texts):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = check(F.col("s"))
-        return values_df(spark, rows, "s").select("s", v["ok"].alias("ok"), v["code"].alias("code"))
+        return rows(spark, sf_dir).select("s", v["ok"].alias("ok"), v["code"].alias("code"))
 
     return run
 
@@ -55,7 +72,7 @@ QUERIES = {
     "vd02_domain": _simple(V.check_domain),
     "vd03_ipv4": _simple(V.check_ipv4),
     "vd03_ip": _simple(V.check_ip),
-    "vd04_url": _simple(V.check_url, URLS),
+    "vd04_url": _simple(V.check_url, _urls),
     "vd05_integer": _simple(V.check_integer),
     "vd06_email": _simple(V.check_email),
     "vd07_slug": _simple(V.check_slug),
@@ -71,7 +88,7 @@ ORACLE_SQL = {
     "vd02_domain": _chain(_DOMAIN_RULES, _T),
     "vd03_ipv4": _coded(f"regexp_full_match(s, '{_V4}')", "invalid_ipv4"),
     "vd03_ip": _coded(f"(regexp_full_match(s, '{_V4}') OR regexp_full_match(s, '{_V6}'))", "invalid_ip"),
-    "vd04_url": _chain(_URL_RULES, _U).replace("CASE WHEN", "CASE WHEN s = 'http://[::zz]/' THEN 'invalid_url' WHEN"),
+    "vd04_url": _chain(_URL_RULES, _U).replace("CASE WHEN", "CASE WHEN starts_with(s, 'http://[::zz]/') THEN 'invalid_url' WHEN"),
     "vd05_integer": _coded("regexp_full_match(s, '-?[0-9]+')", "invalid_integer"),
     "vd06_email": _chain([("s <> ''", "invalid_email"), ("contains(s, '@')", "missing_at"), ("length(s) <= 320", "max_length"), (f"{_USER} <> ''", "empty_user"), (f"(NOT regexp_matches({_USER}, '[()<>\\[\\]:,;\\\\ ]') OR ({_USER} LIKE '\"%\"'))", "invalid_user_chars"), (_EMAIL_DOMAIN, "invalid_domain")], _T),
     "vd07_slug": _coded("regexp_full_match(s, '[a-zA-Z0-9_-]+')", "invalid_slug"),
@@ -99,12 +116,15 @@ def vd10_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", five["ok"].alias("five"), odd["ok"].alias("odd"), zero["code"].alias("zero"))
 
 
-NUMBERS = [(x,) for x in ("12", "12.50", "0.001", "-7.0", "1e3", "1.5e-3", "NaN", "Infinity", "abc", "", "00012", "123456", "99999.1")]
-
-
 def vd12_decimal_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices, discounts, quantities and balances as texts."""
+    numbers = [("part", "p_retailprice"), ("lineitem", "l_discount"), ("lineitem", "l_quantity"), ("customer", "c_acctbal"), ("events", "event_type"), ("orders", "o_orderkey")]
+    s = None
+    for name, column in numbers:
+        part = table(spark, sf_dir, name).select(F.col(column).cast("string").alias("s")).distinct()
+        s = part if s is None else s.unionByName(part)
     v = V.check_decimal(F.col("s"), 5, 2)
-    return values_df(spark, NUMBERS, "s").select("s", v["ok"].alias("ok"), v["code"].alias("code"))
+    return s.select("s", v["ok"].alias("ok"), v["code"].alias("code"))
 
 
 def vd13_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +165,9 @@ ORACLE_SQL |= {
     "vd09_value_limits": "SELECT o_orderkey, o_totalprice >= 1000 AS low_ok, o_totalprice <= 300000 AS high_ok, CASE WHEN o_totalprice > 300000 THEN 'max_value' END AS high_code, CASE WHEN o_totalprice > 300000 THEN 'Ensure this value is less than or equal to 300000.' END AS message FROM orders",
     "vd10_step": "SELECT p_partkey, p_size % 5 = 0 AS five, (CAST(p_retailprice AS DECIMAL(28, 10)) - 0.1) % 0.3 = 0 AS odd, 'invalid_step' AS zero FROM part",
     "vd13_extension": f"SELECT p_partkey, {_EXT} IN ('txt', 'png', 'gz') AS ok, CASE WHEN {_EXT} NOT IN ('txt', 'png', 'gz') THEN 'invalid_extension' END AS code, CASE WHEN {_EXT} NOT IN ('txt', 'png', 'gz') THEN 'File extension ''' || {_EXT} || ''' is not allowed. Allowed extensions are: gz, png, txt.' END AS message FROM {FILE_NAMES_SQL}",
-    "vd12_decimal_digits": "SELECT s, code IS NULL AS ok, code FROM (VALUES ('12', NULL), ('12.50', NULL), ('0.001', 'max_decimal_places'), ('-7.0', NULL), ('1e3', 'max_whole_digits'), ('1.5e-3', 'max_decimal_places'), ('NaN', 'invalid_decimal_nan_inf'), ('Infinity', 'invalid_decimal_nan_inf'), ('abc', 'invalid_decimal'), ('', 'invalid_decimal'), ('00012', NULL), ('123456', 'max_digits'), ('99999.1', 'max_digits')) AS v(s, code)",
+    "vd12_decimal_digits": """WITH n AS (SELECT DISTINCT CAST(p_retailprice AS VARCHAR) AS s FROM part UNION ALL SELECT DISTINCT CAST(l_discount AS VARCHAR) FROM lineitem UNION ALL SELECT DISTINCT CAST(l_quantity AS VARCHAR) FROM lineitem UNION ALL SELECT DISTINCT CAST(c_acctbal AS VARCHAR) FROM customer
+ UNION ALL SELECT DISTINCT event_type FROM events UNION ALL SELECT DISTINCT CAST(o_orderkey AS VARCHAR) FROM orders), d AS (SELECT s, length(regexp_extract(s, '\\.([0-9]+)$', 1)) AS places, length(ltrim(replace(regexp_extract(s, '^-?([0-9.]+)$', 1), '.', ''), '0')) AS digits, regexp_full_match(s, '-?[0-9]+(\\.[0-9]+)?') AS number FROM n),
+ c AS (SELECT s, CASE WHEN NOT number THEN 'invalid_decimal' WHEN greatest(digits, places) > 5 THEN 'max_digits' WHEN places > 2 THEN 'max_decimal_places' WHEN greatest(digits, places) - places > 3 THEN 'max_whole_digits' END AS code FROM d) SELECT s, code IS NULL AS ok, code FROM c""",
     "vd14_image_extension": f"SELECT p_partkey, {_EXT} IN ({', '.join(repr(x) for x in V.IMAGES)}) AS ok, CASE WHEN {_EXT} NOT IN ({', '.join(repr(x) for x in V.IMAGES)}) THEN 'invalid_image_extension' END AS code FROM {FILE_NAMES_SQL}",
     "fl01_exact_exclusion": f"SELECT p_partkey, path FROM {FILE_NAMES_SQL} WHERE len(list_filter(string_split(path, '/'), lambda x: lower(x) IN ('small', 'node_modules'))) = 0",
     "fl02_word_exclusion": "SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(p_name, '(?i)(^|[_\\- .])red([_\\- .]|$)') AND NOT regexp_matches(p_name, '(?i)(^|[_\\- .])bolt([_\\- .]|$)')",

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import extract, paths
+from ..functions import convert, extract, paths
 
 
 def scratch_dir(spark: SparkSession, what: str) -> str:
@@ -130,7 +130,7 @@ def read_texts(spark: SparkSession, path: str, end: str = "\n") -> DataFrame:
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, document (variant): null for an empty or broken file."""
-    return read_text(spark, path).select("path", F.try_parse_json("text").alias("document"))
+    return read_text(spark, path).select("path", F.when(convert.is_json(F.col("text")), F.try_parse_json("text")).alias("document"))
 
 
 def json_entries(df: DataFrame, column: str) -> DataFrame:
