@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access, versions
 from ..sources import files, snapshots
+from ..streaming import versions as stream
 from .common import table
 
 AS_OF = "1998-06-01 00:00:00"
@@ -200,12 +201,44 @@ def dm06_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.restore(v, "file_id", wanted).where("change_summary is not null")
 
 
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select(F.concat(F.lit("t"), u.cast("string")).alias("share_token"), (u % 7 != 0).alias("is_active"), F.when(u % 3 == 0, F.lit("2024-01-10 00:00:00").cast("timestamp")).alias("expires_at"), F.when(u % 2 == 0, 5).alias("max_uses"))
+
+
 def dm07_share_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     uses = e.select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("share_token"), F.col("event_id").alias("use_id"), F.col("ts").cast("timestamp").alias("used_at"))
-    u = F.col("user_id")
-    links = e.select("user_id").distinct().select(F.concat(F.lit("t"), u.cast("string")).alias("share_token"), (u % 7 != 0).alias("is_active"), F.when(u % 3 == 0, F.lit("2024-01-10 00:00:00").cast("timestamp")).alias("expires_at"), F.when(u % 2 == 0, 5).alias("max_uses"))
-    return access.used_links(links, uses).select("share_token", "use_id", "ok", "use_number")
+    return access.used_links(_links(spark, sf_dir), uses).select("share_token", "use_id", "ok", "use_number")
+
+
+def _events_as_stream(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """All events as a stream, and one of a far time that lets the others' numbers be known."""
+    events = table(spark, sf_dir, "events").selectExpr(*columns)
+    live = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]").selectExpr(*columns)
+    at = files.scratch_dir(spark, "stream-end")
+    events.limit(0).unionByName(spark.sql("SELECT -1L AS user_id, -1L AS event_id, timestamp_ntz'2100-01-01 00:00:00' AS ts, 'end' AS event_type, 0D AS value, '' AS props").selectExpr(*columns)).coalesce(1).write.parquet(at)
+    return live.unionByName(spark.readStream.schema(events.schema).parquet(at))
+
+
+def _streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The rows that a stream writes until it has taken all there is."""
+    at = files.scratch_dir(spark, "streamed")
+    df.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/rows")
+
+
+def dm03_version_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as writes to files by their kind, numbered by a stream."""
+    live = _events_as_stream(spark, sf_dir, "CAST(user_id AS string) AS owner_id", "event_type AS path", "event_id", "CAST(ts AS timestamp) AS ts")
+    return _streamed(spark, stream.versions(live)).where("path <> 'end'").select("owner_id", "path", "event_id", "version_number")
+
+
+def dm07_share_link_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The uses of dm07_share_links as a stream."""
+    live = _events_as_stream(spark, sf_dir, "concat('t', user_id) AS share_token", "event_id AS use_id", "CAST(ts AS timestamp) AS used_at")
+    return _streamed(spark, stream.used_links(_links(spark, sf_dir), live)).where("use_id >= 0").select("share_token", "use_id", "ok", "use_number")
 
 
 def dm10_context_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +272,7 @@ def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     ag01_effective_permission, ag02_tiered_permission, ag03_file_tree, jn01_group_grants, jn02_folder_grants, jn03_secure_view, fl08_writable_view, jn04_shared_with_groups, jn05_groups_of_user, fl05_live_files, fl06_lookups, fl07_unexpired,
-    dm08_required_write, dm08_grant_revoke, dm09_group_members, dm01_upsert, dm01_bucketed_snapshots, dm02_soft_delete, dm03_track_writes, dm04_managed_writes, dm05_read_version, dm06_restore, dm07_share_links, dm10_context_user, so01_files_by_path, so02_versions_descending, so03_top_rank, so08_first_row, constraints,
+    dm08_required_write, dm08_grant_revoke, dm09_group_members, dm01_upsert, dm01_bucketed_snapshots, dm02_soft_delete, dm03_track_writes, dm04_managed_writes, dm05_read_version, dm06_restore, dm07_share_links, dm03_version_stream, dm07_share_link_stream, dm10_context_user, so01_files_by_path, so02_versions_descending, so03_top_rank, so08_first_row, constraints,
 )}
 _LIVE = "f AS (SELECT * FROM files WHERE deleted_at IS NULL)"
 _EVERY = f"""a AS (SELECT asked.user_id, f.* FROM asked JOIN f USING (id)),
@@ -278,6 +311,7 @@ ORACLE_SQL = {
     "dm05_read_version": f"WITH {VERSIONS_SQL} SELECT v.* FROM versions v JOIN (SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 2 ELSE max(version_number) END AS w FROM versions GROUP BY file_id) x ON v.file_id = x.file_id AND v.version_number = x.w",
     "dm06_restore": f"WITH {VERSIONS_SQL} SELECT v.file_id, l_partkey, file_size, x.m + 1 AS version_number, 'Restored from version 1' AS change_summary FROM versions v JOIN (SELECT file_id, max(version_number) AS m FROM versions GROUP BY file_id) x ON v.file_id = x.file_id WHERE version_number = 1 AND v.file_id % 3 = 0",
     "dm07_share_links": "WITH x AS (SELECT 't' || user_id AS share_token, event_id AS use_id, user_id, ts, user_id % 7 <> 0 AND (user_id % 3 <> 0 OR ts < TIMESTAMP '2024-01-10 00:00:00') AS able FROM events), y AS (SELECT *, sum(CAST(able AS INTEGER)) OVER (PARTITION BY share_token ORDER BY ts, use_id ROWS UNBOUNDED PRECEDING) AS n FROM x) SELECT share_token, use_id, able AND (user_id % 2 <> 0 OR n <= 5) AS ok, CASE WHEN able AND (user_id % 2 <> 0 OR n <= 5) THEN CAST(n AS INTEGER) END AS use_number FROM y",
+    "dm03_version_stream": "SELECT CAST(user_id AS VARCHAR) AS owner_id, event_type AS path, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS version_number FROM events",
     "dm10_context_user": "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN CAST(user_id AS VARCHAR) WHEN user_id % 5 = 0 THEN 'config' WHEN user_id % 2 = 0 THEN 'request' ELSE '' END AS who FROM events",
     "so01_files_by_path": f"{WITH} SELECT id, path FROM files WHERE deleted_at IS NULL AND owner_id = 7 ORDER BY path",
     "so02_versions_descending": f"WITH {VERSIONS_SQL} SELECT * FROM versions WHERE file_id = 1 ORDER BY version_number DESC",
@@ -285,3 +319,4 @@ ORACLE_SQL = {
     "so08_first_row": f"{WITH} SELECT id, path FROM files WHERE owner_id = 7 ORDER BY id LIMIT 1",
     "constraints": f"{WITH} SELECT * FROM (SELECT 'unique(owner_id, visibility)' AS constraint, CAST(coalesce(sum(c), 0) AS BIGINT) AS n FROM (SELECT count(*) AS c FROM files GROUP BY owner_id, visibility HAVING count(*) > 1) UNION ALL SELECT 'check(visibility)', count(*) FROM files WHERE visibility NOT IN ('public', 'private')) WHERE n > 0",
 }
+ORACLE_SQL["dm07_share_link_stream"] = ORACLE_SQL["dm07_share_links"]
