@@ -28,13 +28,15 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 CLOSES_P = BLOCKS - frozenset("caption tbody td tfoot th thead tr body html".split())
 SAME_CLOSES = {"li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "thead": frozenset(["tr", "td", "th", "tbody"]), "tbody": frozenset(["tr", "td", "th", "thead", "tbody"]), "tfoot": frozenset(["tr", "td", "th", "tbody"])}
 SAME_STOPS = frozenset("ul ol dl table select article div section".split())
-GONE = frozenset("head script style title noscript noembed noframes iframe template svg math object embed applet canvas audio video map nav footer aside form button select option textarea input label fieldset dialog menu search".split())
+GONE = frozenset("head script style title noscript noembed noframes iframe template svg object embed applet canvas audio video map nav footer aside form button select option textarea input label fieldset dialog menu search".split())
 GONE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 GONE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget footer masthead header topbar toolbar share sharing social related recommended pagination pager comment comments commentlist disqus respond reply replies skip".split())
 PROTECTED = ("article", "main")
 NEVER = frozenset(["html", "body", *PROTECTED])
 CELLS = frozenset("td th caption".split())
 WITHIN = 0x9E3779B97F4A7C15  # sets hashes inside article and main apart
+#: Of GONE_WORDS, those that other names often have as a part (side-effects): there they say nothing by themselves.
+VAGUE = frozenset(["side", "widget"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 USED = frozenset("class id role hidden aria-hidden".split())
 
@@ -78,7 +80,7 @@ class Element:
         elif whole:
             self.unwanted = True
         else:
-            self.guessed |= not GONE_WORDS.isdisjoint(_NAME.findall(value))
+            self.guessed |= not (GONE_WORDS - VAGUE).isdisjoint(_NAME.findall(value))
 
 
 class _Open:

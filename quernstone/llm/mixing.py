@@ -55,13 +55,20 @@ def min_cost_flow(patterns: list[tuple[tuple, int]], quota: dict, max_repeats: i
     for i, (members, _) in enumerate(patterns):
         for s in members:
             by_source.setdefault(s, []).append(i)
+    for i, (members, size) in enumerate(patterns):  # a source whose documents are in no other has no choice
+        if len(members) == 1 and len(by_source[members[0]]) == 1:
+            given[i][members[0]] = min(need.pop(members[0], 0), size * max_repeats)
+    patterns = [(members if any(s in need for s in members) else (), size) for members, size in patterns]
     for use in range(1, max_repeats + 1):
-        spare = [size * use - sum(g.values()) for (_, size), g in zip(patterns, given, strict=True)]
+        spare = [size * use - sum(g.values()) if members else 0 for (members, size), g in zip(patterns, given, strict=True)]
         blocked: set = set()
+        waiting = deque(s for s in need if need[s] > 0)
         while True:
-            short = next((s for s in need if need[s] > 0 and s not in blocked), None)
-            if short is None:
+            while waiting and (need[waiting[0]] <= 0 or waiting[0] in blocked):
+                waiting.popleft()
+            if not waiting:
                 break
+            short = waiting[0]
             came: dict = {("s", short): None}  # search from the source back to a pattern with words to spare
             queue, end = deque([("s", short)]), None
             while queue and end is None:

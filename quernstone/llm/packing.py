@@ -36,25 +36,45 @@ class Schedule:
         self.sizes, self.weights = sizes.astype(np.int64), weights.astype(np.float64)
         ends = self.sizes / self.weights
         self.shares = self.weights / self.weights.sum()  # the least share that a queue has of a round while it isn't dry
-        self.times = np.concatenate([[0.0], np.sort(ends)])
-        self.served = np.array([np.minimum(self.sizes, t * self.weights).sum() for t in self.times])
+        order = np.argsort(ends, kind="stable")
+        self.times = np.concatenate([[0.0], ends[order]])
+        dry, left = np.cumsum(self.sizes[order]), np.cumsum(self.weights[order][::-1])[::-1]  # tokens of queues run dry, weights of the others
+        self.served = np.concatenate([[0.0], dry + self.times[1:] * np.append(left[1:], 0.0)])
+        self._ends, self._dry, self._left = self.times[1:], np.append(0, dry), np.append(left, 0.0)
+
+    def served_at(self, t: np.ndarray) -> np.ndarray:
+        """Tokens of all queues at times, as if they could be cut."""
+        k = np.searchsorted(self._ends, t, "right")
+        return self._dry[k] + t * self._left[k]
 
     def counts(self, positions: np.ndarray) -> np.ndarray:
-        """One row a position, one column a queue; rows add up to the positions and rise with them."""
+        """One row a position, one column a queue: the queue's tokens among the first ones by time, equal times by queue.
+
+        Rounding each queue's tokens at one time gives nearly all; the rest are added or taken by order of time in one go, and
+        what that got wrong is swapped.
+        """
         t = np.interp(positions, self.served, self.times)[:, None]
         got = np.clip(np.floor(t * self.weights + 0.5), 0, self.sizes).astype(np.int64)
-        off = positions - got.sum(1)
-        for _ in range(4 * len(self.sizes) + 4):
+        n, rows = len(self.sizes), np.arange(len(got))
+        for _ in range(4 * n + 4):
+            off = positions - got.sum(1)
             late = np.where(got > 0, (got - 0.5) / self.weights, -np.inf)
             soon = np.where(got < self.sizes, (got + 0.5) / self.weights, np.inf)
-            wrong = (off == 0) & (late.max(1) > soon.min(1))
-            if not (off.any() or wrong.any()):
+            last, first = n - 1 - late[:, ::-1].argmax(1), soon.argmin(1)
+            a, b = late[rows, last], soon[rows, first]
+            wrong = np.flatnonzero((off == 0) & ((a > b) | ((a == b) & (last > first) & np.isfinite(a))))
+            if not (off.any() or len(wrong)):
                 return got
-            i = np.flatnonzero((off < 0) | wrong)
-            got[i, len(self.sizes) - 1 - late[i, ::-1].argmax(1)] -= 1
-            j = np.flatnonzero((off > 0) | wrong)
-            got[j, soon[j].argmin(1)] += 1
-            off = positions - got.sum(1)
+            got[wrong, last[wrong]] -= 1
+            got[wrong, first[wrong]] += 1
+            for i in np.flatnonzero(off):
+                few = min(abs(off[i]), n)
+                if off[i] > 0:
+                    ready = np.argsort(soon[i], kind="stable")[:few]
+                    got[i, ready[np.isfinite(soon[i, ready])]] += 1
+                else:
+                    ready = n - 1 - np.argsort(-late[i, ::-1], kind="stable")[:few]
+                    got[i, ready[np.isfinite(late[i, ready])]] -= 1
         raise ArithmeticError("no schedule found")
 
 
@@ -143,8 +163,7 @@ def _pieces(batch: pa.RecordBatch, queue, at, n, plan: Schedule, total: int, len
     def window(position: np.ndarray, q: np.ndarray) -> np.ndarray:
         guess = np.zeros(len(position), np.int64)
         t = (position + 0.5) / plan.weights[q]
-        served = np.minimum(plan.sizes, t[:, None] * plan.weights).sum(1)
-        guess = np.clip((served // w_per).astype(np.int64), 0, w_all - 1)
+        guess = np.clip((plan.served_at(t) // w_per).astype(np.int64), 0, w_all - 1)
         step = 2 + len(plan.sizes) // w_per
         lo, hi = np.maximum(guess - step, 0), np.minimum(guess + step, w_all - 1)
         while (lo < hi).any():  # the last window whose beginning isn't past the position

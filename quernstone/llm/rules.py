@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a test on a document's measures.  On a sample of the documents the cost of a rule (seconds of computing
-the measures it needs) and its selectivity (share of the documents that it rejects) are estimated, and the rules run
-in the order of rejections per second.  A rule sees only what the rules before it have left.  The order changes the
+Each rule is a test on a document's measures.  On a sample of the documents the costs of measures and tests and the sets of
+rules that reject a document are found.  From these the rules are put in order one by one: next is the one that rejects most
+per second of what the others left, measures that are at hand by then costing nothing.  A rule sees only what the rules before it have left.  The order changes the
 time that a run takes, never its verdict, as a document is kept exactly if no rule rejects it.
 """
 
@@ -166,33 +166,73 @@ def part(texts: tv.Texts, keep: np.ndarray) -> tv.Texts:
     return tv.Texts(texts.data[tv.ragged(starts, lengths)], np.concatenate([[0], np.cumsum(lengths)]), texts.first)
 
 
-def estimate(docs: DataFrame, rules=RULES, sample: int = 2000) -> list[tuple[str, float, float]]:
-    """(rule, seconds a document, share rejected) on a sample of about `sample` documents, drawn by a hash.
+@dataclass
+class Profile:
+    """What a sample says: seconds a document of each measure and of each rule's own test, and how many documents each set
+    of rules (bits in the rules' order) rejects."""
 
-    The rules run on the sample where it lies; only their sums come to the driver.
+    measures: dict[str, float]
+    tests: dict[str, float]
+    rejected: dict[int, int]
+
+
+def estimate(docs: DataFrame, rules=RULES, sample: int = 2000) -> Profile:
+    """The profile of about `sample` documents, drawn by a hash.
+
+    Measures are timed one after the other on texts whose words are known, and tests on known measures, so a sum of them is
+    what a rule costs beside the measures that are at hand.  All is measured where the sample lies; only sums come to the driver.
     """
     rows = narrow(docs, doc_id="doc_id", text="text")
     share = sample / max(1, rows.count())
     drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) <= math.ceil(share * 1_000_003)) if share < 1 else rows
+    names = list(dict.fromkeys(n for r in rules for n in r.needs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in tv.chunks(batch.column("text")):
-                seconds, gone = [], []
-                for r in rules:
-                    m = Measures(chunk)
-                    t = time.perf_counter()
-                    gone.append(int(r.rejects(m).sum()))
-                    seconds.append(time.perf_counter() - t)
-                yield pa.RecordBatch.from_arrays([pa.array([r.name for r in rules]), pa.array(seconds), pa.array(gone, pa.int64()), pa.array([len(chunk)] * len(rules), pa.int64())], names=["rule", "seconds", "gone", "n"])
-
-    sums = {r[0]: r[1:] for r in drawn.mapInArrow(run, "rule string, seconds double, gone long, n long").groupBy("rule").agg(F.sum("seconds"), F.sum("gone"), F.sum("n")).collect()}
-    return [(r.name, *((sums[r.name][0] / sums[r.name][2], sums[r.name][1] / sums[r.name][2]) if r.name in sums else (0.0, 0.0))) for r in rules]
-
-
-def cascade_order(docs: DataFrame, rules=RULES, sample: int = 2000) -> list[str]:
-    """Rule names by rejections per second, best first; ties keep the given order."""
-    return [name for name, cost, share in sorted(estimate(docs, rules, sample), key=lambda x: -x[2] / max(x[1], 1e-12))]
+                m, found, mask = Measures(chunk), [], np.zeros(len(chunk), np.int64)
+                for name in names:
+                    began = time.perf_counter()
+                    m[name]
+                    found.append(("measure", name, time.perf_counter() - began, len(chunk)))
+                for bit, r in enumerate(rules):
+                    began = time.perf_counter()
+                    gone = r.rejects(m)
+                    found.append(("test", r.name, time.perf_counter() - began, len(chunk)))
+                    mask |= gone.astype(np.int64) << bit
+                found += [("rejected", str(k), 0.0, int(n)) for k, n in zip(*np.unique(mask, return_counts=True), strict=True)]
+                yield pa.RecordBatch.from_pylist([dict(zip(("what", "name", "seconds", "n"), f, strict=True)) for f in found])
+
+    sums = drawn.mapInArrow(run, "what string, name string, seconds double, n long").groupBy("what", "name").agg(F.sum("seconds"), F.sum("n")).collect()  # 2^rules rows at most
+    of = lambda what: {r[1]: r[2] / r[3] for r in sums if r[0] == what}
+    return Profile(of("measure"), of("test"), {int(r[1]): r[3] for r in sums if r[0] == "rejected"})
+
+
+def best_order(profile: Profile, rules=RULES, known: tuple[str, ...] = ()) -> list[str]:
+    """Rule names, each the one with most rejections per second among those left: of the documents that the rules before it
+    leave, and at the cost of its test and of the measures that neither `known` nor those rules have asked for.  Ties keep the
+    given order."""
+    order: list[str] = []
+    have, passed, left = set(known), 0, list(enumerate(rules))
+    while left:
+
+        def worth(item: tuple[int, Rule]) -> float:
+            bit, r = item
+            gone = sum(n for mask, n in profile.rejected.items() if mask >> bit & 1 and not mask & passed)
+            cost = profile.tests.get(r.name, 0.0) + sum(profile.measures.get(m, 0.0) for m in r.needs if m not in have)
+            return gone / max(cost, 1e-12)
+
+        chosen = max(left, key=worth)
+        left.remove(chosen)
+        order.append(chosen[1].name)
+        have.update(chosen[1].needs)
+        passed |= 1 << chosen[0]
+    return order
+
+
+def cascade_order(docs: DataFrame, rules=RULES, sample: int = 2000, known: tuple[str, ...] = ()) -> list[str]:
+    """Rule names in the order of a sample's `best_order`; known: measures that are computed in any case."""
+    return best_order(estimate(docs, rules, sample), rules, known)
 
 
 def cascade(docs: DataFrame, rules=RULES, order: list[str] | None = None, measures: tuple[str, ...] = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), sample: int = 2000) -> DataFrame:
@@ -204,7 +244,7 @@ def cascade(docs: DataFrame, rules=RULES, order: list[str] | None = None, measur
     """
     docs = narrow(docs, doc_id="doc_id", text="text")
     by_name = {r.name: r for r in rules}
-    ranked = [by_name[n] for n in (order or cascade_order(docs, rules, sample))]
+    ranked = [by_name[n] for n in (order or cascade_order(docs, rules, sample, measures))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -334,3 +334,9 @@ def test_pipeline_stages(spark, sf):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_formulas_and_parts_of_names_stay():
+    assert htmltext.main_text(htmltext.parse("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p>")) == "Let x=1 be."
+    assert htmltext.main_text(htmltext.parse('<div class="side-effects">Drug side effects text.</div><div id="widget-guide">Guide.</div>')) == "Drug side effects text.\nGuide."
+    assert htmltext.main_text(htmltext.parse('<div class="side">a</div><div class="site-sidebar">b</div><div class="ad-slot">c</div><p>d</p>')) == "d"

@@ -1,8 +1,10 @@
 import itertools
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -56,6 +58,25 @@ def test_rule_order_does_not_change_the_verdict(spark, docs):
     assert rules.cascade(docs.limit(0)).count() == 0
 
 
+def test_order_goes_by_what_is_left_and_what_is_known():
+    """A rule whose rejections an earlier one has made is worth nothing; a measure at hand costs nothing."""
+    none = lambda m: None
+    abc = (rules.Rule("a", ("x",), none), rules.Rule("b", ("y",), none), rules.Rule("c", ("x", "z"), none))
+    profile = rules.Profile({"x": 1.0, "y": 5.0, "z": 0.5}, {"a": 0.1, "b": 0.1, "c": 0.1}, {0b000: 50, 0b001: 10, 0b011: 30, 0b010: 2, 0b100: 20})
+    assert rules.best_order(profile, abc) == ["a", "c", "b"]
+    assert rules.best_order(profile, abc, ("y",)) == ["b", "c", "a"]
+    assert rules.best_order(profile, abc, ("x", "y", "z")) == ["a", "c", "b"]
+
+
+def test_profile_counts_every_sampled_document(spark, docs):
+    profile = rules.estimate(docs, sample=10**6)
+    assert sum(profile.rejected.values()) == docs.count()
+    assert set(profile.tests) == {r.name for r in rules.RULES} and all(x >= 0 for x in profile.measures.values())
+    for bit, name in enumerate(r.name for r in rules.RULES):
+        alone = rules.cascade(docs, order=[name], measures=()).where("not kept").count()
+        assert alone == sum(n for mask, n in profile.rejected.items() if mask >> bit & 1)
+
+
 @pytest.mark.parametrize("measures", [(), ("n_words", "n_repeat_words")])
 def test_failed_rule_is_the_first_that_rejects(spark, sf, measures):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
@@ -209,3 +230,38 @@ def test_ids_of_any_text(texts):
     for chunk, ids, offsets in bpe.encode_column(pa.array(texts), packing.default_tokenizer()):
         for i in range(len(chunk)):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == library.encode(texts[chunk.first + i], add_special_tokens=False).ids
+
+
+def test_schedule_is_the_order_of_times():
+    rng = np.random.default_rng(1)
+    for turn in range(80):
+        n = int(rng.integers(1, 12))
+        sizes = rng.integers(1, 30, n)
+        weights = sizes.astype(float) if turn % 2 else rng.choice([1.0, 1.0, 2.0, 5.0], n)
+        tokens = sorted(((k + 0.5) / w, q) for q, (size, w) in enumerate(zip(sizes.tolist(), weights.tolist(), strict=True)) for k in range(size))
+        want = np.zeros((len(tokens) + 1, n), int)
+        for i, (_, q) in enumerate(tokens):
+            want[i + 1] = want[i]
+            want[i + 1, q] += 1
+        assert (packing.Schedule(sizes, weights).counts(np.arange(len(tokens) + 1)) == want).all()
+
+
+def test_many_sources_take_no_longer():
+    """Thousands of queues in packing, and a hundred thousand sources in mixing."""
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 100_000, 4000)
+    began = time.time()
+    counts = packing.Schedule(sizes, sizes).counts(rng.integers(0, sizes.sum(), 200))
+    patterns = [((f"s{i}",), int(n)) for i, n in enumerate(rng.integers(1, 10_000, 100_000))]
+    of = {p[0][0]: p[1] for p in patterns}
+    quota = {s: round(t) for s, t in mixing.shares(of, {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(of)}, sum(of.values()), 3).items()}
+    given = mixing.min_cost_flow(patterns, quota, 3)
+    assert time.time() - began < 30
+    assert counts.shape == (200, 4000) and [g[p[0][0]] for g, p in zip(given, patterns, strict=True)] == [quota[p[0][0]] for p in patterns]
+
+
+def test_sources_alone_and_shared():
+    """Sources without a choice beside ones that share documents: all quotas that can be met are."""
+    patterns = [(("a",), 10), (("b",), 10), (("b", "c"), 10), (("d",), 0), ((), 5)]
+    given = mixing.min_cost_flow(patterns, {"a": 25, "b": 35, "c": 20, "d": 3}, 3)
+    assert given[0] == {"a": 25} and given[1]["b"] + given[2]["b"] == 35 and given[2]["c"] == 20 and given[3] == {"d": 0}
