@@ -16,7 +16,7 @@ from .common import table
 from .types import FILE_NAMES_SQL, _file_names
 
 EXPORTS_SQL = "exports AS (SELECT replace(p_name, ' ', '_') || '_' || p_size AS name, 'src/f' || (p_partkey % 97) || '.tsx' AS path, p_partkey % 10 = 0 AS is_default, p_partkey FROM part)"
-IMPORTS_SQL = f"imports AS (SELECT 'src/f' || (l_orderkey % 97) || '.tsx' AS path, 'src/f' || (l_partkey % 150) || '.tsx' AS source, row_number() OVER (PARTITION BY l_orderkey % 97 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS pos FROM lineitem)"
+IMPORTS_SQL = f"imports AS (SELECT 'src/f' || l_orderkey || '.tsx' AS path, 'src/f' || (l_partkey % 150) || '.tsx' AS source, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS pos FROM lineitem)"
 USAGE_SQL = "usage AS (SELECT DISTINCT 'pkg-' || (l_suppkey % 17) AS package, 'f' || (l_orderkey % 1000) AS file, CASE l_linenumber % 4 WHEN 0 THEN 'code' WHEN 1 THEN 'comment' WHEN 2 THEN 'text' ELSE 'import' END AS context, l_linenumber AS line FROM lineitem)"
 #: t: path, is_dir, parts, line of files and of the folders above them.
 TREE_SQL = """WITH f AS (SELECT DISTINCT path FROM ({0})), d AS (SELECT DISTINCT unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS path FROM f),
@@ -30,7 +30,7 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
-    numbered = items.selectExpr("concat('src/f', l_orderkey % 97, '.tsx') AS path", "concat('src/f', l_partkey % 150, '.tsx') AS source", "row_number() OVER (PARTITION BY l_orderkey % 97 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS pos")
+    numbered = items.selectExpr("concat('src/f', l_orderkey, '.tsx') AS path", "concat('src/f', l_partkey % 150, '.tsx') AS source", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS pos")
     return numbered.withColumn("pos", F.col("pos").cast("long"))
 
 

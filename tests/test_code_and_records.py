@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import unicodedata
 import zipfile
 
 import pytest
@@ -91,6 +92,17 @@ def test_clean_folds_compatibility_forms(spark):
     assert one(spark, lambda c: clean.clean_text(c, True, True), "ﬁn<b>e</b>​x", " a  b ", None) == ["fin e x", "a b", None]
 
 
+def test_compatibility_forms_of_all_signs(spark):
+    """Every sign alone, behind a letter and behind another sign that takes marks; texts that stay as they are too."""
+    signs = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(signs[i : i + 64]) for i in range(0, len(signs), 64)] + [f"e{c}\u1100{c}\u0327x" for c in signs if unicodedata.combining(c) or not unicodedata.is_normalized("NFKC", c)] + ["\uac00\u11a8", "\u1100\u1161\u11a8", "a\u0301", "\u09c7\u09be", "plain", "\u00e9t\u00e9"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = {r.i: r.out for r in df.select("i", clean.nfkc(F.col("s")).alias("out")).collect()}
+    assert [i for i, t in enumerate(texts) if got[i] != unicodedata.normalize("NFKC", t)] == []
+    singles = spark.createDataFrame([(c,) for c in signs if c.isprintable() and not unicodedata.is_normalized("NFKC", c)][:3000], "s string")
+    assert singles.where(~F.col("s").rlike(clean._unsettled())).count() == 0
+
+
 def test_redaction_keeps_containers(spark):
     got = one(spark, clean.redact_json, '{"token": {"a": 1, "pwd": "secretvalue"}, "n": [{"key": "abcde"}]}', "no json", None)
     assert got == ['{"token": {"a": 1, "pwd": "se*******ue"}, "n": [{"key": "a***e"}]}', None, None]
