@@ -3,44 +3,19 @@
 from __future__ import annotations
 
 import json
-import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import normal
+
 #: Parts of a key that mark a value as sensitive.
 SENSITIVE = ("password", "secret", "key", "token", "auth", "credential", "private", "pass", "pwd", "api_key", "access_key", "secret_key")
 #: White space as str.isspace has it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
-@lru_cache(maxsize=1)
-def _unsettled() -> str:
-    """A class of the signs that compatibility forms change, or that may join with the sign before them."""
-    marks = [i for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and not unicodedata.is_normalized("NFKC", f"a{chr(i)}")]
-    marks += [i for i in range(0x80, 0x110000) if unicodedata.combining(chr(i)) or 0x1161 <= i <= 0x11C2]
-    joined = {ord(unicodedata.normalize("NFD", chr(i))[1]) for i in range(0x80, 0x110000) if not 0xAC00 <= i < 0xE000 and len(unicodedata.normalize("NFD", chr(i))) == 2}
-    ranges: list[list[int]] = []
-    for i in sorted({*marks, *joined}):
-        if ranges and i == ranges[-1][1] + 1:
-            ranges[-1][1] = i
-        else:
-            ranges.append([i, i])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
-
-
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
-
-
-def nfkc(c: Column) -> Column:
-    """Compatibility forms, composed.  Only texts with a sign that could change go through Python; the others stay in the JVM."""
-    changes = c.rlike(_unsettled())
-    return F.when(changes, F.pandas_udf(_nfkc, "string")(F.when(changes, c))).otherwise(c)
-
-
 def strip_tags(c: Column) -> Column:
     """Each tag leaves two spaces."""
     return F.regexp_replace(c, r"<[^>]+>", "  ")
@@ -60,13 +35,10 @@ def collapse(c: Column) -> Column:
 
 
 def clean_text(c: Column, remove_html: bool = False, normalize_whitespace: bool = False, compatibility: bool = True) -> Column:
-    """Tags, then compatibility forms, then signs that can't be printed, then white space.
-
-    The Python step only sees texts with signs that could change; compatibility=False leaves it out.
-    """
+    """Tags, then compatibility forms (compatibility=False leaves them out), then signs that can't be printed, then white space."""
     c = strip_tags(c) if remove_html else c
     if compatibility:
-        c = nfkc(c)
+        c = normal.nfkc(c)
     c = printable(c)
     return collapse(c) if normalize_whitespace else c
 
