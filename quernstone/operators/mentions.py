@@ -44,10 +44,12 @@ def codes(text: str) -> np.ndarray:
 
 @dataclass
 class Automaton:
-    """sign: number of each code point among those of the names, 0 for others; edges, to: sorted edges and where they
-    lead; last: of each state, the place of its names in owners (-1: no name ends there)."""
+    """sign: number of each code point's small form among those of the names, 0 for others; root: where each sign leads first
+    (0: nowhere); edges, to: sorted edges and where they lead; last: of each state, the place of its names in owners (-1: no
+    name ends there)."""
 
     sign: np.ndarray
+    root: np.ndarray
     edges: np.ndarray
     to: np.ndarray
     last: np.ndarray
@@ -75,11 +77,14 @@ class Automaton:
         to = np.array([found[e] for e in edges.tolist()], np.int64)
         last = np.full(len(found) + 1, -1, np.int64)
         last[list(ends)] = np.arange(len(ends))
-        return cls(sign, edges, to, last, np.cumsum([0, *map(len, ends.values())]), np.array([o for e in ends.values() for o in e], np.int64))
+        root = np.zeros(wide, np.int64)
+        firsts = edges < wide
+        root[edges[firsts]] = to[firsts]
+        return cls(sign[small], root, edges, to, last, np.cumsum([0, *map(len, ends.values())]), np.array([o for e in ends.values() for o in e], np.int64))
 
     def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each hit begins in the code points of a text, and the name's index."""
-        word, small = _signs()
+        word, _ = _signs()
         n, none = len(text), np.zeros(0, np.int64)
         if not n or not len(self.edges):
             return none, none
@@ -87,16 +92,12 @@ class Automaton:
         border = np.empty(n + 1, bool)
         border[0], border[n] = inside[0], inside[-1]
         np.not_equal(inside[1:], inside[:-1], out=border[1:n])
-        sign = self.sign[small[text]]
-        wide = int(self.sign.max()) + 1
-        at = np.flatnonzero(border[:n])
-        begin, state = at, np.zeros(len(at), np.int64)
+        begin = np.flatnonzero(border[:n])
+        state = self.root[self.sign[text[begin]]]
+        begin, state = begin[state > 0], state[state > 0]
+        at = begin + 1
         where, which = [], []
         while len(at):
-            edge = state * wide + sign[at]
-            place = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
-            there = (self.edges[place] == edge) & (sign[at] > 0)
-            begin, at, state = begin[there], at[there] + 1, self.to[place[there]]
             end = np.flatnonzero((self.last[state] >= 0) & border[at])
             if len(end):
                 group = self.last[state[end]]
@@ -105,6 +106,12 @@ class Automaton:
                 which.append(self.owners[np.repeat(self.starts[group], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)])
             inner = at < n
             begin, at, state = begin[inner], at[inner], state[inner]
+            sign = self.sign[text[at]]
+            begin, at, state, sign = (x[sign > 0] for x in (begin, at, state, sign))
+            edge = state * len(self.root) + sign
+            place = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            there = self.edges[place] == edge
+            begin, at, state = begin[there], at[there] + 1, self.to[place[there]]
         return (np.concatenate(where), np.concatenate(which)) if where else (none, none)
 
 
@@ -130,7 +137,10 @@ def mentions(files: DataFrame, packages: DataFrame, names_per_pass: int = NAMES_
     """
     spark = files.sparkSession
     names = packages.select("package").where((F.col("package") != "") & ~F.col("package").contains("\n")).distinct()
-    passes = max(1, -(-names.count() // names_per_pass))
+    known = names.limit(names_per_pass + 1).toArrow().column("package").to_pylist()
+    if len(known) <= names_per_pass:
+        return _searched(files, spark.sparkContext.broadcast(sorted(known)))
+    passes = -(-names.count() // names_per_pass)
     share = names.withColumn("share", F.pmod(F.xxhash64("package"), F.lit(passes)))
     found = None
     for i in range(passes):
