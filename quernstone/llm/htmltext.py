@@ -339,6 +339,7 @@ def _texts(batches: Iterator[pa.RecordBatch], is_template) -> Iterator[pa.Record
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all `pages`; see `extract` for nulls, repeated rows and empty tables."""
     return extract(read(spark, sf_dir, "pages"))
 
 

@@ -291,6 +291,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all `documents`; see `train` and `identify` for nulls, repeated rows and empty tables."""
     docs = read(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 4) == 2
     rows = identify(docs, train(docs.where(~held)))

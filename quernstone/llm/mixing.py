@@ -150,6 +150,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = 3, seed: int = 17,
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all `documents`; see `mix` for nulls, ties, repeated rows and empty tables."""
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -230,6 +230,7 @@ def default_tokenizer() -> str:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all `documents`; see `pack` for nulls, repeated rows and empty tables."""
     return pack(read(spark, sf_dir, "documents"), default_tokenizer())
 
 

@@ -162,6 +162,7 @@ def classify(docs: DataFrame, model: Voters | None, threshold: float = 0.3) -> D
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all `documents`; see `train` and `annotate` for nulls, repeated rows and empty tables."""
     docs = read(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 5) == 0
     model = train(docs.where(~held), read(spark, sf_dir, "labels").where(~held))

@@ -267,6 +267,7 @@ def cascade(docs: DataFrame, rules=RULES, order: list[str] | None = None, measur
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all `documents`; see `cascade` for nulls, repeated rows and empty tables."""
     rows = cascade(read(spark, sf_dir, "documents"))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")

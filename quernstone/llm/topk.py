@@ -207,6 +207,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all `embeddings` for every fiftieth; see `top_k` for ties, repeated rows and empty tables, `whole_vectors` for nulls."""
     vectors = whole_vectors(read(spark, sf_dir, "embeddings"), 256.0)
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 

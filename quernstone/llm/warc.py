@@ -211,6 +211,7 @@ def page_of(name: str, kind: T.DataType):
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for each of all `pages`, written and read back; see `write_archives` and `read_archives` for nulls, repeated rows, ties and empty tables."""
     pages = read(spark, sf_dir, "pages")
     path = shared_dir(spark, "warc")
     write_archives(pages, path)
