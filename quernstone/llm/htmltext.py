@@ -16,10 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .columns import narrow, read
+from .storage import kept
 
 # Element names of the HTML standard by what they do to text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
@@ -43,7 +45,6 @@ USED = frozenset("class id role hidden aria-hidden".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[a-z]+|\d+")
-_WHITE = re.compile(r"\s+")
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 
 
@@ -105,7 +106,12 @@ class _Open:
 
     def last(self, *tags: str) -> int:
         """Place of the innermost open element of these names; 0 if none is open."""
-        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        found = 0
+        for t in tags:
+            places = self.places.get(t)
+            if places and places[-1] > found:
+                found = places[-1]
+        return found
 
     def close(self, place: int) -> None:
         while len(self.stack) > place:
@@ -198,7 +204,7 @@ def subtree_hashes(root: Element, site: str) -> tuple[dict[int, int], list[int],
         h, full = xxhash.xxh64(f"{e.tag}{e.marks}", seed=seed), False
         for part in e.parts:
             if isinstance(part, str):
-                text = _WHITE.sub(" ", part).strip()
+                text = " ".join(part.split())
                 if text:
                     h.update(f"\0{text}")
                     full = True
@@ -216,12 +222,12 @@ def subtree_hashes(root: Element, site: str) -> tuple[dict[int, int], list[int],
             elif e.tag not in CELLS:
                 found[id(e)] = value ^ WITHIN
                 within.append(value ^ WITHIN)
-    tops = [done[id(e)][0] for e in _tops(root, elements, set())]
+    tops = [done[id(e)][0] for e in _tops(root, elements)]
     return found, within, xxhash.xxh64_intdigest(b"".join(tops), seed=seed) if tops else None
 
 
-def _tops(root: Element, elements: list[Element], template: set[int]) -> list[Element]:
-    """The elements that hold the text: articles, or main elements without one."""
+def _tops(root: Element, elements: list[Element]) -> list[Element]:
+    """The elements that hold the text: articles, or main elements without one.  No template holds any of them."""
     articles: set[int] = set()  # elements that hold a wanted article
     for e in reversed(elements):
         if any(not isinstance(p, str) and not p.unwanted and (p.tag == "article" or id(p) in articles) for p in e.parts):
@@ -233,67 +239,111 @@ def _tops(root: Element, elements: list[Element], template: set[int]) -> list[El
         if e is not root and e.tag in PROTECTED and (e.tag == "article" or id(e) not in articles):
             tops.append(e)
         else:
-            todo.extend(p for p in reversed(e.parts) if not isinstance(p, str) and not p.unwanted and id(p) not in template)
+            todo.extend(p for p in reversed(e.parts) if not isinstance(p, str) and not p.unwanted)
     return tops
 
 
-def main_text(root: Element, template: set[int] | None = None) -> str:
-    """Blocks of the main text, one a line; template: id() of elements that go."""
-    template = template or set()
-    tops = _tops(root, _elements(root), template)
+def printed(root: Element) -> tuple[list[str], dict[int, tuple[int, int]]]:
+    """The blocks of the main text in page order, and by id() of each printed block element which of them are in it."""
+    tops = _tops(root, _elements(root))
     lines: list[str] = []
     line: list[str] = []
+    spans: dict[int, tuple[int, int]] = {}
 
     def flush() -> None:
-        text = _WHITE.sub(" ", "".join(line)).strip()
+        text = " ".join("".join(line).split())
         if text:
             lines.append(text)
         line.clear()
 
     inside = bool(tops)
     for top in tops or [root]:
-        walk: list[Element | str | None] = [top]  # None: the end of a block
+        walk: list[Element | str | tuple[int, int]] = [top]  # a pair: the end of a block, and its first line
         while walk:
             part = walk.pop()
-            if part is None:
-                flush()
-            elif isinstance(part, str):
+            if isinstance(part, str):
                 line.append(part)
+            elif isinstance(part, tuple):
+                flush()
+                spans[part[0]] = part[1], len(lines)
             elif part.tag == "br":
                 line.append(" ")
-            elif part is top or not (part.unwanted or id(part) in template or (part.tag == "header" and not inside)):
-                if part.tag in BLOCKS:
+            else:
+                if part.tag in BLOCKS:  # what goes parts its neighbours as well
                     flush()
-                    walk.append(None)
-                walk.extend(reversed(part.parts))
+                if part is top or not (part.unwanted or (part.tag == "header" and not inside)):
+                    if part.tag in BLOCKS:
+                        walk.append((id(part), len(lines)))
+                    walk.extend(reversed(part.parts))
         flush()
-    return "\n".join(lines)
+    return lines, spans
 
 
-def _signed(values) -> np.ndarray:
-    return np.array(list(values), np.uint64).view(np.int64)
+def without(lines: list[str], spans: list[tuple[int, int]]) -> str:
+    """The lines outside these spans."""
+    stay = np.ones(len(lines), bool)
+    for i, j in spans:
+        stay[i:j] = False
+    return "\n".join(x for x, s in zip(lines, stay, strict=True) if s)
 
 
-def templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """key: hashes of subtrees, with their host, on at least min_pages different pages and this share of the host's different
-    pages; for those inside article and main, as many different articles and this share of the host's different articles."""
+def main_text(root: Element, template: set[int] | None = None) -> str:
+    """Blocks of the main text, one a line; template: id() of block elements that go."""
+    lines, spans = printed(root)
+    return without(lines, [spans[e] for e in template or () if e in spans])
+
+
+def _signed(values: list[int]) -> list[int]:
+    """Hashes as 64-bit numbers with a sign."""
+    return np.array(values, np.uint64).view(np.int64).tolist()
+
+
+READ = "url string, site long, copy long, own_site long, own long, outside int, lines array<string>, keys array<long>, first array<int>, last array<int>"
+FLUSH_CHARS = 4 << 20
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """A row a page, read once: page_id, url, lines, and the hashes of its block elements (keys), those outside of articles
+    first and `outside` many, with their lines from `first` to before `last`, none where they aren't printed.  For the
+    counts: site and own_site, keys of the host for pages and for articles; copy and own, hashes of the page and of its
+    articles (null: none)."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+    names = [c.split()[0] for c in READ.split(", ")]
+    ints, texts = pa.list_(pa.int64()), pa.list_(pa.string())
+    kinds = [pa.string(), *[pa.int64()] * 4, pa.int32(), texts, ints, pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[np.zeros(0, np.uint64)] for _ in range(3)]
-            for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                site = host(url)
-                found, within, article = subtree_hashes(parse(source or ""), site)
-                outside = set(found.values()).difference(within)
-                for part, keys, copy in (("page", outside, xxhash.xxh64_intdigest(source or "")), ("article", set(within), article)):
-                    if copy is not None:
-                        whole = xxhash.xxh64_intdigest(f"\0{part} {site}")
-                        own = np.array([whole, *keys], np.uint64)
-                        for column, values in zip(rows, (np.full(len(own), whole, np.uint64), np.full(len(own), copy, np.uint64), own), strict=True):
-                            column.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in rows], names=["site", "copy", "key"])
-
-    rows = narrow(pages, url="url", html="html").mapInArrow(run, "site long, copy long, key long")
+            rows, begin, held = [], 0, 0
+            for i, (url, source) in enumerate(zip(batch.column("url"), batch.column("html"), strict=True)):
+                rows.append(_read_page(url.as_py(), source.as_py() or ""))
+                held += len(source.as_buffer()) if source.is_valid else 0
+                if held > FLUSH_CHARS or i + 1 == batch.num_rows:
+                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(begin, len(rows)), *columns], names=["page_id", *names])
+                    rows, begin, held = [], i + 1, 0
+
+    return narrow(pages, page_id="page_id", url="url", html="html").mapInArrow(run, f"page_id {kind}, {READ}")
+
+
+def _read_page(url: str | None, source: str) -> tuple:
+    site, root = host(url), parse(source)
+    found, within, own = subtree_hashes(root, site)
+    lines, spans = printed(root)
+    inside = set(within)
+    elements = sorted(found.items(), key=lambda x: x[1] in inside)
+    first, last = map(list, zip(*(spans.get(e, (0, 0)) for e, _ in elements), strict=True)) if elements else ([], [])
+    site_key, own_key, copy = _signed([xxhash.xxh64_intdigest(f"\0page {site}"), xxhash.xxh64_intdigest(f"\0article {site}"), xxhash.xxh64_intdigest(source)])
+    return url, site_key, copy, own_key, None if own is None else _signed([own])[0], len(found) - len(within), lines, _signed([h for _, h in elements]), first, last
+
+
+def templates(found: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """key: hashes of subtrees, with their host, on at least min_pages different pages and this share of the host's different
+    pages; for those inside article and main, as many different articles and this share of the host's different articles.
+    found: rows of `read_pages`."""
+    each = lambda site, copy, keys: found.where(F.col(copy).isNotNull()).select(F.col(site).alias("site"), F.col(copy).alias("copy"), F.explode(F.concat(F.array(site), keys)).alias("key"))
+    outside = F.col("outside")
+    rows = each("site", "copy", F.slice("keys", F.lit(1), outside)).unionByName(each("own_site", "own", F.slice("keys", outside + 1, F.size("keys"))))
     often = rows.groupBy("site", "key").agg(F.countDistinct("copy").alias("n")).where(F.col("n") >= min_pages)
     of_site = F.max(F.when(F.col("key") == F.col("site"), F.col("n"))).over(Window.partitionBy("site"))
     return often.withColumn("pages", of_site).where((F.col("key") != F.col("site")) & (F.col("n") >= min_share * F.col("pages"))).select("key")
@@ -304,37 +354,38 @@ def extract(pages: DataFrame, min_pages: int = 10, min_share: float = 0.1, broad
 
     pages: page_id, url, html; other columns are left out.  A null html is an empty page, a null url the empty host;
     text is "" where there is none.  Each row stays, equal rows too; pages of a host with equal html count once.
-    Template: on at least min_pages pages of the host and min_share of them, inside article and main of its articles.  Template hashes are broadcast up to broadcast_keys of them; beyond that each page's own ones are joined to it.
+    Template: on at least min_pages pages of the host and min_share of them, inside article and main of its articles.
+    Pages are read once, into a table of their blocks in the shared folder.  Template hashes are broadcast up to
+    broadcast_keys of them; beyond that each page's own ones are joined to it.
     """
-    rows = narrow(pages, page_id="page_id", url="url", html="html")
+    rows = kept(read_pages(pages), "html-blocks", "zstd")
     found = templates(rows, min_pages, min_share)
     spark = rows.sparkSession
     known = [r[0] for r in found.limit(broadcast_keys + 1).toLocalIterator()]
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
+    shown = rows.select("page_id", "url", "lines", "keys", "first", "last")
     if len(known) <= broadcast_keys:
         sent = spark.sparkContext.broadcast(np.sort(np.array(known, np.int64)))
-        return rows.mapInArrow(lambda batches: _texts(batches, lambda keys, _: sent.value[np.minimum(np.searchsorted(sent.value, keys), len(sent.value) - 1)] == keys if len(sent.value) else np.zeros(len(keys), bool)), schema)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [list(map(int, _signed(set(subtree_hashes(parse(s or ""), host(u))[0].values())))) for u, s in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(lists, pa.list_(pa.int64()))], names=["page", "keys"])
+        return shown.mapInArrow(lambda batches: _texts(batches, sent), schema)
 
-    rows = rows.withColumn("page", F.xxhash64("page_id", "url", "html"))
-    own = rows.select("page", "url", "html").dropDuplicates(["page"]).mapInArrow(keyed, "page long, keys array<long>").select("page", F.explode("keys").alias("key"))
-    own = own.join(found, "key", "left_semi").groupBy("page").agg(F.collect_set("key").alias("keys"))  # one page's own subtrees
-    return rows.join(own, "page", "left").mapInArrow(lambda batches: _texts(batches, lambda keys, mine: np.isin(keys, np.array(mine or [], np.int64))), schema)
+    rows = rows.withColumn("page", F.xxhash64("page_id", "url", "copy"))
+    own = rows.dropDuplicates(["page"]).select("page", F.explode("keys").alias("key"))
+    own = own.join(found, "key", "left_semi").groupBy("page").agg(F.collect_set("key").alias("gone"))  # one page's own subtrees
+    return rows.join(own, "page", "left").select(*shown.columns, "gone").mapInArrow(lambda batches: _texts(batches, None), schema)
 
 
-def _texts(batches: Iterator[pa.RecordBatch], is_template) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch], sent: Broadcast | None) -> Iterator[pa.RecordBatch]:
+    """Texts without the lines of template elements: those of the broadcast, or each page's own (gone)."""
     for batch in batches:
         texts = []
-        mine = batch.column("keys").to_pylist() if "keys" in batch.schema.names else [None] * batch.num_rows
-        for url, source, own in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), mine, strict=True):
-            root = parse(source or "")
-            hashes = subtree_hashes(root, host(url))[0]
-            gone = is_template(_signed(hashes.values()), own) if hashes else ()
-            texts.append(main_text(root, {e for e, g in zip(hashes, gone, strict=True) if g}))
+        for i in range(batch.num_rows):
+            lines, keys, first, last = (batch.column(c)[i] for c in ("lines", "keys", "first", "last"))
+            keys, template = keys.values.to_numpy(), sent.value if sent else np.sort(np.array(batch.column("gone")[i].as_py() or [], np.int64))
+            at = np.searchsorted(template, keys)
+            goes = np.append(template, 0)[at] == keys
+            goes &= at < len(template)
+            spans = zip(first.values.to_numpy()[goes].tolist(), last.values.to_numpy()[goes].tolist(), strict=True)
+            texts.append(without(lines.as_py(), list(spans)))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
