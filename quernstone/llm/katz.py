@@ -15,9 +15,10 @@ A corpus is cut into batches of whole texts, stored as numbers of their words.
 2. With the counts of counts the discounts are known.  A batch scores its texts but for the backoff weights, sends the
    masses of the n-grams that it accounts for to the buckets of their histories, and asks for the weights it lacks.
 3. The buckets store the backoff weights and answer, and the texts' scores are completed.
-An n-gram travels once a batch, however frequent it is, so no key is hot.  Hashes have 20 bits more than it takes to
-number all n-grams, so about one n-gram in a million shares its hash with another.  What is moved are arrays, byte
-planes compressed, one row per batch and bucket: at 100 TB raise BATCH_TOKENS and BUCKET_TOKENS with the memory of a task.
+An n-gram travels once a batch, however frequent it is, so no key is hot.  Words have hashes of 64 bits; those of longer
+n-grams have 20 bits more than it takes to number all n-grams, so about one in a million shares its hash with another.
+What is moved are arrays, byte planes compressed, one row per batch and bucket: at 100 TB raise BATCH_TOKENS and
+BUCKET_TOKENS with the memory of a task.
 """
 
 from __future__ import annotations
@@ -84,21 +85,18 @@ def default_least(order: int) -> tuple[int, ...]:
 
 @dataclass
 class Shape:
-    """Of a model: its order, least counts by order, number of buckets, and the bits of a hash."""
+    """Of a model: its order, least counts by order, number of buckets, and the bits of the hash of two words or more."""
 
     order: int
     least: tuple[int, ...]
     buckets: int
     bits: int
 
-    @property
-    def edges(self) -> np.ndarray:
-        """First keys of the buckets but the first: each has an equal range of keys."""
-        return np.array([(i << self.bits) // self.buckets for i in range(1, self.buckets)], np.uint64)
-
-    def cut(self, keys: np.ndarray) -> list[int]:
-        """Borders of the buckets in an array of rising keys."""
-        return [0, *np.searchsorted(keys, self.edges).tolist(), len(keys)]
+    def cut(self, k: int, keys: np.ndarray) -> list[int]:
+        """Borders of the buckets in an array of rising keys of k-grams: each bucket has an equal range of keys."""
+        bits = 64 if k == 1 else self.bits
+        edges = np.array([(i << bits) // self.buckets for i in range(1, self.buckets)], np.uint64)
+        return [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
 
 
 # ---- batches ----------------------------------------------------------------------------------------------------------
@@ -106,16 +104,15 @@ class Shape:
 BATCHES = "batch long, words binary, codes binary, lengths binary, ids binary, missing binary, train binary"
 
 
-def batches_of(docs: DataFrame, shape: Shape) -> DataFrame:
+def batches_of(docs: DataFrame) -> DataFrame:
     """A row a batch: its distinct words' hashes by falling count, the places of its tokens among them (an end behind each
     text), and its texts."""
-    shift = np.uint64(64 - shape.bits)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, lengths, ids, train, held, n = [], [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
-            words, codes = distinct(np.concatenate(tokens) >> shift)
+            words, codes = distinct(np.concatenate(tokens))
             by_count = np.argsort(-np.bincount(codes), kind="stable")
             place = np.empty(len(words), np.int32)
             place[by_count] = np.arange(len(words))
@@ -155,7 +152,7 @@ class Grams:
 
     def __init__(self, batch: dict, shape: Shape):
         shift = np.uint64(64 - shape.bits)
-        words, codes = np.append(unpack(batch["words"], "<u8"), BEGIN >> shift), unpack(batch["codes"], "<u4")
+        words, codes = np.append(unpack(batch["words"], "<u8"), BEGIN), unpack(batch["codes"], "<u4")
         lengths = unpack(batch["lengths"], "<u4").astype(np.int64)
         self.lengths, self.train, self.shape = lengths, unpack(batch["train"], "u1").astype(bool), shape
         n = len(codes) + len(lengths)
@@ -195,7 +192,7 @@ def requests(batches: DataFrame, shape: Shape) -> DataFrame:
         for row in rows:
             for batch in row.to_pylist():
                 g = Grams(batch, shape)
-                cuts = [shape.cut(keys) for keys in g.keys]
+                cuts = [shape.cut(k, keys) for k, keys in enumerate(g.keys, 1)]
                 counts = [g.counts(k) for k in range(1, shape.order + 1)]
                 out = [(b, [pack_keys(keys[c[b] : c[b + 1]]) for keys, c in zip(g.keys, cuts, strict=True)], [pack(n[c[b] : c[b + 1]], "<u4") for n, c in zip(counts, cuts, strict=True)]) for b in range(shape.buckets)]
                 number, keys, counts = zip(*out, strict=True)
@@ -353,7 +350,7 @@ def partial_scores(batches: DataFrame, answers: DataFrame, rules: Rules) -> Data
             lost_at.append(pack(where, "<u4"))
             keys = g.keys[k - 1]
             sent.append((keys[use], mass[use], low[use], count[use], keys[asked]))
-            cuts.append((shape.cut(keys[use]), shape.cut(keys[asked])))
+            cuts.append((shape.cut(k, keys[use]), shape.cut(k, keys[asked])))
         for b in range(shape.buckets):
             parts = [[x[u[b] : u[b + 1]] for x in (keys, mass, low, count)] + [asked[a[b] : a[b + 1]]] for (keys, mass, low, count, asked), (u, a) in zip(sent, cuts, strict=True)]
             for column, i, packed in zip(rows, range(5), (pack_keys, lambda x: pack(x, "<f8"), lambda x: pack(x, "<f8"), lambda x: pack(x, "<u8"), pack_keys), strict=True):
@@ -461,7 +458,7 @@ def learn_and_score(docs: DataFrame, train: str = "train", order: int = ORDER, l
     tokens = (size or 0) // 6
     shape = Shape(order, tuple(least), max(LEAST_BUCKETS, tokens // BUCKET_TOKENS), min(64, max(40, (tokens * order).bit_length() + 20)))
     paths = [shared_dir(spark, f"katz-{what}") for what in ("batches", "counts", "backoff")]
-    batches = stored(batches_of(docs, shape), paths[0])
+    batches = stored(batches_of(docs), paths[0])
     counts = stored(counted(requests(batches, shape), shape), paths[1])
     tables = counts.where("batch is null")
     found = tables.agg(*(F.sum(F.col("n_r")[k][i]) for k in range(order) for i in range(K + 1)), F.sum("tokens"), F.sum("kinds")).first()
