@@ -19,12 +19,12 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
+def kept(df: DataFrame, what: str, compression: str | None = None) -> DataFrame:
     """The same rows from a Parquet table in the shared folder: lineage ends there, so lost executors cost nothing."""
     return stored(df, shared_dir(df.sparkSession, what), compression)
 
 
-def stored(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, path: str, compression: str | None = None) -> DataFrame:
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
