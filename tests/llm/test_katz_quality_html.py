@@ -340,3 +340,15 @@ def test_formulas_and_parts_of_names_stay():
     assert htmltext.main_text(htmltext.parse("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p>")) == "Let x=1 be."
     assert htmltext.main_text(htmltext.parse('<div class="side-effects">Drug side effects text.</div><div id="widget-guide">Guide.</div>')) == "Drug side effects text.\nGuide."
     assert htmltext.main_text(htmltext.parse('<div class="side">a</div><div class="site-sidebar">b</div><div class="ad-slot">c</div><p>d</p>')) == "d"
+
+
+def test_what_goes_parts_its_neighbours():
+    assert htmltext.main_text(htmltext.parse("<div>one<nav>menu</nav>two<script>x</script> three</div>")) == "one\ntwo three"
+    lines, spans = htmltext.printed(htmltext.parse("<div>a<p>b</p>c</div><p></p>d"))
+    assert lines == ["a", "b", "c", "d"] and sorted(spans.values()) == [(0, 3), (0, 4), (1, 2), (3, 3)]
+
+
+def test_words_keep_64_bits_and_ngrams_their_own():
+    shape = katz.Shape(2, (1, 1), 128, 40)
+    assert shape.cut(1, np.array([0, 1 << 57, (1 << 64) - 1], np.uint64))[:3] == [0, 1, 2]
+    assert shape.cut(2, np.array([0, 1 << 33, (1 << 40) - 1], np.uint64))[:3] == [0, 1, 2]
