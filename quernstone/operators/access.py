@@ -2,17 +2,55 @@
 
 Tables: files (id, owner_id, path, parent_folder_id, visibility, deleted_at, ...), folders (id, owner_id, path,
 visibility, deleted_at), permissions (resource_id, resource_type, grantee_id, grantee_type, permission_level,
-expires_at), members (group_id, user_id).  Times are compared with `as_of`, never with the clock.
+expires_at), members (group_id, user_id, or `Teams`).  Times are compared with `as_of`, never with the clock.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 #: Ranks of levels.
 LEVELS = ("read", "write", "admin")
+#: Rows that are dealt to all others of a key lie in lists of about so many.
+PIECE = 512
+
+
+@dataclass(frozen=True)
+class Teams:
+    """Members told by teams: a user is in all groups of the user's team.
+
+    users: user_id, team, each user once; groups: group_id, team, each pair once; nulls are in nothing.  With large groups
+    these tables are far smaller than one of members, which has users times groups of each team.
+    """
+
+    users: DataFrame
+    groups: DataFrame
+
+    def members(self) -> DataFrame:
+        """group_id, user_id, each pair once; a stream of rows that nothing shuffles."""
+        return dealt(self.groups.where("group_id is not null"), self.users.where("user_id is not null"), "team").select("group_id", "user_id")
+
+    def sizes(self) -> DataFrame:
+        """user_id, n: the number of a user's groups, of users with any."""
+        n = self.groups.where("group_id is not null and team is not null").groupBy("team").agg(F.count("*").alias("n"))
+        return self.users.where("user_id is not null").join(n, "team").select("user_id", "n")
+
+    def has(self, pairs: DataFrame) -> DataFrame:
+        """The rows of pairs (user_id, group_id, ...) that are memberships."""
+        return pairs.join(self.users.select("user_id", F.col("team").alias("_team")), "user_id").join(self.groups.select("group_id", F.col("team").alias("_team")), ["group_id", "_team"], "left_semi").select(*pairs.columns)
+
+
+def dealt(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """rows joined with others (the key and other columns) by the key.  Others lie in lists of about PIECE, so the join makes a row a
+    list, and what comes out is read from the lists: it is neither shuffled nor kept, however many rows it has."""
+    rest = [c for c in others.columns if c != key]
+    sizes = others.groupBy(key).agg(F.ceil(F.count("*") / PIECE).alias("_parts"))
+    lists = others.join(sizes, key).groupBy(key, F.pmod(F.xxhash64(*rest), "_parts").alias("_part")).agg(F.collect_list(F.struct(*rest)).alias("_all"))
+    return rows.join(lists.drop("_part"), key).select(*rows.columns, F.inline("_all"))
 
 
 def rank(level: Column) -> Column:
@@ -44,7 +82,38 @@ def granted(permissions: DataFrame, members: DataFrame, as_of: Column) -> DataFr
     return direct.unionByName(grouped.select("resource_id", "resource_type", "user_id", "rank", F.lit(True).alias("by_group")))
 
 
-def effective(requests: DataFrame, files: DataFrame, folders: DataFrame, permissions: DataFrame, members: DataFrame, as_of: Column, mode: str = "max") -> DataFrame:
+def group_grants(permissions: DataFrame, members: DataFrame | Teams, as_of: Column) -> DataFrame:
+    """resource_id, resource_type, user_id, rank: the highest live grant to a group of a user, each resource and user once.
+
+    By teams, grants are compared before they are dealt to users, so only the grants are shuffled.
+    """
+    if isinstance(members, DataFrame):
+        return granted(permissions, members, as_of).where("by_group").groupBy("resource_id", "resource_type", "user_id").agg(F.max("rank").alias("rank"))
+    best = _to_teams(permissions, members, as_of)
+    return dealt(best, members.users.where("user_id is not null"), "team").select("resource_id", "resource_type", "user_id", "rank")
+
+
+def _to_teams(permissions: DataFrame, members: Teams, as_of: Column) -> DataFrame:
+    """resource_id, resource_type, team, rank: the highest live grant to a group of a team."""
+    now = permissions.where(unexpired(F.col("expires_at"), as_of)).where("grantee_type = 'group'")
+    met = now.join(members.groups.select(F.col("group_id").alias("grantee_id"), "team"), "grantee_id")
+    return met.groupBy("resource_id", "resource_type", "team").agg(F.max(rank(F.col("permission_level"))).alias("rank"))
+
+
+def _on_folders(f: DataFrame, permissions: DataFrame, members: DataFrame | Teams, as_of: Column) -> DataFrame:
+    """f with in_folder: the highest rank that grants of a row's folder give its user, or null."""
+    permissions = permissions.where("resource_type = 'folder'")
+    if isinstance(members, DataFrame):
+        best = granted(permissions, members, as_of).groupBy(F.col("resource_id").alias("parent_folder_id"), "user_id").agg(F.max("rank").alias("in_folder"))
+        return f.join(best, ["parent_folder_id", "user_id"], "left")
+    direct = granted(permissions.where("grantee_type = 'user'"), members.users.limit(0).select(F.col("team").alias("group_id"), "user_id"), as_of)
+    direct = direct.groupBy(F.col("resource_id").alias("parent_folder_id"), "user_id").agg(F.max("rank").alias("_direct"))
+    grouped = _to_teams(permissions, members, as_of).select(F.col("resource_id").alias("parent_folder_id"), "team", F.col("rank").alias("_grouped"))
+    rows = f.join(direct, ["parent_folder_id", "user_id"], "left").join(members.users, "user_id", "left").join(grouped, ["parent_folder_id", "team"], "left")
+    return rows.select(*f.columns, F.greatest("_direct", "_grouped").alias("in_folder"))
+
+
+def effective(requests: DataFrame, files: DataFrame, folders: DataFrame, permissions: DataFrame, members: DataFrame | Teams, as_of: Column, mode: str = "max") -> DataFrame:
     """requests (id, user_id, each pair once) with level: what a user may do with a file, null for nothing.
 
     max: the owner is admin; else the highest of public (read), direct and group grants, and what the folder itself
@@ -52,7 +121,7 @@ def effective(requests: DataFrame, files: DataFrame, folders: DataFrame, permiss
 
     A request meets the grants of its file, of which there are few, and a grant to a group counts if the pair of user and
     group is a membership; so no request is multiplied by the groups of its user.  Grants of folders are dealt to members
-    once for a folder and user, whatever is asked.
+    once for a folder and user, whatever is asked, or to teams if members are told so: then no row is made for a member.
     """
     asked = requests.select("id", "user_id").distinct()
     f = asked.join(live(files).select("id", "owner_id", "visibility", "parent_folder_id"), "id")
@@ -61,11 +130,13 @@ def effective(requests: DataFrame, files: DataFrame, folders: DataFrame, permiss
     direct, by_group = F.col("grantee_type") == "user", F.col("grantee_type") == "group"
     met = f.select("id", "user_id").join(on_file, "id").where(by_group | (direct & (F.col("grantee_id") == F.col("user_id"))))
     met = met.withColumn("group_id", F.when(by_group, F.col("grantee_id")))
-    inside = members.select("user_id", "group_id").distinct().withColumn("_in", F.lit(True))
-    met = met.join(inside, ["user_id", "group_id"], "left").where(direct | F.col("_in"))
+    if isinstance(members, Teams):
+        met = met.where(direct).unionByName(members.has(met.where(by_group)))
+    else:
+        inside = members.select("user_id", "group_id").distinct().withColumn("_in", F.lit(True))
+        met = met.join(inside, ["user_id", "group_id"], "left").where(direct | F.col("_in"))
     on_file = met.groupBy("id", "user_id").agg(F.max(F.when(direct, F.col("rank"))).alias("direct"), F.max(F.when(by_group, F.col("rank"))).alias("grouped"))
-    on_folder = granted(permissions.where("resource_type = 'folder'"), members, as_of).groupBy(F.col("resource_id").alias("parent_folder_id"), "user_id").agg(F.max("rank").alias("in_folder"))
-    rows = f.join(on_file, ["id", "user_id"], "left").join(on_folder, ["parent_folder_id", "user_id"], "left")
+    rows = _on_folders(f.join(on_file, ["id", "user_id"], "left"), permissions, members, as_of)
     owner, public, folder = F.col("owner_id") == F.col("user_id"), F.col("visibility") == "public", F.col("in_folder")
     if mode == "max":
         d = live(folders).select(F.col("id").alias("parent_folder_id"), F.col("owner_id").alias("folder_owner"), F.col("visibility").alias("folder_visibility"))
@@ -104,9 +175,24 @@ def secure_view(files: DataFrame, permissions: DataFrame, members: DataFrame, us
     return marked.where(keep).select(*files.columns)
 
 
-def groups_of(groups: DataFrame, members: DataFrame) -> DataFrame:
+def groups_of(groups: DataFrame, members: DataFrame | Teams) -> DataFrame:
     """user_id, group_id: groups that a user owns or is in, each once."""
-    return groups.select(F.col("owner_id").alias("user_id"), F.col("id").alias("group_id")).unionByName(members.select("user_id", "group_id")).distinct()
+    owned = groups.select(F.col("owner_id").alias("user_id"), F.col("id").alias("group_id"))
+    if isinstance(members, DataFrame):
+        return owned.unionByName(members.select("user_id", "group_id")).distinct()
+    return members.members().select("user_id", "group_id").unionByName(_fresh(owned, members))
+
+
+def _fresh(pairs: DataFrame, members: Teams) -> DataFrame:
+    """user_id, group_id: the pairs that aren't memberships, each once."""
+    pairs = pairs.select("user_id", "group_id").distinct()
+    return pairs.join(members.has(pairs), ["user_id", "group_id"], "left_anti")
+
+
+def group_counts(members: Teams, added: DataFrame) -> DataFrame:
+    """user_id, n: how many groups a user is in after the pairs (user_id, group_id) of added have come in; users without any have no row."""
+    more = _fresh(added, members).groupBy("user_id").agg(F.count("*").alias("n"))
+    return members.sizes().unionByName(more).groupBy("user_id").agg(F.sum("n").alias("n"))
 
 
 def require(levels: DataFrame, level: str) -> DataFrame:
