@@ -5,6 +5,9 @@ A name counts as `\\bname\\b` does, in any case, so it can only begin at a borde
 enters the automaton at once and walks it sign by sign with the others.  What has no edge drops out, which most do after a sign or
 two, so no failure edges are needed and the work doesn't grow with the number of names.  A state that ends a name is a hit
 where the walk stands at a border again.
+
+More names than an automaton takes are joined: a name is made of whole runs of word signs and of others, so its small form equals
+that of as many runs of the text, next to each other.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Names of one automaton (some 20 MB of arrays); more names take several passes, each with its share of them.
-NAMES_PER_PASS = 500_000
+from ..sources.files import scratch_dir
+
+#: Names of one automaton; more names are joined with what stands in the texts.
+NAMES_PER_PASS = 50_000
 SIGNS_AT_ONCE = 1 << 20
 _CODES = 0x110000
 
@@ -132,22 +137,129 @@ def mentions(files: DataFrame, packages: DataFrame, names_per_pass: int = NAMES_
     """path, line (from 1), package: lines that hold a package's name, or that with `_` for `-`, in any case and with a
     border of words on either side; a line counts once for a package.
 
-    files: path, text (null: none); packages: package; null and empty names and those with a line's end find nothing.  A line ends at `\\n`.  Names go
-    to the tasks in automata of at most names_per_pass names; more names take as many passes over the files as they fill.
+    files: path, text (null: none); packages: package; null and empty names and those with a line's end find nothing.  A line ends at `\\n`.  Up to
+    names_per_pass names go to the tasks as one automaton; more meet the texts by a join, so neither depends on their number.
     """
-    spark = files.sparkSession
-    names = packages.select("package").where((F.col("package") != "") & ~F.col("package").contains("\n")).distinct()
-    known = names.limit(names_per_pass + 1).toArrow().column("package").to_pylist()
-    if len(known) <= names_per_pass:
-        return _searched(files, spark.sparkContext.broadcast(sorted(known)))
-    passes = -(-names.count() // names_per_pass)
-    share = names.withColumn("share", F.pmod(F.xxhash64("package"), F.lit(passes)))
-    found = None
-    for i in range(passes):
-        known = sorted(share.where(F.col("share") == i).select("package").toArrow().column("package").to_pylist())
-        part = _searched(files, spark.sparkContext.broadcast(known))
-        found = part if found is None else found.unionByName(part)
-    return found
+    names, known = _few(packages, names_per_pass)
+    if known is not None:
+        return _searched(files, files.sparkSession.sparkContext.broadcast(known))
+    forms, kinds = _forms(names)
+    numbered = files.select("path", "text", F.monotonically_increasing_id().alias("number"))
+    rows = _windows(numbered, kinds, True).join(forms, "form")
+    one = rows.where("not two").select("path", "line", "package")
+    return one.unionByName(rows.where("two").select("number", "path", "line", "package").distinct().select("path", "line", "package"))
+
+
+def line_counts(files: DataFrame, packages: DataFrame, names_per_pass: int = NAMES_PER_PASS) -> DataFrame:
+    """package, n_lines: how many lines `mentions` finds for each name that it finds.
+
+    With more than names_per_pass names, lines are counted by what stands in them before names are joined; only names with
+    `-`, which a line may hold in two forms, are counted by rows.
+    """
+    names, known = _few(packages, names_per_pass)
+    if known is not None:
+        return _searched(files, files.sparkSession.sparkContext.broadcast(known)).groupBy("package").agg(F.count("*").alias("n_lines"))
+    forms, kinds = _forms(names)
+    once, twice = forms.where("not two"), forms.where("two")
+    numbered = files.select("path", "text", F.monotonically_increasing_id().alias("number"))
+    counted = _windows(numbered, kinds, False).groupBy("form").agg(F.sum("n").alias("n_lines"))
+    found = once.join(counted, "form").select("package", "n_lines")
+    if not twice.limit(1).count():
+        return found
+    rows = _windows(numbered, kinds, True).join(twice, "form").select("number", "path", "line", "package").distinct()
+    return found.unionByName(rows.groupBy("package").agg(F.count("*").alias("n_lines")))
+
+
+def _few(packages: DataFrame, most: int) -> tuple[DataFrame, list[str] | None]:
+    """Different names that can be found, as a table, and as a list if there are at most `most`."""
+    at = scratch_dir(packages.sparkSession, "names")
+    packages.select("package").where((F.col("package") != "") & ~F.col("package").contains("\n")).distinct().write.parquet(at)
+    names = packages.sparkSession.read.schema("package string").parquet(at)
+    known = names.limit(most + 1).toArrow().column("package").to_pylist()
+    return names, sorted(known) if len(known) <= most else None
+
+
+def _parts(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of word signs and of other signs begin, and the end of the last; and whether each is of word signs."""
+    inside = _signs()[0][text]
+    starts = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
+    return np.append(starts, len(text)), inside[starts]
+
+
+def _forms(names: DataFrame) -> tuple[DataFrame, list[tuple[int, bool]]]:
+    """form, package, two: small forms of each name (two: it has two different ones); and the kinds of forms that there are: of
+    how many runs of word signs and others, and whether the first is of word signs.
+
+    A name's ends are borders, so its runs are whole runs of the text, but at the ends of a line, where other signs have no border.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = _signs()[1]
+        for batch in batches:
+            rows = []
+            for name in batch.column("package").to_pylist():
+                spelled = {form: small[codes(form)] for form in (name, name.replace("-", "_"))}
+                forms = {_text(x): _parts(x) for x in spelled.values()}
+                rows += [(form, name, len(forms) > 1, len(starts) - 1, bool(word[0])) for form, (starts, word) in forms.items()]
+            form, name, two, runs, word = zip(*rows, strict=True) if rows else ([],) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(name, pa.string()), pa.array(two, pa.bool_()), pa.array(runs, pa.int32()), pa.array(word, pa.bool_())], names=["form", "package", "two", "runs", "word"])
+
+    at = scratch_dir(names.sparkSession, "names")
+    names.mapInArrow(run, "form string, package string, two boolean, runs int, word boolean").write.parquet(at)
+    forms = names.sparkSession.read.schema("form string, package string, two boolean, runs int, word boolean").parquet(at)
+    return forms.select("form", "package", "two"), [(r.runs, r.word) for r in forms.select("runs", "word").distinct().collect()]
+
+
+def _text(signs: np.ndarray) -> str:
+    return signs.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _windows(files: DataFrame, kinds: list[tuple[int, bool]], rows: bool) -> DataFrame:
+    """form and what has it: runs next to each other of the kinds, in small forms, once a line.  rows: number, path, line of each;
+    else n, in how many lines of a batch it is."""
+    kind = T.StructType([T.StructField("path", files.schema["path"].dataType), *T.StructType.fromDDL("number long, line int, form string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = _signs()[1]
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for first, run_of in _runs(texts):
+                whole = codes("\n".join(run_of))
+                if not len(whole):
+                    continue
+                breaks = np.flatnonzero(whole == 10)
+                low = _text(small[whole])
+                starts, word = _parts(whole)
+                count = len(word)
+                at, forms = [], []
+                for runs, begins in kinds:
+                    i = np.arange(max(count - runs + 1, 0))
+                    i = i[(word[i] == begins) & ((i > 0) | begins)]  # other signs at either end of a text have no border
+                    last = i + runs - 1
+                    i = i[word[last] | (last < count - 1)]
+                    a, b = starts[i], starts[i + runs]
+                    inner = np.searchsorted(breaks, a) == np.searchsorted(breaks, b)
+                    a, b = a[inner], b[inner]
+                    at.append(a)
+                    forms += [low[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                at = np.concatenate(at)
+                if not len(at):
+                    continue
+                coded = pa.array(forms, pa.string()).dictionary_encode()
+                which = coded.indices.to_numpy().astype(np.int64)
+                wide = len(coded.dictionary)
+                line, which = np.divmod(np.unique(np.searchsorted(breaks, at) * wide + which), wide)
+                if not rows:
+                    n = np.bincount(which, minlength=wide)
+                    yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n)], names=["form", "n"])
+                    continue
+                sizes = np.array([t.count("\n") + 1 for t in run_of], np.int64)  # lines of each text
+                ends = np.cumsum(sizes)
+                owner = np.searchsorted(ends, line, "right")
+                taken = pa.array(first + owner)
+                yield pa.RecordBatch.from_arrays([batch.column("path").take(taken), batch.column("number").take(taken), pa.array((line - (ends - sizes)[owner] + 1).astype(np.int32)), coded.dictionary.take(pa.array(which))], names=["path", "number", "line", "form"])
+
+    return files.mapInArrow(run, kind if rows else "form string, n long")
 
 
 _automata: dict[int, Automaton] = {}

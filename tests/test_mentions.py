@@ -49,3 +49,20 @@ def test_no_names_and_no_files(spark):
 def test_a_hundred_thousand_names(spark):
     names = [f"name{i}-x" for i in range(100_000)]
     assert found(spark, [("a", "name7-x name7_x name77777_X xname8-x name9-xy"), ("b", "name100000-x")], names) == {("a", 1, "name7-x"), ("a", 1, "name77777-x")}
+
+
+@pytest.mark.parametrize("most", [5, 1000])
+def test_counts_of_many_names_read_the_texts_once(spark, monkeypatch, most):
+    """Lines of a name are counted whether or not the names fill an automaton; more names are no more passes."""
+    calls, searched = [], mentions._searched
+    monkeypatch.setattr(mentions, "_searched", lambda *a: calls.append(1) or searched(*a))
+    files = [("a", "The the-end THE\n.the. x-y x_y\nx-y\n-the"), ("b", None), ("c", "\n\nthe END"), ("c2", "é É_é-1"), ("d", "-the")]
+    names = ["the", "The", "THE", "the-end", "x-y", "X-y", "x_y", "-the", ".", "-", "the.", "é", "é_É-1", "none", "", "a\nb"]
+    df, known = spark.createDataFrame(files, "path string, text string"), spark.createDataFrame([(n,) for n in names], "package string")
+    want = {}
+    for _, _, n in plain(files, [n for n in names if "\n" not in n]):
+        want[n] = want.get(n, 0) + 1
+    assert {r.package: r.n_lines for r in mentions.line_counts(df, known, most).collect()} == want
+    assert len(calls) == (most > len(names))
+    assert found(spark, files, names, names_per_pass=most) == plain(files, [n for n in names if "\n" not in n])
+    assert len(calls) == 2 * (most > len(names))
