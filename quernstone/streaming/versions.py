@@ -7,8 +7,10 @@ next event is due.  Events that come again within the watermark's delay are left
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,21 +40,25 @@ def _in_order(rows: DataFrame, key: list[str], at: str, event: str, schema: str,
             state.remove()
             return
         for batch in batches:
-            stamps = batch[at].astype("datetime64[us]").astype("int64")
-            waiting += list(zip(stamps.tolist(), batch[event].tolist(), strict=True))
-        due = sorted(w for w in waiting if w[0] <= mark * 1000)
-        waiting = sorted(w for w in waiting if w[0] > mark * 1000)
-        out = []
-        for stamp, number in due:
-            good, given = counted(n + 1, k, stamp)
+            stamps = batch[at].to_numpy("datetime64[us]").astype(np.int64)
+            waiting += zip(stamps.tolist(), batch[event].tolist(), strict=True)
+        waiting.sort()
+        ready = bisect_left(waiting, (mark * 1000 + 1,))
+        due, waiting = waiting[:ready], waiting[ready:]
+        given = []
+        for stamp, _ in due:
+            good, more = counted(n + 1, k, stamp)
             n += good
-            out.append({**dict(zip(key, k, strict=True)), event: number, at: pd.Timestamp(stamp, unit="us"), **given})
+            given.append(more)
         state.update((n, [w[0] for w in waiting], [w[1] for w in waiting]))
         if waiting:
             state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, mark + 1))
         elif forget_after is not None:
             state.setTimeoutTimestamp(mark + forget_after * 1000 + 1)
-        yield pd.DataFrame(out, columns=names)
+        if due:  # most calls only take events in; an empty frame each would cost more than all else
+            found = {**dict(zip(key, k, strict=True)), event: [w[1] for w in due], at: np.array([w[0] for w in due], "datetime64[us]")}
+            found |= {c: [g[c] for g in given] for c in given[0]}
+            yield pd.DataFrame({c: found[c] for c in names})
 
     return rows.select(*key, *columns).groupBy(*key).applyInPandasWithState(take, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
