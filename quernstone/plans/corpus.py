@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spread, table
 
 #: Names in the templates and what they stand for; %j% is a Python file's part that another one imports.
 NAMES = {"k": "p_partkey", "j": "((p_partkey * 5 + 24) % 200)", "size": "p_size", "word": "replace(p_name, ' ', '_')"}
@@ -72,8 +72,11 @@ FILES_SQL = f"(SELECT p_partkey, p_name, p_size, {_PATH} AS path, {_TEXT} AS tex
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, text: a source file for each part; of eight kinds by its key, some Python ones broken."""
-    return table(spark, sf_dir, "part").select(F.expr(_PATH).alias("path"), F.expr(_TEXT).alias("text"))
+    """path, text: a source file for each part; of eight kinds by its key, some Python ones broken.
+
+    Parts are a few bytes each and lie in few row groups, but their files take long to read as code: they are dealt to all cores.
+    """
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(F.expr(_PATH).alias("path"), F.expr(_TEXT).alias("text"))
 
 
 def rows_sql(kinds: dict[int, list[str]], values: str = "signature") -> str:

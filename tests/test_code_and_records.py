@@ -13,6 +13,7 @@ from quernstone.functions import case, clean, extract, inflect, normal, paths, u
 from quernstone.functions import validators as V
 from quernstone.operators import access, callers, code, mentions, records, versions
 from quernstone.operators.records import Field
+from quernstone.plans import corpus
 from quernstone.sources import files
 from quernstone.streaming import versions as stream
 
@@ -295,3 +296,10 @@ def test_marks_of_lines_and_files(spark):
     df = spark.createDataFrame(files, "path string, text string")
     assert sorted(rows(code.checked_imports(df))) == [("a", 1, "os"), ("a", 4, "q.r"), ("c", 7, "re")]
     assert sorted(rows(code.checked_imports(df, ("os", "q")))) == [("c", 7, "re")]
+
+
+def test_source_files_are_dealt_to_all_cores(spark):
+    files = corpus.sources(spark, "/root/testdata/sf0.1")
+    sizes = [r["count"] for r in files.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) > spark.sparkContext.defaultParallelism and max(sizes) < 2 * min(sizes)
+    assert sum(sizes) == spark.read.parquet("/root/testdata/sf0.1/part.parquet").count()
