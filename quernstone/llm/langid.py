@@ -282,7 +282,7 @@ def annotate(docs: DataFrame, model: Model | None) -> DataFrame:
                 names = [known.langs[b] if ok else UNDETERMINED for b, ok in zip(best, letters, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(h), pa.array(out)], names=[*part.schema.names, *(n for n, _ in ADDED)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, *(T.StructField(n, T.DataType.fromDDL(k)) for n, k in ADDED)]))
+    return docs.mapInArrow(tv.lean(run), T.StructType([*docs.schema, *(T.StructField(n, T.DataType.fromDDL(k)) for n, k in ADDED)]))
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 800, label: str =
     order = ["id_hash", "doc_id", "label", "text_hash"]
     texts = texts.select("doc_id", F.col("label").cast("int").alias("label"), "text", F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("text_hash"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(lambda b: _weights_of(b, *order), f"id_hash long, doc_id {kind}, label int, text_hash long, terms array<int>, values array<float>")
+    rows = texts.mapInArrow(tv.lean(lambda b: _weights_of(b, *order)), f"id_hash long, doc_id {kind}, label int, text_hash long, terms array<int>, values array<float>")
     rows = rows.orderBy(*order).limit(2 * per_label).toArrow()
     if not len(rows):
         return None
@@ -153,7 +153,7 @@ def annotate(docs: DataFrame, model: Voters | None, threshold: float = 0.3) -> D
                 part = batch.slice(chunk.first, len(chunk))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(tv.lean(run), T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def classify(docs: DataFrame, model: Voters | None, threshold: float = 0.3) -> DataFrame:

@@ -352,3 +352,16 @@ def test_words_keep_64_bits_and_ngrams_their_own():
     shape = katz.Shape(2, (1, 1), 128, 40)
     assert shape.cut(1, np.array([0, 1 << 57, (1 << 64) - 1], np.uint64))[:3] == [0, 1, 2]
     assert shape.cut(2, np.array([0, 1 << 33, (1 << 40) - 1], np.uint64))[:3] == [0, 1, 2]
+
+
+def test_stages_of_the_pipeline_give_python_small_batches(spark):
+    import corpus_pipeline as cp
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        docs = spark.range(6).selectExpr("id doc_id", "repeat(concat('some words ', id, ' '), 200000) text", "'en' lang", "'web' source", "0L n_chars").coalesce(1)
+        sizes = cp._with_key(docs).mapInArrow(lambda batches: (b.select([0]).slice(0, 1) for b in batches), "doc_id long")
+        assert sizes.count() > 1
+    finally:
+        spark.conf.set(key, before)
