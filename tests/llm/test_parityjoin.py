@@ -198,3 +198,23 @@ def test_repeated_ids_of_near_copies_are_verified_once(spark):
     rows = [(1, " ".join(text))] * 3 + [(2, " ".join([*text, "end"]))] * 3 + [(3, "other words " * 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in parityjoin.jaccard_components(docs).collect()) == [(1, 1)] * 3 + [(2, 1)] * 3 + [(3, 3)]
+
+
+def families(seed, n_families=150, size=6):
+    """Short texts with ends put to copies of copies; some are linked only with a hub that has no other member."""
+    rng, rows = random.Random(seed), []
+    for g in range(n_families):
+        texts = [[f"w{g}_{j}" for j in range(12 + rng.randrange(6))]]
+        for _ in range(size):
+            w = list(rng.choice(texts))
+            for _ in range(rng.randrange(3)):
+                w.insert(rng.choice([0, len(w)]), f"v{rng.randrange(10**6)}")
+            texts.append(w)
+        rows += [" ".join(w) for w in texts]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("seed", [8, 12])
+def test_a_member_meets_hubs_that_have_no_other_member(spark, seed):
+    rows = families(seed)
+    expect(rows, parityjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
