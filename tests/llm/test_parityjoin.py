@@ -218,3 +218,13 @@ def families(seed, n_families=150, size=6):
 def test_a_member_meets_hubs_that_have_no_other_member(spark, seed):
     rows = families(seed)
     expect(rows, parityjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_the_pipeline_drops_copies_of_hubs_that_have_no_other_member(spark):
+    import corpus_pipeline as cp
+
+    rows = families(12)
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, HERE).collect())
+    roots = brute_components({i: shingles(t) for i, t in rows})
+    assert left == sorted(set(roots.values()))
