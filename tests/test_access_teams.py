@@ -56,6 +56,16 @@ def test_dealt_is_a_join_also_with_long_lists_and_equal_rows(spark):
     assert _rows(access.dealt(rows, others, "k")) == _rows(rows.join(others, "k").select("id", "k", "x"))
 
 
+def test_rows_of_one_key_are_dealt_in_several_tasks_and_others_come_out_again_and_again(spark):
+    rows = spark.range(8 * access.PIECE).select("id", F.lit(1).alias("k"))
+    others = spark.range(3 * access.PIECE).select(F.lit(1).alias("k"), F.col("id").alias("x"))
+    got = access.dealt(rows, others, "k").select("id", "x", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"))
+    assert got.select("p").distinct().count() > 1
+    first = [r.x for r in got.orderBy("at").limit(3 * access.PIECE).collect()]
+    assert len(set(first)) < 2 * access.PIECE  # one list of others for several rows, not all others for one row
+    assert got.agg(F.count("*"), F.count_distinct("id"), F.count_distinct("x")).first() == (24 * access.PIECE**2, 8 * access.PIECE, 3 * access.PIECE)
+
+
 @pytest.mark.parametrize("name", ["jn01_group_grants", "jn02_folder_grants", "jn05_groups_of_user", "dm09_group_members", "ag01_effective_permission", "ag02_tiered_permission", "dm04_managed_writes", "dm08_required_write"])
 def test_no_join_has_a_row_for_a_member(spark, name):
     """No plan joins customers with suppliers by their digits, and what is read from lists is not grouped again."""
